@@ -80,7 +80,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_dig
     flush_runs(entries, path)
     runs = spark.read.parquet(path)
     groups = materialised(compact(runs).filter("group_size > 1"))
-    hits = materialised(entries.join(groups, "digest"))
+    hits = materialised(entries.join(groups.hint("merge"), "digest"))  # the same plan at every size
     placed = runs.join(groups, "digest", "left").select(
         "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256", "digest"
     )
