@@ -2,9 +2,10 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
-from tidelake.llm import substring_dedup
+from tidelake.llm import substring_dedup, suffix_dedup
 
 PASSAGE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
 ROWS = [
@@ -53,3 +54,61 @@ def test_windows_of_a_table(spark, sf_dir):
     want = brute_words(rows)
     assert got == want
     assert sum(x[2] for x in want) > 0
+
+
+def brute_bytes(rows):
+    first = {}
+    data = [(BIG if i is None else i, (t or "").encode()) for i, t in rows]
+    for i, b in data:
+        for k in range(len(b) - 99):
+            key = b[k : k + 100]
+            first[key] = min(first.get(key, (BIG + 1, 0)), (i, k))
+    out = []
+    for (i, b), (doc_id, _) in zip(data, rows, strict=True):
+        gone, n_spans = bytearray(len(b) + 1), 0
+        for k in range(len(b) - 99):
+            if first[b[k : k + 100]] < (i, k):
+                gone[k : k + 100] = b"\1" * 100
+        n_spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
+        out.append((str(doc_id), len(b), sum(gone[:-1]), n_spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=False) if not g)).hexdigest()))
+    return sorted(out)
+
+
+def of_bytes(df):
+    return sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n"], r["sha"]) for r in df.selectExpr("*", "sha2(kept, 256) sha", "size(removed) n").collect())
+
+
+@pytest.mark.parametrize("shard_bytes", [suffix_dedup.SHARD_BYTES, 400])
+def test_bytes_of_odd_rows(odd, shard_bytes):
+    assert of_bytes(suffix_dedup.dedup_bytes(odd, 3, shard_bytes)) == brute_bytes(ROWS)
+    assert suffix_dedup.dedup_bytes(odd.filter("false")).count() == 0
+
+
+def test_bytes_over_cut_shards(spark):
+    """Many different strings around one passage: one minimiser, several shards."""
+    core = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(150))
+    rows = [(i, f"{i * 7919} {core[i % 5 : 140 + i % 7]} {i * 104729}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert of_bytes(suffix_dedup.dedup_bytes(docs, 1, 900)) == brute_bytes(rows)
+
+
+def test_bytes_of_a_table(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.op1_suffix_dedup(spark, sf_dir).collect())
+    want = brute_bytes(rows)
+    assert got == want
+    assert sum(x[2] for x in want) > 0
+
+
+def test_suffix_array_and_prefixes():
+    rng = np.random.default_rng(1)
+    for text in (rng.integers(97, 99, 500), np.full(300, 97), rng.integers(97, 123, 50), np.array([97])):
+        text = text.astype(np.uint8)
+        data = text.tobytes()
+        sa = suffix_dedup.suffix_array(text, 1000)
+        assert sa.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+        shared = suffix_dedup.common_prefixes(text, sa, 100, 7)
+        for k in range(1, len(sa)):
+            a, b = data[sa[k - 1] :], data[sa[k] :]
+            n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert shared[k] == min(n, 100)

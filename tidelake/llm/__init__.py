@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelake.llm import bpe_codec, exact_dedup, language_id, packing, quality_resampling, secret_scan, substring_dedup
+from tidelake.llm import bpe_codec, exact_dedup, language_id, packing, quality_resampling, secret_scan, substring_dedup, suffix_dedup
 
-_MODULES = (bpe_codec, exact_dedup, language_id, packing, quality_resampling, secret_scan, substring_dedup)
+_MODULES = (bpe_codec, exact_dedup, language_id, packing, quality_resampling, secret_scan, substring_dedup, suffix_dedup)
 
 
 def queries() -> dict:
