@@ -1,6 +1,6 @@
 """Queries over the driver tables. Importing this package registers them."""
 
-from tidelake.plans import temporal_queries
+from tidelake.plans import policy_queries, stats_queries, temporal_queries
 from tidelake.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "temporal_queries"]
+__all__ = ["ORACLES", "QUERIES", "policy_queries", "stats_queries", "temporal_queries"]
