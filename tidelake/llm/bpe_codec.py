@@ -2,7 +2,10 @@
 
 1. Spark splits every text into words (the tokenizer's own pre-token expression).
 2. A block of documents becomes its distinct words, dealt by hash into ``buckets`` packed lists, and
-   the positions of these words. Blocks are written to the shared folder.
+   the positions of these words. Lists and positions are made by two passes over the documents, since
+   writing positions down and moving them would cost the input's size twice. A block's name holds a
+   hash of what it was made from; if the two passes should ever see rows in different order, names
+   don't meet and the job fails, rather than giving wrong ids.
 3. The lists of one bucket, from all blocks, meet in one place: the distinct-word table. Each distinct
    word is encoded once there, and the ids of each list go back to its block.
 4. Per block the ids are put at the words' positions. Decoding joins ids to the vocabulary's pieces
@@ -18,7 +21,6 @@ doc_id stays null; further columns are ignored; an empty table gives an empty re
 from __future__ import annotations
 
 import json
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,18 +28,19 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelake.llm.common import documents, materialised, text_of
+from tidelake.llm.common import documents, text_of
 
 # Fixed value: the public byte-level pre-token expression, in Java's syntax.
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-BLOCK_SCHEMA = "block string, doc_ids array<bigint>, n_words array<int>, positions binary, lists array<binary>"
+LISTS_SCHEMA = "block string, bucket int, words binary"
+POSITIONS_SCHEMA = "block string, doc_ids array<bigint>, n_words array<int>, positions binary"
 
 
 @lru_cache(maxsize=4)
@@ -112,38 +115,42 @@ def library_words(text: str, path: str) -> list[str]:
     return [w for p in parts for w in ([p] if p in special_texts(path) else [p[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(p)])]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], path: str, buckets: int, block_words: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("positions", pa.binary()), ("lists", pa.list_(pa.binary()))])
+def _blocks(batches: Iterator[pa.RecordBatch], path: str, buckets: int, block_words: int, lists: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole documents: with ``lists`` their distinct words by bucket, else the positions of these."""
+    partition, made = TaskContext.get().partitionId(), 0
     for batch in batches:
         ids, words, odd = batch.column(0), batch.column(1), batch.column(2)
         if odd.null_count < len(odd):
             own = [words[i].as_py() if odd[i].as_py() is None else library_words(odd[i].as_py(), path) for i in range(len(odd))]
             words = pa.array(own, pa.list_(pa.string()))
-        counts = np.asarray(pc.list_value_length(words)).astype(np.int64)
-        cuts = [0]
-        while cuts[-1] < len(counts):  # whole documents, up to block_words words together
-            more = int(np.searchsorted(np.cumsum(counts[cuts[-1] :]), block_words, "right"))
-            cuts.append(cuts[-1] + max(1, more))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            b = min(b, len(counts))
+        counts = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        total, a = np.cumsum(counts), 0
+        while a < len(counts):  # up to block_words words together, or one longer document
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + block_words, "right")))
             coded = words.slice(a, b - a).flatten().dictionary_encode()
             distinct, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+            texts = distinct.to_pylist()
+            name = f"{partition}-{made}-{zlib.crc32(at.tobytes(), zlib.crc32(repr(ids.slice(a, b - a).to_pylist()).encode())):08x}-{zlib.crc32(' '.join(texts).encode()):08x}"
+            made += 1
             # crc32 deals a word to the same bucket wherever it is met
-            bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in distinct.to_pylist()), np.int64, len(distinct))
-            often = np.bincount(at, minlength=len(distinct))
-            order = np.lexsort((-often, bucket))
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            # frequent words get small numbers: the place is stored as (rank by frequency), with lists in bucket order
-            by_count = np.argsort(-often, kind="stable")
-            rank = np.empty(len(order), np.uint32)
-            rank[by_count] = np.arange(len(order), dtype=np.uint32)
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            ordered = distinct.take(pa.array(order))
-            lists = [_packed(ordered.slice(x, y - x)) if y > x else None for x, y in zip(ends, ends[1:], strict=False)]
-            blob = _planes(np.concatenate([[len(order)], place[by_count], rank[at]]))
-            row = [[uuid.uuid4().hex], [ids.slice(a, b - a)], [pa.array(counts[a:b], pa.int32())], [blob], [lists]]
-            yield pa.record_batch([pa.array(row[0]), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), row[1][0]), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), row[2][0]), pa.array(row[3], pa.binary()), pa.array(row[4], pa.list_(pa.binary()))], schema=schema)
+            bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in texts), np.int64, len(distinct))
+            order = np.argsort(bucket, kind="stable")
+            if lists:
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                ordered, full = distinct.take(pa.array(order)), np.flatnonzero(np.diff(ends))
+                blobs = [_packed(ordered.slice(ends[k], ends[k + 1] - ends[k])) for k in full.tolist()]
+                yield pa.record_batch([pa.array([name] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["block", "bucket", "words"])
+            else:
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                # words are numbered by frequency, so that most numbers are small; their places in the lists come first
+                by_count = np.argsort(-np.bincount(at, minlength=len(distinct)), kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[by_count] = np.arange(len(order))
+                blob = _planes(np.concatenate([[len(order)], place[by_count], rank[at]]))
+                edge = pa.array([0, b - a], pa.int32())
+                yield pa.record_batch([pa.array([name]), pa.ListArray.from_arrays(edge, ids.slice(a, b - a)), pa.ListArray.from_arrays(edge, pa.array(counts[a:b], pa.int32())), pa.array([blob], pa.binary())], ["block", "doc_ids", "n_words", "positions"])
+            a = b
 
 
 def _encode_lists(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -167,6 +174,8 @@ def _assemble(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
             by_place = [ids for _, blob in lists for ids in _unpacked(blob).to_pylist()]
             stored = _unplanes(row["positions"])
             n = int(stored[0])
+            if n != len(by_place):
+                raise RuntimeError(f"block {row['block']} was read in another order: materialise the documents first")
             ids = [by_place[p] for p in stored[1 : n + 1].tolist()]
             text = [b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
             at, start = stored[n + 1 :], 0
@@ -185,11 +194,12 @@ def _assemble(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
 def encode_and_decode(docs: DataFrame, path: str, buckets: int | None = None, block_words: int = 4_000_000) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit), decoded text. ``path``: a byte-level BPE file of the tokenizers library."""
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialised(split_words(docs, path).mapInArrow(lambda it: _blocks(it, path, buckets, block_words), BLOCK_SCHEMA))
-    lists = blocks.select("block", F.posexplode("lists").alias("bucket", "words")).filter("words is not null")
+    words = split_words(docs, path)
+    lists = words.mapInArrow(lambda it: _blocks(it, path, buckets, block_words, True), LISTS_SCHEMA)
     encoded = lists.repartition(buckets, "bucket").mapInArrow(lambda it: _encode_lists(it, path), "block string, bucket int, ids binary")
     back = encoded.groupBy("block").agg(F.collect_list(F.struct("bucket", "ids")).alias("encoded"))
-    joined = blocks.drop("lists").join(back, "block", "left")
+    positions = words.mapInArrow(lambda it: _blocks(it, path, buckets, block_words, False), POSITIONS_SCHEMA)
+    joined = positions.join(back.hint("merge"), "block", "left")
     return joined.mapInArrow(lambda it: _assemble(it, path), "doc_id bigint, ids binary, decoded string")
 
 
