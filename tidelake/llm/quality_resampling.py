@@ -68,7 +68,7 @@ def _weighed(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[p
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p_target - log p_raw per feature; the driver gets FEATURES numbers."""
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    marked = docs.join(F.broadcast(good.withColumn("good", F.lit(True))), "doc_id", "left")  # MAX_LABELLED ids at most
+    marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("good", F.lit(True))), "doc_id", "left")  # MAX_LABELLED ids at most
     words = marked.select(F.regexp_extract_all(text_of(), F.lit(TOKEN), F.lit(0)).alias("words"), F.coalesce("good", F.lit(False)).alias("good"))
     counted = words.mapInArrow(_counted, "feature bigint, raw bigint, target bigint").groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.full(FEATURES, SMOOTHING), np.full(FEATURES, SMOOTHING)

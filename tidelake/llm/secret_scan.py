@@ -195,14 +195,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + PREFIX_RULES, k
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if frozenset() not in q}
     trigrams = sorted({t for q in indexed.values() for clause in q for t in clause})
+    rows = docs.select(F.col("doc_id").alias("scanned_id"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], *([] if "text" in keep else [F.col("text").alias("kept_text")]))
+    whole = text_of(f"kept_{keep.index('text')}" if "text" in keep else "kept_text")
+    none = F.array().cast("array<string>")
     if indexed:
-        found = candidates(materialised(postings(docs, trigrams)), indexed).withColumnRenamed("doc_id", "candidate_id")
-        rows = docs.join(found, docs["doc_id"].eqNullSafe(found["candidate_id"]), "left").drop("candidate_id")
-    else:
-        rows = docs.withColumn("kinds", F.lit(None).cast("array<string>"))
-    rows = rows.select(*[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], text_of().alias("whole"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+        found = candidates(materialised(postings(docs, trigrams)), indexed)
+        rows = rows.join(found, rows["scanned_id"].eqNullSafe(found["doc_id"]), "left").withColumn("kinds", F.coalesce("kinds", none))
+    rows = rows.withColumn("whole", whole)
     rules, ranks = tuple(map(_quick, rules)), range(len(rules))
-    none = F.array().cast("array<string>")
     for i, r in enumerate(rules):  # three steps, so that each is computed once
         matches = F.regexp_extract_all("whole", F.lit(r.pattern), F.lit(0))
         rows = rows.withColumn(f"matches_{i}", F.when(F.array_contains("kinds", r.kind), matches).otherwise(none) if r.kind in indexed else matches)
