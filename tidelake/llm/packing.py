@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelake.llm.bpe_codec import special_texts, tokenizer
+from tidelake.llm.bpe_codec import byte_of_character, special_texts, tokenizer
 from tidelake.llm.common import documents, materialised, text_of
 
-# Fixed value: the public pre-token expression of the lower-casing tokenizer, in Java's syntax.
-SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The public pre-token expression of the lower-casing tokenizer for PLAIN texts; letters come first, which is quicker and splits alike.
+SPLIT = r"\p{L}+|\p{N}|'(?:s|t|re|ve|m|ll|d)|[^\s\x85\xA0\p{L}\p{N}]+"
 #: Texts of these characters alone are split by Spark: they are in normal form, and both sides lower-case them alike.
 PLAIN = r"^[\x09-\x0D\x20-\x7E\xA0-\xFF]*$"
 #: Slots are joined to pieces by blocks of so many ranks.
@@ -42,14 +42,18 @@ PIECES_SCHEMA = "doc_id bigint, piece int, start bigint, length int, ids binary,
 
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     tok, known, seen, part = tokenizer(path), {}, Counter(), uuid.uuid4().hex
+    # the model's own alphabet writes each byte as a character
+    alphabet, model = {b: c for c, b in byte_of_character().items()}, tok.model
+    encode = lambda w: np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(alphabet))], "<u4").tobytes()
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids", "part", "nth"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64()]
     for batch in batches:
         coded = batch.column(1).flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in known]
-        known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(new, add_special_tokens=False)), strict=True))
+        for w in distinct:
+            if w not in known:
+                known[w] = encode(w)
         table, at = [known[w] for w in distinct], coded.indices.to_numpy(zero_copy_only=False)
         counts, start, rows = batch.column(1).value_lengths().to_pylist(), 0, []
         for doc_id, count, whole in zip(batch.column(0).to_pylist(), counts, batch.column(2).to_pylist(), strict=True):
