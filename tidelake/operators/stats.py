@@ -100,6 +100,8 @@ def exclusive_p95(values: Column) -> Column:
 
 def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """Population stability index over the reference's quantile bins; an empty bin counts as ``floor``."""
+    if bins < 2:
+        return reference.sparkSession.range(1).select(F.lit(0.0).alias("psi"))
     edges = [i / bins for i in range(1, bins)]
     cut = reference.agg(F.array_distinct(F.percentile(column, F.array(*map(F.lit, edges)))).alias("edges"))
     counted = None
