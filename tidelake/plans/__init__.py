@@ -1,6 +1,6 @@
 """Queries over the driver tables. Importing this package registers them."""
 
-from tidelake.plans import policy_queries, serving_queries, stats_queries, temporal_queries
+from tidelake.plans import detail_queries, policy_queries, serving_queries, stats_queries, temporal_queries
 from tidelake.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "policy_queries", "serving_queries", "stats_queries", "temporal_queries"]
+__all__ = ["ORACLES", "QUERIES", "detail_queries", "policy_queries", "serving_queries", "stats_queries", "temporal_queries"]
