@@ -8,10 +8,11 @@ base ``BASE``, so the sketch of a union is the registers' maximum.
 2. Bands of register values put classes into buckets. In a bucket every member is compared to the
    smallest one. At similarity 0.8 a pair misses all bands with probability (1 - 0.8^5)^32 < 4e-6.
 3. The likelihood of the registers' order, given both set sizes, estimates the similarity; pairs
-   estimated six standard deviations below the threshold drop out. The others are confirmed on the full sets.
+   estimated five standard deviations below the threshold drop out. The others are confirmed on the full sets.
 4. Links give components. In buckets whose members are not all in one component, the members of
-   different components are compared in blocks of sketches, the survivors confirmed, and the components
-   joined. So no link between members of a bucket is lost, and pairs within a component are never listed.
+   different components are compared in blocks of sketches. Of each two components first the most similar
+   pairs are confirmed, since one link joins them; what is still apart is then compared in full. So no link
+   between components of a bucket is lost, and pairs within a component are never listed.
 
 Defined results: null, empty and white texts have an empty set and no link; texts of fewer words than
 a shingle are one shingle; a row without doc_id takes no part (component null, kept); rows of one
@@ -37,6 +38,8 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base of the logarithm, rate, and largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65534
+#: Pairs that are confirmed of each two components and blocks, in rounds; the last round takes all that is left.
+PAIRS_PER_ROUND = (2, 16, None)
 #: Members of a bucket that are compared with each other in one go.
 MEMBERS_PER_BLOCK = 512
 
@@ -102,8 +105,8 @@ def estimated_similarity(k1: np.ndarray, k2: np.ndarray, n1: np.ndarray, n2: np.
     return grid[0, likelihood.argmax(1)]
 
 
-#: Estimates below this are six standard deviations under the threshold.
-LEAST_ESTIMATE = PERCENT / 100 - 6 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
+#: Estimates below this are five standard deviations under the threshold.
+LEAST_ESTIMATE = PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +157,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, i, j): plausible pairs between components, of blocks i and j of a bucket."""
+def _across(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, i, j): plausible pairs between components, of blocks i and j of a bucket.
+
+    With a limit, of each two components the pairs with the highest estimates.
+    """
 
     def pairs(rows: list) -> pa.RecordBatch | None:
         if len({r[5] for r in rows}) < 2:
@@ -163,16 +169,24 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, block, n, comp = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 6, 5))
         sketch = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(len(rows), REGISTERS)
         i, j = rows[0][1], rows[0][2]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out: tuple[list, list] = ([], [])
+        left, right, found = np.flatnonzero(block == i), np.flatnonzero(block == j), []
         for x in left.tolist():
             other = right[(comp[right] != comp[x]) & ((node[right] > node[x]) | (i != j))]
             if len(other):
-                est = estimated_similarity(np.broadcast_to(sketch[x], (len(other), REGISTERS)), sketch[other], np.full(len(other), n[x]), n[other])
-                for y in other[est >= LEAST_ESTIMATE].tolist():
-                    out[0].append(min(int(node[x]), int(node[y])))
-                    out[1].append(max(int(node[x]), int(node[y])))
-        return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+                estimate = estimated_similarity(np.broadcast_to(sketch[x], (len(other), REGISTERS)), sketch[other], np.full(len(other), n[x]), n[other])
+                other, estimate = other[estimate >= LEAST_ESTIMATE], estimate[estimate >= LEAST_ESTIMATE]
+                found.append((np.full(len(other), x), other, estimate))
+        if not found:
+            return None
+        x, y, estimate = map(np.concatenate, zip(*found, strict=True))
+        if limit is not None and len(x):
+            one, two = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+            order = np.lexsort((-estimate, two, one))
+            x, y, one, two = x[order], y[order], one[order], two[order]
+            first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+            nth = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+            x, y = x[nth < limit], y[nth < limit]
+        return pa.record_batch([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
 
     held: list = []
     for batch in batches:
@@ -186,6 +200,17 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found
 
 
+def _pairs_between(met: DataFrame, components: DataFrame, sketches: DataFrame, limit: int | None) -> DataFrame:
+    """Plausible pairs (a, b) of nodes that share a bucket but no component."""
+    placed = met.join(components.hint("merge"), "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
+    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("n_members")).filter("lo < hi").select("bucket", "n_members")
+    n_blocks = F.ceil(F.col("n_members") / MEMBERS_PER_BLOCK).cast("int")
+    rows = placed.join(apart.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "component")
+    rows = rows.join(sketches.hint("merge"), "node").select("bucket", "i", "j", "node", "block", "component", "n", "sketch")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lambda it: _across(it, limit), "a bigint, b bigint").distinct()
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough. The second side's set travels to the first side's."""
     of = lambda side: sets.select(F.col("id").alias(side), F.col("members").alias(f"set_{side}")).hint("merge")
@@ -211,20 +236,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = identified(docs).join(met.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text_key", "text")
     sets = materialised(texts.mapInArrow(_full_sets, "id bigint, members binary"))
     links = materialised(_confirm(tested, sets))
-    first = connected_components(links)
-
-    # members of one bucket in different components
-    placed = met.join(first.hint("merge"), "node", "left").select("bucket", "node", "leader", "size", F.coalesce("component", "node").alias("component"))
-    mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("n_members")).filter("lo < hi").select("bucket", "n_members")
-    n_blocks = F.ceil(F.col("n_members") / MEMBERS_PER_BLOCK).cast("int")
-    rest = placed.join(mixed_buckets.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "component")
-    rest = rest.join(sketches.hint("merge"), "node").select("bucket", "i", "j", "node", "block", "component", "n", "sketch")
-    rest = rest.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across, "a bigint, b bigint").distinct()
-    more = materialised(_confirm(rest.join(tested, ["a", "b"], "left_anti"), sets))
-    final = first if more.isEmpty() else connected_components(links.unionByName(more))
-
-    of_class = classes.select("d1", "d2", F.col("n_shingles"), "node").join(final, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("component"))
+    components = connected_components(links)
+    for limit in PAIRS_PER_ROUND:
+        new = materialised(_pairs_between(met, components, sketches, limit).join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(new)
+        more = materialised(_confirm(new, sets))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            components = connected_components(links)
+
+    of_class = classes.select("d1", "d2", F.col("n_shingles"), "node").join(components, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("component"))
     # rows of one doc_id are one document: the least component of their sets
     placed_rows = rows.drop("sketch").join(of_class.hint("merge"), ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))

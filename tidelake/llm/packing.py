@@ -221,7 +221,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> D
     ranked = pieces.drop("ids").join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     ranked = ranked.withColumn("rank_block", F.floor(F.col("rank") / RANK_BLOCK))
     within = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("times"))
-    placed = ranked.join(plan, ["length", "rank_block"]).filter(within)
+    placed = ranked.join(plan.hint("merge"), ["length", "rank_block"]).filter(within)
     placed = placed.select("part", "length", "nth", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
     return pieces.join(placed, ["part", "length", "nth"]).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids", "sequence_id", "offset")
 

@@ -16,17 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import documents
-from tidelake.llm.superkmer import Block, minimiser_runs, mixed, repeated_spans, runs, shipped_rows, unpacked, with_spans
+from tidelake.llm.superkmer import NO_ID, Block, minimiser_runs, mixed, opened, packed, plain, repeated_spans, runs, shipped_rows, with_spans
 
 WINDOW, MINIMISER = 13, 2
 
 
 class Words:
-    """The words of a block: hashes, documents, places in ``canonical`` (each word followed by one space)."""
+    """The words of a block: hashes and documents, and their bytes end to end."""
 
     def __init__(self, block: Block):
         b = block.bytes
@@ -35,26 +37,34 @@ class Words:
         first[1:] &= space[:-1]
         edges = block.edges[:-1][block.edges[:-1] < len(b)]
         first[edges] = ~space[edges]
-        kept = np.flatnonzero(~space)
-        word = np.cumsum(first)[kept] - 1
         starts = np.flatnonzero(first)
         self.count = len(starts)
-        out = np.full(len(kept) + self.count, 32, np.uint8)
-        out[np.arange(len(kept)) + word] = b[kept]
-        sizes = np.bincount(word, minlength=self.count)
-        self.ends = np.cumsum(sizes) + np.arange(self.count)  # in canonical, the space excluded
-        self.begins = self.ends - sizes
-        self.canonical = out.tobytes()
-        # polynomial hash of each word's bytes
-        power = np.full(int(sizes.max()) if self.count else 0, 0x9E3779B97F4A7C15, np.uint64)
-        power = np.cumprod(power) if len(power) else power
-        within = np.arange(len(kept)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        terms = (b[kept].astype(np.uint64) + np.uint64(1)) * power[within]
-        self.hashes = mixed(np.add.reduceat(terms, np.cumsum(sizes) - sizes)) if self.count else np.zeros(0, np.uint64)
+        solid = b[~space]
+        offsets = np.append(np.cumsum(~space, dtype=np.int32)[starts] - 1, len(solid)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), self.count, [None, pa.py_buffer(offsets), pa.py_buffer(solid)])
+        coded = words.dictionary_encode()
+        own = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        self.hashes = own[coded.indices.to_numpy()] if self.count else np.zeros(0, np.uint64)
+        self.solid, self.offsets = solid, offsets
         self.doc = np.searchsorted(block.edges, starts, "right") - 1
         self.first_of_doc = np.searchsorted(self.doc, np.arange(len(block.ids)))
 
 
+    def spaced(self) -> bytes:
+        """Each word followed by one space: word i begins at offsets[i] + i."""
+        out = np.full(len(self.solid) + self.count, 32, np.uint8)
+        places = np.repeat(np.arange(self.count, dtype=np.int32), np.diff(self.offsets))
+        places += np.arange(len(self.solid), dtype=np.int32)
+        out[places] = self.solid
+        return out.tobytes()
+
+
+def _gathered(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs end to end: first[i], first[i] + 1, ... of each."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def _spread(blocks: Iterator[Block], buckets: int) -> Iterator[pa.RecordBatch]:
     for block in blocks:
         w = Words(block)
@@ -64,18 +74,25 @@ def _spread(blocks: Iterator[Block], buckets: int) -> Iterator[pa.RecordBatch]:
         first, windows, place = minimiser_runs(h, WINDOW - MINIMISER + 1, w.doc[: w.count - WINDOW + 1] == w.doc[WINDOW - 1 :])
         if not len(first):
             continue
-        last = first + windows + WINDOW - 2
-        doc = w.doc[first]
+        sizes = windows + WINDOW - 1
+        doc, data, last = w.doc[first], w.spaced(), first + sizes - 1
         ids, start = block.ids[doc], first - w.first_of_doc[doc]
-        strings = [w.canonical[a:b] for a, b in zip(w.begins[first].tolist(), w.ends[last].tolist(), strict=True)]
+        strings = [data[a:b] for a, b in zip((w.offsets[first] + first).tolist(), (w.offsets[last + 1] + last).tolist(), strict=True)]
         code = pa.array(strings, pa.binary()).dictionary_encode().indices.to_numpy()
-        least = np.full(code.max() + 1, np.iinfo(np.int64).max)
+        least = np.full(code.max() + 1, NO_ID)
         np.minimum.at(least, code, ids)
         later = ids > least[code]
-        settled = {"doc_id": ids[later], "text_key": block.keys[doc[later]], "start": start[later], "stop": start[later] + windows[later] + WINDOW - 1}
+        settled = {"doc_id": ids[later], "text_key": block.keys[doc[later]], "start": start[later], "stop": start[later] + sizes[later]}
         go = np.flatnonzero(~later)
-        columns = {"string": pa.array([strings[i] for i in go.tolist()], pa.binary()), "doc_id": pa.array(ids[go]), "text_key": pa.array(block.keys[doc[go]]), "start": pa.array(start[go], pa.int32())}
-        yield shipped_rows(buckets, (h[place[go]] % np.uint64(buckets)).astype(np.int64), columns, settled, int(block.keys[0]))
+        bucket = (h[place[go]] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        go, bucket = go[order], bucket[order]
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(go)]
+        parcels = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = go[a:b]
+            parcels.append((int(bucket[a]), packed([strings[i] for i in own.tolist()], doc_id=ids[own], text_key=block.keys[doc[own]], start=start[own])))
+        yield shipped_rows(parcels, settled, int(block.keys[0]) % buckets)
 
 
 def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,54 +101,37 @@ def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _settle(payloads: list[bytes]) -> dict[str, np.ndarray]:
-    table = pa.concat_tables(map(unpacked, payloads)).combine_chunks()
-    coded = table.column("string").combine_chunks().dictionary_encode()
-    code = coded.indices.to_numpy()
-    ids, keys, start = (table.column(k).to_numpy() for k in ("doc_id", "text_key", "start"))
-    least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
-    np.minimum.at(least, code, ids)
-    strings = coded.dictionary.to_pylist()
-    words = [s.split(b" ") for s in strings]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    rank = pa.array([x for s in words for x in s], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    base = np.cumsum(sizes) - sizes
+    column, numbers = opened(payloads, "doc_id", "text_key", "start")
+    ids, keys, start = numbers.values()
+    words = pc.split_pattern(column.cast(pa.large_binary()), b" ")
+    sizes = words.value_lengths().to_numpy().astype(np.int64)
+    rank = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    del column, words
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    first = np.cumsum(sizes) - sizes
     for step in (1, 2, 4):  # ranks of 2, 4, 8 words
         rank = _paired(rank[:-step], rank[step:])
-    ends = np.append(base[1:], len(owner))
-    window = np.flatnonzero(np.arange(len(owner)) + WINDOW <= ends[owner])
+    window = _gathered(first, sizes - WINDOW + 1)
     same = _paired(rank[window], rank[window + WINDOW - 8])
     of = owner[window]
-    earliest = np.full(same.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(earliest, same, least[of])
-    # by string: of which windows another string has a smaller document
-    seen = earliest[same]
-    counts = sizes - WINDOW + 1
-    # an occurrence repeats throughout if its document isn't the string's first; else where a window is known from before
-    later = np.flatnonzero(ids > least[code])
-    found = [(ids[later], keys[later], start[later], start[later] + counts[code[later]] + WINDOW - 1)]
-    hit = seen < least[of]
-    new = np.ones(len(hit), bool)
-    new[1:] = ~hit[:-1] | (of[1:] != of[:-1])
-    run = np.flatnonzero(hit & new)
-    if len(run):
-        stop_at = np.append(np.flatnonzero(hit & np.append(~hit[1:] | (of[1:] != of[:-1]), True)), [])
-        offset, length = window[run] - base[of[run]], (stop_at - run + 1).astype(np.int64)
-        runs_of = np.bincount(of[run], minlength=len(words))
-        first_run = np.cumsum(runs_of) - runs_of
-        own = np.flatnonzero((ids == least[code]) & (runs_of[code] > 0))
-        n = runs_of[code[own]]
-        item = np.repeat(own, n)
-        which = np.repeat(first_run[code[own]], n) + np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
-        found.append((ids[item], keys[item], start[item] + offset[which], start[item] + offset[which] + length[which] + WINDOW - 1))
-    return dict(zip(("doc_id", "text_key", "start", "stop"), map(np.concatenate, zip(*found, strict=True)), strict=True))
+    earliest = np.full(same.max() + 1, NO_ID)
+    np.minimum.at(earliest, same, ids[of])
+    hit = earliest[same] < ids[of]
+    edge = of[1:] != of[:-1]
+    opens, closes = hit.copy(), hit.copy()
+    opens[1:] &= ~hit[:-1] | edge
+    closes[:-1] &= ~hit[1:] | edge
+    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+    item = of[a]
+    at = start[item] + window[a] - first[item]
+    return {"doc_id": ids[item], "text_key": keys[item], "start": at, "stop": at + (b - a) + WINDOW}
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, kept = [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words = text.encode().split()  # of bytes: at ASCII white space alone
+        for text, spans in zip(plain(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            words = text.split()  # of bytes: at ASCII white space alone
             gone = runs(spans)
             n_words.append(len(words))
             n_removed.append(sum(b - a for a, b in gone))

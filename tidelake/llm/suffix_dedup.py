@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import documents
-from tidelake.llm.superkmer import Block, minimiser_runs, mixed, repeated_spans, runs, shipped_rows, unpacked, with_spans
+from tidelake.llm.superkmer import Block, minimiser_runs, mixed, opened, packed, plain, repeated_spans, runs, shipped_rows, with_spans
 
 WINDOW, MINIMISER = 100, 16
 #: Text of one suffix array.
@@ -180,12 +180,13 @@ def _spread(blocks: Iterator[Block], buckets: int) -> Iterator[pa.RecordBatch]:
             h = h[:-width] * np.uint64(0x9E3779B97F4A7C15 + 2 * width) + h[width:]
             h ^= h >> np.uint64(29)
             width *= 2
+        h = mixed(h)
         sizes = np.diff(block.edges)
         inside = np.zeros(len(b) + 1, np.int8)  # windows that end within their document
         long = sizes >= WINDOW
         np.add.at(inside, block.edges[:-1][long], 1)
         np.add.at(inside, block.edges[1:][long] - WINDOW + 1, -1)
-        first, windows, place = minimiser_runs(mixed(h), WINDOW - MINIMISER + 1, np.cumsum(inside[: len(b) - WINDOW + 1]) > 0)
+        first, windows, place = minimiser_runs(h, WINDOW - MINIMISER + 1, np.cumsum(inside[: len(b) - WINDOW + 1]) > 0)
         if not len(first):
             continue
         doc = np.searchsorted(block.edges, first, "right") - 1
@@ -200,17 +201,22 @@ def _spread(blocks: Iterator[Block], buckets: int) -> Iterator[pa.RecordBatch]:
         later = (ids != ids[known]) | (start != start[known])
         settled = {"doc_id": ids[later], "text_key": block.keys[doc[later]], "start": start[later], "stop": start[later] + windows[later] + WINDOW - 1}
         go = np.sort(earliest)
-        columns = {
-            "string": pa.array([strings[i] for i in go.tolist()], pa.binary()), "doc_id": pa.array(ids[go]), "text_key": pa.array(block.keys[doc[go]]), "start": pa.array(start[go], pa.int32()), "place": pa.array(place[go] - first[go], pa.uint8()),
-        }
-        yield shipped_rows(buckets, (mixed(h[place[go]]) % np.uint64(buckets)).astype(np.int64), columns, settled, int(block.keys[0]))
+        bucket = (h[place[go]] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        go, bucket = go[order], bucket[order]
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(go)]
+        parcels = []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            own = go[x:y]
+            parcel = packed([strings[i] for i in own.tolist()], doc_id=ids[own], text_key=block.keys[doc[own]], start=start[own], place=place[own] - first[own])
+            parcels.append((int(bucket[x]), parcel))
+        yield shipped_rows(parcels, settled, int(block.keys[0]) % buckets)
 
 
 def _settle(payloads: list[bytes], shard_bytes: int = SHARD_BYTES) -> dict[str, np.ndarray]:
-    table = pa.concat_tables(map(unpacked, payloads)).combine_chunks()
-    ids, keys, start, place = (table.column(k).to_numpy() for k in ("doc_id", "text_key", "start", "place"))
-    start = start.astype(np.int64)
-    coded = table.column("string").combine_chunks().dictionary_encode()
+    column, numbers = opened(payloads, "doc_id", "text_key", "start", "place")
+    ids, keys, start, place = numbers.values()
+    coded = column.dictionary_encode()
     code, distinct = coded.indices.to_numpy(), coded.dictionary
     sizes = pc.binary_length(distinct).to_numpy().astype(np.int64)
     order = np.lexsort((start, ids, code))
@@ -266,7 +272,7 @@ def _settle(payloads: list[bytes], shard_bytes: int = SHARD_BYTES) -> dict[str,
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, spans in zip(plain(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             gone = runs(spans)
             edges = [0, *(x for run in gone for x in run), len(text)]
             rows.append((len(text), sum(b - a for a, b in gone), gone, b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])))

@@ -20,13 +20,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import text_of
 
 #: A block of documents: so many bytes of text, or one longer document.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 5_000_000
 NO_ID = np.iinfo(np.int64).max
 SHIPPED, SETTLED = 0, 1
 
@@ -46,7 +47,9 @@ def minimiser_runs(hashes: np.ndarray, per_window: int, valid: np.ndarray) -> tu
     n = len(valid)
     place_bits = np.uint64(24)
     low = np.uint64((1 << 24) - 1)
-    least = (hashes & ~low) | (np.arange(len(hashes), dtype=np.uint64) & low)
+    least = np.arange(len(hashes), dtype=np.uint64)
+    least &= low
+    least |= hashes & ~low
     width = 1
     while width * 2 <= per_window:
         least = np.minimum(least[:-width], least[width:]) if len(least) > width else least[:0]
@@ -64,16 +67,31 @@ def minimiser_runs(hashes: np.ndarray, per_window: int, valid: np.ndarray) -> tu
     return at[first], np.diff(np.append(first, len(at))), place[first]
 
 
-def packed(**columns) -> bytes:
-    batch = pa.record_batch(list(columns.values()), list(columns))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def packed(strings: list[bytes], level: int = 6, **numbers: np.ndarray) -> bytes:
+    """Strings and columns of numbers in one compressed parcel. Numbers go as byte planes, most of which are empty."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    columns = [sizes, *numbers.values()]
+    head = np.array([len(x) for x in columns], "<i8").tobytes()
+    return zstandard.compress(head + b"".join([x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns]) + b"".join(strings), level)
 
 
-def unpacked(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
+def unpacked(parcel: bytes, *names: str) -> tuple[np.ndarray, bytes, dict[str, np.ndarray]]:
+    """Sizes of the strings, the strings end to end, and the columns of numbers."""
+    data = zstandard.decompress(parcel)
+    counts, at, columns = np.frombuffer(data, "<i8", 1 + len(names)), 8 * (1 + len(names)), []
+    for n in counts.tolist():
+        columns.append(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, -1).T.copy().view("<i8").ravel() if n else np.zeros(0, np.int64))
+        at += 8 * n
+    return columns[0], data[at:], dict(zip(names, columns[1:], strict=True))
+
+
+def opened(parcels: list[bytes], *names: str) -> tuple[pa.Array, dict[str, np.ndarray]]:
+    """Several parcels as one: their strings as an Arrow column, and their numbers."""
+    parts = [unpacked(x, *names) for x in parcels]
+    sizes = np.concatenate([p[0] for p in parts])
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    strings = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join([p[1] for p in parts]))])
+    return strings, {k: np.concatenate([p[2][k] for p in parts]) for k in names}
 
 
 class Block:
@@ -99,22 +117,22 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             start = stop
 
 
-def shipped_rows(buckets: int, bucket: np.ndarray, columns: dict[str, pa.Array], settled: dict[str, np.ndarray], salt: int) -> pa.RecordBatch:
-    """What a block sends: one packed table for each bucket, and what it has settled itself to any bucket."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    table = pa.record_batch([c.take(pa.array(order)) for c in columns.values()], list(columns))
-    to, kinds, blobs = [], [], []
-    for a, b in zip([0, *cuts], [*cuts, len(order)], strict=True):
-        if b > a:
-            to.append(int(bucket[order[a]]))
-            kinds.append(SHIPPED)
-            blobs.append(packed(**dict(zip(columns, table.slice(a, b - a).columns, strict=True))))
+def shipped_rows(parcels: list[tuple[int, bytes]], settled: dict[str, np.ndarray], salt: int) -> pa.RecordBatch:
+    """What a block sends: a parcel for each bucket, and what it has settled itself to any bucket."""
+    rows = [(bucket, SHIPPED, parcel) for bucket, parcel in parcels]
     if len(settled["start"]):
-        to.append(salt % buckets)
-        kinds.append(SETTLED)
-        blobs.append(packed(**{k: pa.array(v) for k, v in settled.items()}))
-    return pa.record_batch([pa.array(to, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "payload"])
+        settled = _merged(**settled)
+        rows.append((salt, SETTLED, packed([], **settled)))
+    return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "payload"])
+
+
+def _merged(doc_id: np.ndarray, text_key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> dict[str, np.ndarray]:
+    """Spans that overlap or touch, made one. A document's spans get longer with their start."""
+    order = np.lexsort((start, text_key, doc_id))
+    doc_id, text_key, start, stop = doc_id[order], text_key[order], start[order], stop[order]
+    new = np.append(True, (doc_id[1:] != doc_id[:-1]) | (text_key[1:] != text_key[:-1]) | (start[1:] > stop[:-1]))
+    first = np.flatnonzero(new)
+    return {"doc_id": doc_id[first], "text_key": text_key[first], "start": start[first], "stop": np.maximum.reduceat(stop, first)}
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], settle: Callable[[list[bytes]], dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +149,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], settle: Callable[[list[bytes]]
     for batch in batches:
         for bucket, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if kind == SETTLED:
-                yield from out({k: c.to_numpy() for k, c in zip(("doc_id", "text_key", "start", "stop"), unpacked(payload).columns, strict=True)})
+                yield from out(unpacked(payload, "doc_id", "text_key", "start", "stop")[2])
                 continue
             if bucket != now and held:
                 yield from out(settle(held))
@@ -143,7 +161,17 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], settle: Callable[[list[bytes]]
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
+    """The text, and 24 bits of its hash, which tell rows of one doc_id apart."""
+    key = F.pmod(F.xxhash64(text_of()), F.lit(1 << 24))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), text_of().alias("text"))
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True)
+    for batch in batches:
+        for a in range(0, len(batch), 500):
+            ids, keys, texts = batch.slice(a, 500).columns
+            yield pa.record_batch([ids, keys, pa.array([squeeze.compress(x) for x in texts.cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "text_key", "text"])
 
 
 def repeated_spans(docs: DataFrame, spread: Callable, settle: Callable, buckets: int | None = None) -> DataFrame:
@@ -159,13 +187,18 @@ def repeated_spans(docs: DataFrame, spread: Callable, settle: Callable, buckets:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text and spans of every document."""
-    rows = identified(docs)
+    """doc_id, text (compressed, to move it) and spans of every document; ``plain`` reads the text."""
+    rows = identified(docs).mapInArrow(_compressed, "doc_id bigint, text_key bigint, text binary")
     found = spans.select(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key"), "spans")
     same = rows["doc_id"].eqNullSafe(found["span_id"]) & (rows["text_key"] == found["span_key"])
     return rows.join(found.hint("merge"), same, "left").select("doc_id", "text", "spans")
 
 
+def plain(texts: pa.Array) -> Iterator[bytes]:
+    expand = zstandard.ZstdDecompressor()
+    return (expand.decompress(x) for x in texts.to_pylist())
+
+
 def runs(spans: list[dict] | None) -> list[tuple[int, int]]:
     """Sorted maximal runs covered by the spans."""
     out: list[tuple[int, int]] = []
