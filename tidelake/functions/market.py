@@ -55,6 +55,12 @@ def normalised_side(side: str = "side") -> Column:
     return F.when(word.isin("B", "BUY", "BID", "LONG"), "B").when(word.isin("A", "ASK", "SELL", "SHORT"), "A").otherwise(F.raise_error(F.concat(F.lit("unknown side "), word)))
 
 
+def normalised_coin(coin: str = "coin") -> Column:
+    """Upper case without blanks around it and without -PERP; an empty name is an error where the value is used."""
+    name = F.upper(F.trim(coin))
+    return F.when(name == "", F.raise_error(F.lit("coin must be non-empty"))).otherwise(F.regexp_replace(name, "-PERP$", ""))
+
+
 def interpolated(p: Column, x: list[float], y: list[float]) -> Column:
     """A calibrator's piecewise-linear value: flat outside its knots, clamped to [0, 1]."""
     out = F.lit(float(y[-1]))

@@ -24,6 +24,23 @@ RISK_SCORES = {"allow": 0.15, "alert": 0.58, "block": 0.88}
 # Which action outranks which.
 PRIORITIES = {"block_simulated_agent": 5, "critical_alert": 4, "request_human_review": 4, "warning_alert": 3, "monitor": 2, "add_to_benchmark": 2, "request_retraining": 2, "no_action": 1}
 
+# The next step for each severity, and why each action is taken.
+NEXT_STEPS = {
+    "critical": "Halt simulated agent connection; cancel resting orders; open formal investigation in the compliance queue.",
+    "high": "Raise alert severity and route to active compliance review.",
+    "medium": "Monitor for sustained behavior; collect 5-minute evidence window.",
+    "low": "No action; log observation only.",
+}
+RATIONALES = {
+    "block_simulated_agent": "Critical severity + high model confidence; halt agent and request review.",
+    "critical_alert": "High severity with matched rules; raise priority and review.",
+    "warning_alert": "Medium severity; emit warning and continue monitoring.",
+    "monitor": "Low model confidence; collect more evidence before acting.",
+    "no_action": "Within normal envelope; log only.",
+}
+# How strongly an evading mutation changes a feature at each difficulty.
+EVASION_SCALES = {"easy": 0.30, "medium": 0.55, "hard": 0.85}
+
 
 def matched_rules() -> Column:
     """Names of the rules that the feature columns match."""
@@ -89,3 +106,41 @@ def best_overlap_novelty(rules: str, name: str, seen_rules: str, seen_name: str)
     union = F.size(F.array_union(rules, seen_rules))
     jaccard = F.when((F.size(rules) > 0) & (F.size(seen_rules) > 0), F.size(F.array_intersect(rules, seen_rules)) / union).otherwise(0.0)
     return F.greatest(F.lit(0.0), 1 - F.greatest(jaccard, F.when(F.col(name) == F.col(seen_name), 0.6).otherwise(0.0)))
+
+
+def _known(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x)
+
+
+def _no_worse(candidate: Column, incumbent: Column, least_gain: float) -> Column:
+    """A missing metric fails, an undefined one passes."""
+    return F.when(candidate.isNull() | incumbent.isNull(), False).when(F.isnan(candidate) | F.isnan(incumbent), True).otherwise(candidate - incumbent >= least_gain)
+
+
+def judge_votes(candidate: str, incumbent: str, auc_loss: float = 0.005, f1_loss: float = 0.01, holdout_gain: float = 0.01, latency_inflation: float = 0.30, gap_growth: float = 0.05) -> Column:
+    """How many of five votes a candidate's metrics (pr_auc, f1, holdout, p99_ms) win against an incumbent's."""
+    c, i = F.col(candidate), F.col(incumbent)
+    latency = F.when(c["p99_ms"].isNull() | i["p99_ms"].isNull() | (i["p99_ms"] <= 0), True).otherwise(F.try_divide(c["p99_ms"], i["p99_ms"]) <= 1 + latency_inflation)
+    gaps_known = _known(c["pr_auc"]) & _known(c["holdout"]) & _known(i["pr_auc"]) & _known(i["holdout"])
+    overfit = F.when(gaps_known, c["pr_auc"] - c["holdout"] <= i["pr_auc"] - i["holdout"] + gap_growth).otherwise(True)
+    votes = [_no_worse(c["pr_auc"], i["pr_auc"], -auc_loss), _no_worse(c["f1"], i["f1"], -f1_loss), _no_worse(c["holdout"], i["holdout"], holdout_gain), latency, overfit]
+    return sum((v.cast("int") for v in votes[1:]), votes[0].cast("int"))
+
+
+def judge_verdict(votes: Column, *baseline_lifts: Column) -> Column:
+    """Three votes promote, one or two ask for more data; a reported lift over a baseline below zero always rejects."""
+    loses = F.lit(False)
+    for lift in baseline_lifts:
+        loses = loses | F.coalesce(F.isnan(lift) | (lift < 0), F.lit(False))
+    return F.when(loses, "reject").when(votes >= 3, "promote").when(votes >= 1, "needs_more_data").otherwise("reject")
+
+
+def evaded(difficulty: str = "difficulty") -> dict[str, Column]:
+    """Each feature that a mutation may change, made harder to detect; an unknown difficulty counts as medium."""
+    scale = F.coalesce(by_name(difficulty, EVASION_SCALES), F.lit(EVASION_SCALES["medium"]))
+    less = lambda name, share, floor: F.greatest(F.lit(floor), F.col(name) * (1 - share * scale))
+    return {"min_interarrival": F.col("min_interarrival") + 200 * scale, "burst": less("burst", 0.6, 0.5), "quantity_max": less("quantity_max", 0.5, 0.001), "drift": less("drift", 0.4, 0.0), "cancel_rate": less("cancel_rate", 0.55, 0.02)}
+
+
+def market_regime(spread_bps: Column, risk_score: Column) -> Column:
+    return F.when(spread_bps >= 4, "thin liquidity").when(risk_score >= 0.75, "volatile").otherwise("calm")

@@ -45,11 +45,11 @@ def label_unsafe(events: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def safety_variant(orders: DataFrame, key: str, mid: float, unsafe: bool) -> DataFrame:
-    """Orders made plainly unsafe (fast, drifting, large) or plainly benign (slow, at the mid, small)."""
+    """Orders made plainly unsafe (fast, drifting, large) or plainly benign (slow, around the mid by turns, small)."""
     by = Window.partitionBy(key)
     i = F.row_number().over(by.orderBy("at_ms", "i")) - 1
     start = F.min("at_ms").over(by)
     if unsafe:
         several = F.min("price").over(by) < F.max("price").over(by)
         return orders.withColumns({"price": F.when(several, F.col("price") * (1 + 8e-5 * i)).otherwise(F.col("price")), "quantity": F.greatest("quantity", F.lit(0.08)), "at_ms": start + 8 * i})
-    return orders.withColumns({"price": mid * (1 + F.when(F.col("side") == "buy", -5e-5).otherwise(5e-5)), "quantity": F.least("quantity", F.lit(0.01)), "at_ms": start + 250 * i})
+    return orders.withColumns({"price": mid * (1 + F.when(i % 2 == 0, -5e-5).otherwise(5e-5)), "quantity": F.least("quantity", F.lit(0.01)), "at_ms": start + 250 * i})
