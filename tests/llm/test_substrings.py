@@ -112,3 +112,19 @@ def test_suffix_array_and_prefixes():
             a, b = data[sa[k - 1] :], data[sa[k] :]
             n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
             assert shared[k] == min(n, 100)
+
+
+def test_shard_of_long_shared_passages():
+    """Passages of 130 to 180 bytes in different contexts, over 16 KB: lanes of prefixes walk more than one position."""
+    rng = np.random.default_rng(3)
+    some = lambda low, high: rng.integers(97, 99, rng.integers(low, high)).astype(np.uint8).tobytes()
+    passages = [some(130, 181) for _ in range(40)]
+    strings = sorted({some(0, 20) + passages[i % 40] + some(0, 20) for i in range(400)})
+    assert sum(map(len, strings)) > 4 << 14
+    ids, first = rng.permutation(len(strings)), {}
+    windows = [(i, k, n, s[k : k + 100]) for n, (i, s) in enumerate(zip(ids.tolist(), strings, strict=True)) for k in range(len(s) - 99)]
+    for i, k, _, window in windows:
+        first[window] = min(first.get(window, (BIG, 0)), (i, k))
+    want = [(n, k) for i, k, n, window in windows if first[window] < (i, k)]
+    string, offset = suffix_dedup.Shard(strings, ids, np.zeros(len(strings), np.int64)).covered()
+    assert list(zip(string.tolist(), offset.tolist(), strict=True)) == want

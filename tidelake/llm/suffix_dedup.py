@@ -4,7 +4,8 @@ Every text is a string of bytes; a window is ``WINDOW`` consecutive bytes of one
 travel to shards as super-k-mers (see ``superkmer``). In a shard
 - strings whose minimiser occurs once have no partner and drop out, of equal strings the earliest stays;
 - the suffix array of what is left is built by Larsson-Sadakane refinement in numpy: suffixes are sorted
-  by 8 bytes, then groups that still tie are refined by the ranks found so far, doubling the depth;
+  by 8 bytes, then groups that still tie are refined by the ranks found so far, doubling the depth
+  until none ties (strings are distinct and of two windows at most, so a few rounds do);
 - Kasai's common prefixes, computed for many positions at once, tell where windows agree;
 - strings of one minimiser that outgrow a shard are cut into several shards, whose suffix arrays are
   merged by binary search of one's windows in the other's.
@@ -79,8 +80,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int, lanes: int = 1 << 14) -> np.ndarray:
     """Kasai's array: of each place in ``sa``, the bytes shared with the place before, ``limit`` at most.
 
-    The prefix of position i + 1 is at most one shorter than that of i. Lanes start at positions far
-    apart and walk at once, eight bytes a step.
+    The prefix of position i + 1 is at most one shorter than that of i, if ``sa`` is sorted to the end.
+    Lanes start at positions far apart and walk at once, eight bytes a step.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
@@ -115,7 +116,7 @@ class Shard:
         self.text = np.frombuffer(b"".join([s + bytes([END]) for s in strings]), np.uint8)
         owner = np.repeat(np.arange(len(strings)), sizes)
         base = np.cumsum(sizes) - sizes
-        sa = suffix_array(self.text, WINDOW)
+        sa = suffix_array(self.text, len(self.text))  # sorted to the end: Kasai's bound holds for nothing less
         shared = common_prefixes(self.text, sa, WINDOW)
         whole = sa + WINDOW < (base + sizes)[owner[sa]]
         # windows that agree stand together: a window shares WINDOW bytes with all between it and its equals
