@@ -59,3 +59,23 @@ def test_odd_rows(spark):
     assert got == {0: [(1, 1.0), (2, 1.0), (20, 0.0)], 20: [(1, 1.0), (2, 1.0), (0, 0.0)]}
     assert ann.nearest(table.filter("false"), table).count() == 0
     assert ann.nearest(table, table.filter("false")).count() == 0
+
+
+def test_recall_with_a_third_equal(spark, monkeypatch):
+    """The copies are found by smallest ids, and what is not a copy as well as without them."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 1500)
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(3000, 32))
+    vectors[1::3] = vectors[1]
+    vectors[2::60] = vectors[1] + rng.normal(size=(50, 32)) * 0.3  # nearest to the copies, but not copies
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    assert len(np.unique(ann.draw_pivots(ann.distinct_vectors(ann.valid_vectors(rows), 20)), axis=0)) == ann.PIVOTS
+    got = by_query(ann.nearest(rows, rows.filter("vec_id % 20 = 0 or vec_id % 60 = 2 or vec_id in (1, 4, 2998)")).collect())
+    ids, hits = list(range(3000)), {}
+    for q, found in got.items():
+        # equal vectors may differ in the last bit of the brute-force product
+        score = np.round(vectors @ vectors[q], 9)
+        want = [i for _, i in sorted((-score[j], j) for j in ids if j != q)[:20]]
+        kind = "copy" if q % 3 == 1 else "near" if q % 60 == 2 else "other"
+        hits.setdefault(kind, []).append(len({i for i, _ in found} & set(want)) / 20)
+    assert np.mean(hits["copy"]) >= 0.97 and np.mean(hits["near"]) >= 0.9 and np.mean(hits["other"]) >= 0.9, {k: np.mean(x) for k, x in hits.items()}

@@ -8,16 +8,19 @@ differ: with truncated permutations the footrule distance is a constant minus 2
 longer vector has the larger inner product at the same angle. The ``RERANK`` share of a shard with the
 largest weighted sum is ranked again by the exact inner product, in double precision.
 
-Pivots are a bounded sample (``PIVOTS`` vectors, drawn by hash). Every vector is indexed. Queries and
-index meet in blocks: a block of queries with a shard, each of bounded size.
+Equal vectors are indexed once, with the k + 1 smallest ids that have them: no more can be among the k
+nearest of a query, which leaves out its own id. Pivots are a bounded sample (``PIVOTS`` distinct vectors,
+drawn by hash). Every distinct vector is indexed. Queries and index meet in blocks: a block of queries
+with a shard, each of bounded size.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without
 vec_id, take no part; of rows alike in id and vector one takes part; vectors of another length than the
 commonest take no part; with fewer candidates than asked for, all are returned; equal scores go to
-the smaller vec_id; further columns are ignored.
+the smaller vec_id, and so do equal weighted sums where the reranked share ends; further columns are ignored.
 
 Measured recall of the 20 nearest: 0.97 on 51,282 unit vectors of 64 components, hardly clustered; 0.93 on
-independent normal components, where neighbours are least distinct.
+independent normal components, where neighbours are least distinct (both with pivots drawn from rows, not
+measured again with distinct ones); 0.98 to 1.0 on 3000 vectors of which a third are equal.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +38,12 @@ from tidelake.llm.common import materialised
 PIVOTS, PREFIX, RERANK, LEAST_CANDIDATES = 128, 32, 0.25, 256
 SHARD_ROWS, QUERY_ROWS = 8192, 2048
 
-_SHARD_SCHEMA = "shard bigint, ids binary, vectors binary, posted array<struct<members:binary,places:binary>>"
+_SHARD_SCHEMA = "shard bigint, ids binary, vectors binary, counts binary, posted array<struct<members:binary,places:binary>>"
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
     """vec_id and vector (doubles) of the rows that take part."""
-    vector = F.transform("embedding", lambda x: x.cast("double"))
+    vector = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))  # -0 is 0
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
     return rows.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), vector.alias("vector")).filter(fine).dropDuplicates(["vec_id", "vector"])
 
@@ -50,8 +54,15 @@ def common_width(vectors: DataFrame) -> int:
     return row["width"] if row else 0
 
 
-def draw_pivots(vectors: DataFrame) -> np.ndarray:
-    return np.array([r["vector"] for r in vectors.orderBy(F.xxhash64("vec_id", "vector"), "vec_id").limit(PIVOTS).collect()])
+def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
+    """vector and ids, the k + 1 smallest in order. The limit by rank holds before the shuffle too, so a vector of very many rows is not one task's."""
+    order = Window.partitionBy("vector").orderBy("vec_id")
+    few = vectors.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
+    return few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+
+
+def draw_pivots(distinct: DataFrame) -> np.ndarray:
+    return np.array([r["vector"] for r in distinct.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(PIVOTS).collect()])
 
 
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -64,20 +75,22 @@ def _matrix(table: pa.Table, width: int) -> np.ndarray:
 
 
 def _posted(table: pa.Table, pivots: np.ndarray) -> pa.Table:
-    """One shard: its vectors, and an inverted file for each pivot."""
+    """One shard: its vectors by smallest id, the ids of each end to end, and an inverted file for each pivot."""
+    table = table.take(pc.sort_indices(pc.list_element(table.column("ids"), 0)))
     vectors = _matrix(table, pivots.shape[1])
     near = nearest_pivots(vectors, pivots)
     order = np.argsort(near.ravel(), kind="stable")
     pivot, member, place = near.ravel()[order], (order // near.shape[1]).astype("<u4"), (order % near.shape[1]).astype("<i2")
     edges = np.searchsorted(pivot, np.arange(len(pivots) + 1))
     files = [{"members": member[a:b].tobytes(), "places": place[a:b].tobytes()} for a, b in zip(edges, edges[1:], strict=False)]
-    ids = table.column("vec_id").to_numpy().astype("<i8")
-    return pa.table({"shard": table.column("shard").slice(0, 1), "ids": pa.array([ids.tobytes()]), "vectors": pa.array([vectors.astype("<f8").tobytes()]), "posted": pa.array([files], pa.list_(pa.struct([("members", pa.binary()), ("places", pa.binary())])))})
+    ids = table.column("ids").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8")
+    counts = pc.list_value_length(table.column("ids")).to_numpy().astype("<i4")
+    return pa.table({"shard": table.column("shard").slice(0, 1), "ids": pa.array([ids.tobytes()]), "vectors": pa.array([vectors.astype("<f8").tobytes()]), "counts": pa.array([counts.tobytes()]), "posted": pa.array([files], pa.list_(pa.struct([("members", pa.binary()), ("places", pa.binary())])))})
 
 
-def build_index(vectors: DataFrame, pivots: np.ndarray, shards: int) -> DataFrame:
+def build_index(distinct: DataFrame, pivots: np.ndarray, shards: int) -> DataFrame:
     """The index as a table with one row per shard."""
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)))
+    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("vector", F.lit(1)), F.lit(shards)).cast("long"))
     return dealt.groupBy("shard").applyInArrow(lambda t: _posted(t, pivots), _SHARD_SCHEMA)
 
 
@@ -89,22 +102,33 @@ def _searched(queries: pa.Table, shard: pa.Table, pivots: np.ndarray, k: int) ->
     row = shard.to_pylist()[0]
     ids, width = np.frombuffer(row["ids"], "<i8"), pivots.shape[1]
     vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, width)
+    counts = np.frombuffer(row["counts"], "<i4").astype(np.int64)
+    begins = np.cumsum(counts) - counts
     lengths = np.linalg.norm(vectors, axis=1)
     files = [(np.frombuffer(f["members"], "<u4"), np.frombuffer(f["places"], "<i2")) for f in row["posted"]]
     query_ids, asked = queries.column("vec_id").to_numpy(), _matrix(queries, width)
-    take = min(len(ids), max(LEAST_CANDIDATES, math.ceil(RERANK * len(ids))))
+    take = min(len(vectors), max(LEAST_CANDIDATES, math.ceil(RERANK * len(vectors))))
     out: tuple[list, list, list] = ([], [], [])
     for query_id, query, near in zip(query_ids.tolist(), asked, nearest_pivots(asked, pivots), strict=True):
-        closeness = np.zeros(len(ids), np.int16)
+        closeness = np.zeros(len(vectors), np.int16)
         for place, pivot in enumerate(near.tolist()):
             members, places = files[pivot]
             closeness[members] += PREFIX - np.maximum(places, np.int16(place))
-        found = np.argpartition(-closeness * lengths, take - 1)[:take]
-        found = found[ids[found] != query_id]
+        weighted = closeness * lengths
+        cut = np.partition(weighted, len(weighted) - take)[len(weighted) - take]
+        found = np.flatnonzero(weighted > cut)
+        found = np.append(found, np.flatnonzero(weighted == cut)[: take - len(found)])  # vectors stand by smallest id
+        # each vector's smallest id besides the query's
+        own = ids[begins[found]] == query_id
+        found, own = found[~own | (counts[found] > 1)], own[~own | (counts[found] > 1)]
         score = vectors[found] @ query
-        best = np.lexsort((ids[found], -score))[:k]
+        best = np.lexsort((ids[begins[found] + own], -score))[:k]
+        size = counts[found[best]]
+        at = np.repeat(begins[found[best]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score, at = np.repeat(score[best], size)[ids[at] != query_id], at[ids[at] != query_id]
+        best = np.lexsort((ids[at], -score))[:k]
         out[0].extend([query_id] * len(best))
-        out[1].extend(ids[found[best]].tolist())
+        out[1].extend(ids[at[best]].tolist())
         out[2].extend(score[best].tolist())
     return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
@@ -115,11 +139,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     vectors, asked = materialised(valid_vectors(rows)), materialised(valid_vectors(queries))
     width = common_width(vectors)
     vectors, asked = vectors.filter(F.size("vector") == width), asked.filter(F.size("vector") == width)
-    pivots = draw_pivots(vectors)
+    distinct = materialised(distinct_vectors(vectors, k))
+    pivots = draw_pivots(distinct)
     if not len(pivots):
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    shards, blocks = (max(1, math.ceil(x.count() / n)) for x, n in ((vectors, SHARD_ROWS), (asked, QUERY_ROWS)))
-    index = materialised(build_index(vectors, pivots, shards))
+    shards, blocks = (max(1, math.ceil(x.count() / n)) for x, n in ((distinct, SHARD_ROWS), (asked, QUERY_ROWS)))
+    index = materialised(build_index(distinct, pivots, shards))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
     left = asked.select("vec_id", "vector", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).withColumn("shard", F.col("shard").cast("long"))
     right = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).withColumn("block", F.col("block").cast("long"))
