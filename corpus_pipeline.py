@@ -3,7 +3,8 @@
 Each stage takes the documents that its predecessor kept, as Parquet, and all but the last return the
 columns of documents:
 
-1. language ID rejects documents without any letter, which have no language;
+1. language ID rejects documents without any letter, which have no language, and no others: not those
+   whose language is unknown because no row offers a label to learn from;
 2. exact dedup keeps one document of each group of copies;
 3. near dedup keeps the smallest document of each component of near-duplicates;
 4. the secret scan replaces every secret by a mark and leaves clean texts as they are;
@@ -26,7 +27,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.Model(language_id.training_sample(docs))
-    return language_id.predict(docs, model, [c for c in COLUMNS if c != "text"]).filter("lang_pred <> 'und'").select(COLUMNS)
+    return language_id.predict(docs, model, [c for c in COLUMNS if c != "text"]).filter("lettered").select(COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,13 @@ def test_stages_on_odd_rows(spark, sf_dir):
     assert got == [("5", "[secret] and more"), ("6", "x" * 40), ("None", "no id here")]
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.filter("false"), sf_dir).count() == 0
+
+
+def test_language_id_without_labels(spark, sf_dir):
+    """Nothing to learn from, or only a language named as what has none: what has a letter stays."""
+    rows = [(1, None), (2, ""), (3, "12 !"), (4, "some words"), (None, "no id here"), (5, "\u00e9"), (6, "\u6f22\u5b57")]
+    for lang in (None, "und"):
+        docs = spark.createDataFrame([(i, t, lang, None, None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        got = corpus_pipeline.identify_language(spark, docs, sf_dir)
+        assert got.columns == corpus_pipeline.COLUMNS
+        assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted((str(i), t) for i, t in rows[3:])

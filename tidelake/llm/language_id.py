@@ -188,6 +188,7 @@ def _entropies(texts: list[str], alphabet: Alphabet, model: Model) -> tuple[np.n
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     alphabet = Alphabet(model.letters)
     for batch in batches:
+        names_out = [*batch.schema.names, "lang_pred", "score", "lettered"]
         texts = [x or "" for x in batch.column(1).to_pylist()]
         cuts, room = [0], 0
         for i, x in enumerate(texts):
@@ -197,22 +198,22 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
             room += len(x)
         for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True):
             entropy, lettered = _entropies(texts[a:b], alphabet, model)
+            others = [c.slice(a, b - a) for c in batch.columns]  # pass through as they came
+            if not model.langs:
+                yield pa.record_batch([*others, pa.array(["und"] * (b - a), pa.string()), pa.array(np.zeros(b - a)), pa.array(lettered)], names_out)
+                continue
             best = entropy.argmin(1)
             least = np.partition(entropy, min(1, entropy.shape[1] - 1), 1)
             second = least[:, 1] if entropy.shape[1] > 1 else np.full(len(least), np.inf)
             score = np.where(np.isinf(second), 1.0, second / np.maximum(least[:, 0] + second, 1e-12))
             names = [model.langs[k] if ok else "und" for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
-            # the other columns pass through as they came
-            others = [c.slice(a, b - a) for c in batch.columns]
-            yield pa.record_batch([*others, pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0))], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*others, pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(lettered)], names_out)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns, text, lang_pred and score of every document."""
+    """``keep`` columns, text, lang_pred, score and lettered (whether the text has a letter, which holds without a model too) of every document."""
     rows = docs.select(F.col(keep[0]), "text", *keep[1:]) if keep[0] != "text" else docs.select(F.lit(None).cast("int").alias("_"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double"
-    if not model.langs:
-        return rows.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double, lettered boolean"
     return rows.mapInArrow(lambda it: _predict(it, model), schema)
 
 
