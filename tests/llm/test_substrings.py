@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from tidelake.llm import substring_dedup, suffix_dedup
+from tidelake.llm import substring_dedup, suffix_dedup, superkmer
 
 PASSAGE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
 ROWS = [
@@ -128,3 +128,8 @@ def test_shard_of_long_shared_passages():
     want = [(n, k) for i, k, n, window in windows if first[window] < (i, k)]
     string, offset = suffix_dedup.Shard(strings, ids, np.zeros(len(strings), np.int64)).covered()
     assert list(zip(string.tolist(), offset.tolist(), strict=True)) == want
+
+
+def test_rows_without_id_have_keys_of_their_own(spark):
+    docs = spark.range(30000).selectExpr("cast(null as bigint) doc_id", "concat('text ', id) text")
+    assert superkmer.identified(docs).select("text_key").distinct().count() == 30000
