@@ -74,12 +74,51 @@ def test_members_that_the_leader_does_not_link(spark, families, monkeypatch):
     """With one band of one register nearly all meet in few buckets, and links come from comparing components."""
     docs = spark.createDataFrame(families, "doc_id bigint, text string")
     monkeypatch.setattr(minhash_dedup, "BANDS", 32)
-    monkeypatch.setattr(minhash_dedup, "MEMBERS_PER_BLOCK", 3)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(minhash_dedup, "PAIRS_PER_COPY", 2)
+    monkeypatch.setattr(minhash_dedup, "PRODUCT_WIDTH", 7)
     monkeypatch.setattr(minhash_dedup, "ROWS", 1)
     got = minhash_dedup.near_duplicates(docs).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(families)
 
 
+def test_a_large_group_around_the_threshold(spark):
+    """Half of a group links to its middle, the others differ from it too much; those are linked in pairs or not at all."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    middle, rows = [word() for _ in range(150)], []
+    for _ in range(400):
+        text = list(middle)
+        for _ in range(rng.randint(0, 10)):
+            text[rng.randrange(len(text))] = word()
+        rows.append(" ".join(text))
+        if rng.random() < 0.1:
+            text[rng.randrange(len(text))] = word()
+            rows.append(" ".join(text))
+    rows = list(enumerate(rows))
+    want = brute(rows)
+    n_components = len({c for _, c in want.values()})
+    assert 50 < n_components < 300
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_links_of_blocks_against_all_pairs():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.choice(60, rng.integers(1, 50))).astype(np.uint64) for _ in range(40)]
+    component, block = rng.integers(0, 30, 40), rng.integers(0, 2, 40)
+    for blocks in (block, np.zeros(40, np.int64)):
+        x, y = minhash_dedup._linked_pairs(sets, blocks, component)
+        got = {(min(p), max(p)) for p in zip(x.tolist(), y.tolist(), strict=True)}
+        want = set()
+        for i in range(40):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if component[i] != component[j] and (blocks[i] != blocks[j] or not blocks.any()) and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    want.add((j, i))
+        assert got == want
+
+
 def test_odd_rows(spark):
     text = "some words that are long enough to make shingles of four words each"
     docs = spark.createDataFrame([(None, text), (2, text), (2, text), (1, text), (None, None), (3, None)], "doc_id bigint, text string")

@@ -4,28 +4,31 @@ A document is the set of its hashed ``SHINGLE``-word shingles. Its sketch has ``
 hash function the least value, read as an exponential variate and stored as its truncated logarithm to
 base ``BASE``, so the sketch of a union is the registers' maximum.
 
-1. Equal sets are one class; its smallest document stands for it.
+1. Equal sets (by a cryptographic digest of the whole sorted set) are one class; its smallest document
+   stands for it.
 2. Bands of register values put classes into buckets. In a bucket every member is compared to the
-   smallest one. At similarity 0.8 a pair misses all bands with probability (1 - 0.8^5)^32 < 4e-6.
+   smallest one, its leader. At similarity 0.8 a pair misses all bands with probability (1 - 0.8^5)^32 < 4e-6.
 3. The likelihood of the registers' order, given both set sizes, estimates the similarity; pairs
    estimated five standard deviations below the threshold drop out. The others are confirmed on the full sets.
-4. Links give components. In buckets whose members are not all in one component, the members of
-   different components are compared in blocks of sketches. Of each two components first the most similar
-   pairs are confirmed, since one link joins them; what is still apart is then compared in full. So no link
-   between components of a bucket is lost, and pairs within a component are never listed.
+4. Links give components. Where a bucket has members outside its leader's component, these are compared to
+   all other members in blocks of full sets: one product of 0/1 matrices counts what all pairs of two blocks
+   share. A cell of two blocks returns only links that join components, fewer than it has members. So no
+   link between components of a bucket is lost, and pairs are never rows.
 
 Defined results: null, empty and white texts have an empty set and no link; texts of fewer words than
 a shingle are one shingle; a row without doc_id takes no part (component null, kept); rows of one
-doc_id count as one document; repeated rows each get a row; further columns are ignored.
+doc_id count as one document; repeated rows each get a row; very long texts are read whole, a text that
+outgrows a block is a block by itself; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import documents, materialised
@@ -38,10 +41,10 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base of the logarithm, rate, and largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65534
-#: Pairs that are confirmed of each two components and blocks, in rounds; the last round takes all that is left.
-PAIRS_PER_ROUND = (2, 16, None)
-#: Members of a bucket that are compared with each other in one go.
-MEMBERS_PER_BLOCK = 512
+#: Members and shingles of a bucket that make one block of full sets, and shingles that one matrix product counts.
+BLOCK_MEMBERS, BLOCK_SHINGLES, PRODUCT_WIDTH = 1024, 400_000, 2048
+#: Pairs of one leader that meet one copy of its row.
+PAIRS_PER_COPY = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -114,14 +117,15 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, h = shingle_sets(block)
         n = np.bincount(doc, minlength=len(block.ids))
         has = np.flatnonzero(n)
-        starts = (np.cumsum(n) - n)[has]
-        first, second, sketch = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), [None] * len(n)
+        edges = np.append(0, np.cumsum(n))
+        digest, sketch = [None] * len(n), [None] * len(n)
         if len(has):
-            first[has], second[has] = np.add.reduceat(mixed(h), starts), np.add.reduceat(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), starts)
-            for i, x in zip(has.tolist(), registers(h, starts), strict=True):
+            whole = h.astype("<u8").data
+            for i, x in zip(has.tolist(), registers(h, edges[has]), strict=True):
+                digest[i] = hashlib.sha256(whole[edges[i] : edges[i + 1]]).digest()[:16]
                 sketch[i] = x.astype("<u2").tobytes()
         ids = pa.array(block.ids, mask=block.ids == np.iinfo(np.int64).max)
-        yield pa.record_batch([ids, pa.array(n), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sketch"])
+        yield pa.record_batch([ids, pa.array(n), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "class", "sketch"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +145,9 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose estimate reaches LEAST_ESTIMATE."""
     for batch in batches:
         for start in range(0, len(batch), 20_000):
-            a, b, n1, n2, s1, s2 = batch.slice(start, 20_000).columns
+            a, b, level, n1, n2, s1, s2 = batch.slice(start, 20_000).columns
             keep = pa.array(estimated_similarity(_sketches(s1), _sketches(s2), n1.to_numpy(), n2.to_numpy()) >= LEAST_ESTIMATE)
-            yield pa.record_batch([a.filter(keep), b.filter(keep)], ["a", "b"])
+            yield pa.record_batch([x.filter(keep) for x in (a, b, level)], ["a", "b", "level"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,97 +161,129 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, i, j): plausible pairs between components, of blocks i and j of a bucket.
-
-    With a limit, of each two components the pairs with the highest estimates.
-    """
-
-    def pairs(rows: list) -> pa.RecordBatch | None:
-        if len({r[5] for r in rows}) < 2:
-            return None
-        node, block, n, comp = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 6, 5))
-        sketch = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(len(rows), REGISTERS)
-        i, j = rows[0][1], rows[0][2]
-        left, right, found = np.flatnonzero(block == i), np.flatnonzero(block == j), []
-        for x in left.tolist():
-            other = right[(comp[right] != comp[x]) & ((node[right] > node[x]) | (i != j))]
-            if len(other):
-                estimate = estimated_similarity(np.broadcast_to(sketch[x], (len(other), REGISTERS)), sketch[other], np.full(len(other), n[x]), n[other])
-                other, estimate = other[estimate >= LEAST_ESTIMATE], estimate[estimate >= LEAST_ESTIMATE]
-                found.append((np.full(len(other), x), other, estimate))
-        if not found:
-            return None
-        x, y, estimate = map(np.concatenate, zip(*found, strict=True))
-        if limit is not None and len(x):
-            one, two = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-            order = np.lexsort((-estimate, two, one))
-            x, y, one, two = x[order], y[order], one[order], two[order]
-            first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-            nth = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
-            x, y = x[nth < limit], y[nth < limit]
-        return pa.record_batch([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
+def _linked_pairs(sets: list[np.ndarray], block: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all linked pairs between components, and, of two blocks, between blocks."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    row = np.repeat(np.arange(len(sets)), size)
+    column, met = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    common = met[column] > 1
+    row, column = row[common], column[common]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    column = np.cumsum(np.append(0, np.diff(column) > 0)) if len(column) else column
+    one = block == block.min()
+    left = np.flatnonzero(one)
+    right = left if one.all() else np.flatnonzero(~one)
+    both, lo = np.zeros((len(left), len(right)), np.float32), 0
+    while lo < len(column):  # shingles that occur once can't be shared
+        hi = int(np.searchsorted(column, column[lo] + PRODUCT_WIDTH))
+        there = np.zeros((len(sets), int(column[hi - 1] - column[lo]) + 1), np.float32)
+        there[row[lo:hi], column[lo:hi] - column[lo]] = 1
+        both += there[left] @ there[right].T
+        lo = hi
+    linked = 100 * both >= PERCENT * (size[left][:, None] + size[right][None, :] - both)
+    linked &= component[left][:, None] != component[right][None, :]
+    x, y = np.nonzero(linked)
+    return left[x], right[y]
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, i, j), each cell the members of blocks i and j: links (a, b) that join components, as few as do."""
+
+    def joins(rows: list) -> list[tuple[int, int]]:
+        node, block, component = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        if (component == component[0]).all():
+            return []
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root.setdefault(up, up)
+            return x
+
+        found = []
+        for x, y in zip(*(z.tolist() for z in _linked_pairs([np.frombuffer(r[6], "<u8") for r in rows], block, component)), strict=True):
+            p, q = find(int(component[x])), find(int(component[y]))
+            if p != q:
+                root[p] = q
+                found.append((int(min(node[x], node[y])), int(max(node[x], node[y]))))
+        return found
+
+    def out(found: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     held: list = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and row[:3] != held[0][:3]:
-                if (found := pairs(held)) is not None:
-                    yield found
+                if found := joins(held):
+                    yield out(found)
                 held = []
             held.append(row)
-    if held and (found := pairs(held)) is not None:
-        yield found
-
-
-def _pairs_between(met: DataFrame, components: DataFrame, sketches: DataFrame, limit: int | None) -> DataFrame:
-    """Plausible pairs (a, b) of nodes that share a bucket but no component."""
-    placed = met.join(components.hint("merge"), "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("n_members")).filter("lo < hi").select("bucket", "n_members")
-    n_blocks = F.ceil(F.col("n_members") / MEMBERS_PER_BLOCK).cast("int")
-    rows = placed.join(apart.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "component")
-    rows = rows.join(sketches.hint("merge"), "node").select("bucket", "i", "j", "node", "block", "component", "n", "sketch")
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lambda it: _across(it, limit), "a bigint, b bigint").distinct()
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough. The second side's set travels to the first side's."""
-    of = lambda side: sets.select(F.col("id").alias(side), F.col("members").alias(f"set_{side}")).hint("merge")
-    joined = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(_confirmed, "a bigint, b bigint")
+    if held and (found := joins(held)):
+        yield out(found)
+
+
+def _links_between(met: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes that share a bucket but no component: at least those that join what the bucket's links join."""
+    placed = met.join(components.hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min("node").alias("first"))
+    blocks_of = lambda members, shingles: F.greatest(F.ceil(members / BLOCK_MEMBERS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    lead = lambda c: F.min_by(c, "first")
+    apart = parts.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("parts"), lead("component").alias("lead"), blocks_of(lead("members"), lead("shingles")).alias("in_lead"), blocks_of(F.sum("members") - lead("members"), F.sum("shingles") - lead("shingles")).alias("outside")
+    )
+    rows = placed.join(apart.filter("parts > 1").hint("merge"), "bucket")
+    # blocks of members outside the leader's component come first; they meet all blocks, those inside only them
+    own = F.when(F.col("component") != F.col("lead"), F.pmod(F.xxhash64("node"), F.col("outside"))).otherwise(F.col("outside") + F.pmod(F.xxhash64("node"), F.col("in_lead"))).cast("int")
+    last = F.when(F.col("component") != F.col("lead"), F.col("outside") + F.col("in_lead")).otherwise(F.col("outside")) - 1
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "component")
+    rows = rows.join(sets.select(F.col("id").alias("node"), "members").hint("merge"), "node").select("bucket", "i", "j", "node", "block", "component", "members")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_joining, "a bigint, b bigint").distinct()
+
+
+def _beside(pairs: DataFrame, rows: DataFrame, *values: str) -> DataFrame:
+    """Pairs (a, b, level) with both sides' ``values`` of ``rows`` (id, ...). What a leader brings is copied 2^level times, so that its pairs spread."""
+    copies = F.pow(F.lit(2), "level").cast("int")
+    side = lambda x: rows.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in values])
+    firsts = side("a").join(pairs.select("a", "level").distinct().hint("merge"), "a").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    seconds = pairs.withColumn("copy", F.pmod(F.xxhash64("b"), copies).cast("int")).join(side("b").hint("merge"), "b")
+    return seconds.join(firsts.hint("merge"), ["a", "level", "copy"])
+
+
+def _level(size: Column) -> Column:
+    """So many doublings that 2^level copies serve ``size`` pairs."""
+    return F.greatest(F.ceil(F.log2(size / PAIRS_PER_COPY)), F.lit(0)).cast("int")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    rows = materialised(identified(docs).mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sketch binary"))
+    rows = materialised(identified(docs).mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, class binary, sketch binary"))
     taking_part = rows.filter("doc_id is not null and n_shingles > 0")
-    classes = materialised(taking_part.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
+    classes = materialised(taking_part.groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     key = lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * 2 * ROWS + 1, F.lit(2 * ROWS)))
-    members = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("bucket"))
+    members = classes.select("node", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = materialised(members.join(buckets.hint("merge"), "bucket"))
 
-    sketches = classes.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
-    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")).hint("merge")
-    near = met.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    tested = materialised(near.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_plausible, "a bigint, b bigint"))
+    # rows of one doc_id with different texts are several classes of one node
+    sketches = classes.groupBy(F.col("node").alias("id")).agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    near = met.filter("node != leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max(_level(F.col("size"))).alias("level"))
+    plausible = _beside(near, sketches, "n", "sketch").select("a", "b", "level", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_plausible, "a bigint, b bigint, level int")
 
     texts = identified(docs).join(met.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text_key", "text")
     sets = materialised(texts.mapInArrow(_full_sets, "id bigint, members binary"))
-    links = materialised(_confirm(tested, sets))
+    confirmed = _beside(materialised(plausible), sets, "members").select("a", "b", "members_a", "members_b").mapInArrow(_confirmed, "a bigint, b bigint")
+    links = materialised(confirmed)
     components = connected_components(links)
-    for limit in PAIRS_PER_ROUND:
-        new = materialised(_pairs_between(met, components, sketches, limit).join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(new)
-        more = materialised(_confirm(new, sets))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            components = connected_components(links)
-
-    of_class = classes.select("d1", "d2", F.col("n_shingles"), "node").join(components, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("component"))
+    more = materialised(_links_between(met, components, sets))
+    if not more.isEmpty():
+        components = connected_components(links.unionByName(more))
+
+    of_class = classes.select("class", "node").join(components.hint("merge"), "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     # rows of one doc_id are one document: the least component of their sets
-    placed_rows = rows.drop("sketch").join(of_class.hint("merge"), ["d1", "d2", "n_shingles"], "left")
+    placed_rows = rows.drop("sketch").join(of_class.hint("merge"), "class", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return placed_rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
