@@ -29,14 +29,23 @@ def brute(rows):
 
 
 @pytest.mark.parametrize("digest", [exact_dedup.sha256_digest, lambda norm: F.substring(F.sha2(norm, 256), 1, 1), lambda norm: F.lit("same")])
-def test_exact_dedup_even_with_a_weak_digest(spark, monkeypatch, digest):
-    monkeypatch.setattr(exact_dedup, "ROWS_PER_SALT", 2)
+@pytest.mark.parametrize("blocks", [4096, 0], ids=["filter", "join"])
+def test_exact_dedup_even_with_a_weak_digest(spark, monkeypatch, digest, blocks):
+    monkeypatch.setattr(exact_dedup, "PARTS", 6)
+    monkeypatch.setattr(exact_dedup, "FILTER_BLOCKS", blocks)
     docs = spark.createDataFrame([(i, t, "x", 0) for i, t in ROWS], "doc_id bigint, text string, digest string, group_size int")
     got = sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.exact_dedup(docs, digest).collect())
     assert got == brute(ROWS)
     assert exact_dedup.exact_dedup(docs.filter("false"), digest).count() == 0
 
 
+def test_filter_passes_all_that_it_holds_and_little_else(spark):
+    digests = spark.range(40000).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("digest"), "id")
+    held = digests.filter("id % 20 = 0")
+    got = [r["id"] for r in exact_dedup.passing(digests, exact_dedup.digest_filter(held, 3), 3).collect()]
+    assert {i for i in range(0, 40000, 20)} <= set(got) and len(got) < 2000 + 400
+
+
 def test_probe_finds_given_digests(spark, tmp_path):
     path = str(tmp_path / "index")
     docs = spark.createDataFrame(ROWS, "doc_id bigint, text string")
