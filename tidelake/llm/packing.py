@@ -12,7 +12,7 @@
 
 Defined results: a null or empty text is one piece holding the end id; repeated rows are packed each;
 a null doc_id stays null; ties are broken by task and order of reading, so sequence numbers may differ
-between runs while their number doesn't; further columns are ignored; an empty table packs into nothing.
+between runs while their number doesn't; very long texts are tokenised whole and only then cut; further columns are ignored; an empty table packs into nothing.
 """
 
 from __future__ import annotations
@@ -218,12 +218,12 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> D
     plan = spark.createDataFrame(rows, "length int, first bigint, times bigint, sequence bigint, offset bigint")
     blocks = F.sequence(F.floor(F.col("first") / RANK_BLOCK), F.floor((F.col("first") + F.col("times") - 1) / RANK_BLOCK))
     plan = plan.withColumn("rank_block", F.explode(blocks))
-    ranked = pieces.drop("ids").join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    ranked = pieces.drop("ids").join(bases.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     ranked = ranked.withColumn("rank_block", F.floor(F.col("rank") / RANK_BLOCK))
     within = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("times"))
     placed = ranked.join(plan.hint("merge"), ["length", "rank_block"]).filter(within)
     placed = placed.select("part", "length", "nth", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
-    return pieces.join(placed, ["part", "length", "nth"]).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids", "sequence_id", "offset")
+    return pieces.join(placed.hint("merge"), ["part", "length", "nth"]).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids", "sequence_id", "offset")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
