@@ -8,8 +8,8 @@ verifies every document.
 
 Defined results: a null text counts as empty and has no spans; positions are code points, end
 exclusive; within a kind matches are leftmost and do not overlap, those that fail a length test are
-dropped after matching; spans of different kinds may overlap; repeated rows each get a result;
-further columns are ignored (:func:`scan` keeps those asked for); an empty table gives an empty result.
+dropped after matching; spans of different kinds may overlap; repeated rows each get a result; rows
+without doc_id too; very long texts are scanned whole, in time that grows with their length; further columns are ignored (:func:`scan` keeps those asked for); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,13 +40,14 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     Rule("hex", r"[0-9a-f]+", 32),
 )
-# Public formats of credentials that carry their own prefix.
+# Public formats of credentials that carry their own prefix. No group repeats without bound, as Java's
+# matcher would recurse; a token's header is of 1000 characters at most, so that no text takes quadratic time.
 PREFIX_RULES = (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----"),
     Rule("github", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("slack", r"(?:xoxb|xoxa|xoxp|xoxr|xoxs)-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
 #: Alternatives of literal text followed at once; beyond, the run of literals is cut there.
@@ -122,24 +123,29 @@ def trigram_query(pattern: str) -> Clauses:
     return _clauses(list(regex_parser.parse(pattern)))
 
 
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """What postings call a row: rows without doc_id differ by their text. Rows that share a key by chance are verified each."""
+    return F.xxhash64(doc_id, text)
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index, restricted to the trigrams that some rule asks for: (trigram, doc_id)."""
-    low = docs.select("doc_id", F.lower(text_of()).alias("low"))
+    """The inverted index, restricted to the trigrams that some rule asks for: (trigram, row_key)."""
+    low = docs.select(_row_key(F.col("doc_id"), text_of()).alias("row_key"), F.lower(text_of()).alias("low"))
     found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
-    return low.select("doc_id", F.explode(found).alias("trigram"))
+    return low.select("row_key", F.explode(found).alias("trigram"))
 
 
 def candidates(posted: DataFrame, queries: dict[str, Clauses]) -> DataFrame:
-    """Intersected postings: (doc_id, kinds), the rules one of whose clauses is complete in the document."""
+    """Intersected postings: (row_key, kinds), the rules one of whose clauses is complete in the document."""
     spark = posted.sparkSession
     rows = [(kind, n, t, len(clause)) for kind, clauses in queries.items() for n, clause in enumerate(sorted(map(sorted, clauses))) for t in clause]
     wanted = spark.createDataFrame(rows, "kind string, clause int, trigram string, size int")  # as many rows as the rules have trigrams
     return (
         posted.join(F.broadcast(wanted), "trigram")
-        .groupBy("doc_id", "kind", "clause", "size")
+        .groupBy("row_key", "kind", "clause", "size")
         .agg(F.size(F.collect_set("trigram")).alias("met"))
         .filter("met = size")
-        .groupBy("doc_id")
+        .groupBy("row_key")
         .agg(F.collect_set("kind").alias("kinds"))
     )
 
@@ -200,7 +206,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + PREFIX_RULES, k
     none = F.array().cast("array<string>")
     if indexed:
         found = candidates(materialised(postings(docs, trigrams)), indexed)
-        rows = rows.join(found, rows["scanned_id"].eqNullSafe(found["doc_id"]), "left").withColumn("kinds", F.coalesce("kinds", none))
+        rows = rows.withColumn("row_key", _row_key(F.col("scanned_id"), whole)).join(found.hint("merge"), "row_key", "left").withColumn("kinds", F.coalesce("kinds", none))
     rows = rows.withColumn("whole", whole)
     rules, ranks = tuple(map(_quick, rules)), range(len(rules))
     for i, r in enumerate(rules):  # three steps, so that each is computed once
