@@ -7,7 +7,7 @@ window. Equal windows are removed wherever a document with a smaller doc_id has
 
 Defined results: a null, empty or white text has no words; repeats within one document, and between
 rows of one doc_id, stay; a null doc_id counts as larger than all others; texts of fewer words than a
-window stay whole; repeated rows each get a row; further columns are ignored.
+window stay whole; very long texts are read whole, as a block of their own; repeated rows each get a row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ class Words:
         starts = np.flatnonzero(first)
         self.count = len(starts)
         solid = b[~space]
-        offsets = np.append(np.cumsum(~space, dtype=np.int32)[starts] - 1, len(solid)).astype(np.int32)
-        words = pa.Array.from_buffers(pa.binary(), self.count, [None, pa.py_buffer(offsets), pa.py_buffer(solid)])
+        offsets = np.append(np.cumsum(~space, dtype=np.int64)[starts] - 1, len(solid)).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), self.count, [None, pa.py_buffer(offsets), pa.py_buffer(solid)])
         coded = words.dictionary_encode()
         own = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
         self.hashes = own[coded.indices.to_numpy()] if self.count else np.zeros(0, np.uint64)
@@ -53,8 +53,7 @@ class Words:
     def spaced(self) -> bytes:
         """Each word followed by one space: word i begins at offsets[i] + i."""
         out = np.full(len(self.solid) + self.count, 32, np.uint8)
-        places = np.repeat(np.arange(self.count, dtype=np.int32), np.diff(self.offsets))
-        places += np.arange(len(self.solid), dtype=np.int32)
+        places = np.repeat(np.arange(self.count), np.diff(self.offsets)) + np.arange(len(self.solid))
         out[places] = self.solid
         return out.tobytes()
 
@@ -103,7 +102,7 @@ def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _settle(payloads: list[bytes]) -> dict[str, np.ndarray]:
     column, numbers = opened(payloads, "doc_id", "text_key", "start")
     ids, keys, start = numbers.values()
-    words = pc.split_pattern(column.cast(pa.large_binary()), b" ")
+    words = pc.split_pattern(column, b" ")
     sizes = words.value_lengths().to_numpy().astype(np.int64)
     rank = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
     del column, words

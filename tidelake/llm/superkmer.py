@@ -89,8 +89,8 @@ def opened(parcels: list[bytes], *names: str) -> tuple[pa.Array, dict[str, np.nd
     """Several parcels as one: their strings as an Arrow column, and their numbers."""
     parts = [unpacked(x, *names) for x in parcels]
     sizes = np.concatenate([p[0] for p in parts])
-    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
-    strings = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join([p[1] for p in parts]))])
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)  # a bucket may pass 2 GB
+    strings = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join([p[1] for p in parts]))])
     return strings, {k: np.concatenate([p[2][k] for p in parts]) for k in names}
 
 
@@ -99,7 +99,8 @@ class Block:
 
     def __init__(self, batch: pa.RecordBatch):
         text = batch.column(2)
-        offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        wide = pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type)  # as the session's Arrow settings are
+        offsets = np.frombuffer(text.buffers()[1], np.int64 if wide else np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
         data = text.buffers()[2]
         self.bytes = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
         self.edges = offsets - offsets[0]
