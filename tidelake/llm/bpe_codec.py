@@ -15,7 +15,7 @@ Texts with characters that Java's Unicode tables don't know, or with a special t
 split by the tokenizers library instead of by Spark; they go the same way from there.
 
 Defined results: a null text counts as empty and has no ids; repeated rows each get a row; a null
-doc_id stays null; further columns are ignored; an empty table gives an empty result.
+doc_id stays null; very long texts are encoded whole, as a block of their own; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +39,9 @@ from tidelake.llm.common import documents, text_of
 # Fixed value: the public byte-level pre-token expression, in Java's syntax.
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Bytes of words and ids that a task's table holds before it starts anew; a word met again is encoded again.
+TABLE_BYTES = 200_000_000
+
 LISTS_SCHEMA = "block string, bucket int, words binary"
 POSITIONS_SCHEMA = "block string, doc_ids array<bigint>, n_words array<int>, positions binary"
 
@@ -155,12 +158,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, buckets: int, block_wo
 
 def _encode_lists(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """The distinct-word table of the buckets that meet here. A word met before is looked up."""
-    tok, known = tokenizer(path), {}
+    tok, known, held = tokenizer(path), {}, 0
     for batch in batches:
         out = []
         for blob in batch.column(2).to_pylist():
             words = _unpacked(blob).to_pylist()
+            if held > TABLE_BYTES:
+                known, held = {}, 0
             new = [w for w in words if w not in known]
+            held += sum(200 + 5 * len(w) for w in new)  # with what Python adds
             known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(new, add_special_tokens=False)), strict=True))
             out.append(_packed(pa.array([known[w] for w in words], pa.binary())))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
