@@ -16,11 +16,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where neither it nor a
-    checkpoint folder is set (tests on one machine) a temporary folder is made.
+    ``spark.checkpoint.dir`` is read from the session. Where neither it nor a checkpoint folder is set,
+    a session on one machine (tests) gets a temporary folder; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tidelake-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
@@ -33,12 +35,6 @@ def materialised(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """checkpoint() needs a folder; the cluster's own setting wins."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(scratch_root(spark))
-
-
 def text_of(column: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
