@@ -1,9 +1,9 @@
-"""Point-in-time joins and exact prefix windows: each one union or window, one shuffle by key, one sort.
+"""Point-in-time joins and exact prefix windows: each one union or window, one shuffle by key and slice, one sort.
 
-As-of joins put both sides into one stream per key, sorted by time, and fill the right side's rows
-forward or backward. Nothing is compared pairwise, so the cost is that of one sort. For keys that hold
-a large share of all rows ``asof_backward`` takes ``slice_ms``: keys are cut into time slices, each sorted
-on its own, and the last right row before a slice is handed to it from a small table of slices.
+As-of joins put both sides into one stream per key, sorted by time (downwards, to look ahead), and carry the
+right side's last row along. Nothing is compared pairwise, so the cost is that of one sort. Keys are cut into
+time slices of ``slice_ms``, each sorted on its own, so that a key with a large share of all rows is not one
+task's; the last right row before a slice is handed to it from a small table of slices.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A day.
+SLICE_MS = 86_400_000
+
 
 def _stream(left: DataFrame, right: DataFrame, key: str, shift: int, left_first: bool) -> tuple[DataFrame, list[str], list[str]]:
     """Both sides in one stream: (key, at, order, tie, left row, right row)."""
@@ -21,47 +24,46 @@ def _stream(left: DataFrame, right: DataFrame, key: str, shift: int, left_first:
     return from_left.unionByName(from_right, allowMissingColumns=True), own, payload
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, prefix: str, how: str = "inner", slice_ms: int | None = None) -> DataFrame:
+def _carried(stream: DataFrame, into: str, downwards: bool, slice_ms: int) -> DataFrame:
+    """The stream with the right row met last on the way up, or down, in time. Either way the frame starts at the first row, which costs one pass."""
+    at, way = ("_at", "_order", "_tie"), F.desc if downwards else F.asc
+    stream = stream.withColumn("_slice", F.floor(F.col("_at") / slice_ms))
+    outermost = (F.min_by if downwards else F.max_by)("_right", F.when(F.col("_right").isNotNull(), F.struct(*at)))
+    of_slice = stream.groupBy("_key", "_slice").agg(outermost.alias("_best"))
+    before = Window.partitionBy("_key").orderBy(way("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    handed = of_slice.select("_key", "_slice", F.last("_best", ignorenulls=True).over(before).alias("_handed"))
+    so_far = Window.partitionBy("_key", "_slice").orderBy(*map(way, at)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = stream.withColumn("_within", F.last("_right", ignorenulls=True).over(so_far))
+    same = within["_key"].eqNullSafe(handed["_key"]) & (within["_slice"] == handed["_slice"])
+    return within.join(handed.hint("merge"), same).select(*[within[c] for c in stream.columns if c != "_slice"], F.coalesce("_within", "_handed").alias(into))
+
+
+def _picked(rows: DataFrame, own: list[str], payload: list[str], prefix: str, how: str) -> DataFrame:
+    rows = rows.filter("_left is not null")
+    if how == "inner":
+        rows = rows.filter("_found is not null")
+    return rows.select(*[F.col(f"_left.{c}").alias(c) for c in own], *[F.col(f"_found.{c}").alias(prefix + c) for c in payload])
+
+
+def asof_backward(left: DataFrame, right: DataFrame, key: str, prefix: str, how: str = "inner", slice_ms: int = SLICE_MS) -> DataFrame:
     """Of each left row the last right row at or before it. ``right`` may have a ``tie`` that orders equal times."""
     stream, own, payload = _stream(left, right, key, 0, left_first=False)
-    order = ["_at", "_order", "_tie"]
-    if slice_ms is None:
-        until = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return _picked(stream, F.last("_right", ignorenulls=True).over(until), own, payload, prefix, how)
-    stream = stream.withColumn("_slice", F.floor(F.col("_at") / slice_ms))
-    latest = stream.groupBy("_key", "_slice").agg(F.max(F.when(F.col("_right").isNotNull(), F.struct(*order, "_right"))).alias("_best"))
-    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = latest.select("_key", "_slice", F.last("_best", ignorenulls=True).over(earlier).alias("_carry"))
-    until = Window.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stream = stream.withColumn("_in_slice", F.last("_right", ignorenulls=True).over(until)).join(carried, ["_key", "_slice"])
-    return _picked(stream, F.coalesce("_in_slice", "_carry._right"), own, payload, prefix, how)
+    return _picked(_carried(stream, "_found", False, slice_ms), own, payload, prefix, how)
 
 
-def asof_forward(left: DataFrame, right: DataFrame, key: str, prefix: str, horizon: int = 0, how: str = "inner") -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, key: str, prefix: str, horizon: int = 0, how: str = "inner", slice_ms: int = SLICE_MS) -> DataFrame:
     """Of each left row the first right row at or after its time plus ``horizon``; of equal times the one with the smallest tie."""
     stream, own, payload = _stream(left, right, key, horizon, left_first=True)
-    since = Window.partitionBy("_key").orderBy("_at", "_order", "_tie").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return _picked(stream, F.first("_right", ignorenulls=True).over(since), own, payload, prefix, how)
+    return _picked(_carried(stream, "_found", True, slice_ms), own, payload, prefix, how)
 
 
-def _picked(stream: DataFrame, picked: Column, own: list[str], payload: list[str], prefix: str, how: str) -> DataFrame:
-    rows = stream.withColumn("_found", picked).filter("_left is not null")
-    if how == "inner":
-        rows = rows.filter("_found is not null")
-    return rows.select(*[F.col(f"_left.{c}").alias(c) for c in own], *[F.col(f"_found.{c}").alias(prefix + c) for c in payload])
-
-
-def asof_nearest(left: DataFrame, right: DataFrame, key: str, prefix: str) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, key: str, prefix: str, slice_ms: int = SLICE_MS) -> DataFrame:
     """Of each left row the right row nearest in time; of two equally near the later one. Null where the key has none."""
     stream, own, payload = _stream(left, right, key, 0, left_first=False)
-    order = Window.partitionBy("_key").orderBy("_at", "_order", "_tie")
-    before = F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_right", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = stream.withColumns({"_before": before, "_after": after}).filter("_left is not null")
+    rows = _carried(_carried(stream, "_before", False, slice_ms), "_after", True, slice_ms)
     nearer = (F.col("_after.ts_ms") - F.col("_at")) <= (F.col("_at") - F.col("_before.ts_ms"))
     found = F.when(F.col("_before").isNull() | nearer, F.coalesce("_after", "_before")).otherwise(F.col("_before"))
-    rows = rows.withColumn("_found", found)
-    return rows.select(*[F.col(f"_left.{c}").alias(c) for c in own], *[F.col(f"_found.{c}").alias(prefix + c) for c in payload])
+    return _picked(rows.withColumn("_found", found), own, payload, prefix, "left")
 
 
 def prefix_window_sum(value: Column, keys: list[str], window_ms: int, tie: str = "tie") -> Column:
