@@ -24,31 +24,93 @@ def with_rolling_ofi(book: DataFrame, windows: dict[str, int], key: str = "coin"
     return with_event_ofi(book, key).withColumns({f"ofi_{name}": prefix_window_sum(F.col("ofi_event"), [key], ms) for name, ms in windows.items()})
 
 
+ORDER_FEATURES = ("order_count", "buy_count", "sell_count", "cancel_count", "replace_count", "fill_count", "buy_ratio", "sell_ratio", "cancel_rate", "quantity_sum", "quantity_mean", "quantity_max", "price_mean", "price_min", "price_max", "price_range")
+MARKET_FEATURES = ("notional_sum", "notional_mean", "aggressive_buy_count", "aggressive_sell_count", "price_drift", "quantity_imbalance")
+AGENTIC_FEATURES = ("unique_agents", "unique_orders", "orders_per_agent", "min_interarrival_ms", "mean_interarrival_ms", "burst_rate_per_second", "self_cross_proxy_count", "opposite_side_same_price_pairs")
+#: The 30 features by their full names.
+SNAPSHOT = (*(f"order_{f}" for f in ORDER_FEATURES), *(f"market_{f}" for f in MARKET_FEATURES), *(f"agentic_{f}" for f in AGENTIC_FEATURES))
+#: What the features are made from: counts and sums of rows.
+_ADDED = {"n": "1L", "buys": "int(side = 'buy')", "cancels": "int(action = 'cancel')", "replaces": "int(action = 'replace')", "fills": "int(action = 'fill')", "quantity": "quantity", "price": "price", "notional": "price * quantity", "bought": "if(side = 'buy', quantity, 0D)"}
+
+
+def _snapshot(x: dict[str, Column]) -> dict[str, Column]:
+    """The 30 features from sums (see _ADDED), extremes, first and last rows, distinct and pair counts."""
+    n, one = x["n"], F.greatest(x["n"], F.lit(1))
+    sells, duration = n - x["buys"], x["last_ms"] - x["first_ms"]
+    order = (n, x["buys"], sells, x["cancels"], x["replaces"], x["fills"], x["buys"] / one, sells / one, x["cancels"] / one, x["quantity"], x["quantity"] / one, x["quantity_max"], x["price"] / one, x["price_min"], x["price_max"], x["price_max"] - x["price_min"])
+    market = (x["notional"], x["notional"] / one, x["buys"], sells, x["last_price"] - x["first_price"], (2 * x["bought"] - x["quantity"]) / F.greatest(x["quantity"], F.lit(1e-9)))
+    agentic = (x["agents"], x["orders"], n / F.greatest(x["agents"], F.lit(1)), F.coalesce(x["min_gap"], F.lit(0)), F.when(n > 1, duration / (n - 1)).otherwise(0.0), n / F.greatest(duration / 1000, F.lit(0.001)), x["self_crosses"], x["pairs"])
+    return {name: F.coalesce(value.cast("double"), F.lit(0.0)) for name, value in zip(SNAPSHOT, (*order, *market, *agentic), strict=True)}
+
+
+def feature_snapshot(orders: DataFrame, keys: list[str]) -> DataFrame:
+    """The 30 features of each group of orders. Pairs of opposite orders are counted as buys times sells, not listed."""
+    gap = F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy(*keys).orderBy("ts_ms", "sequence"))
+    at = F.struct("ts_ms", "sequence")
+    sums = orders.withColumn("gap", gap).groupBy(*keys).agg(
+        *[F.sum(F.expr(e)).alias(name) for name, e in _ADDED.items()], F.max("quantity").alias("quantity_max"), F.min("price").alias("price_min"), F.max("price").alias("price_max"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.min_by("price", at).alias("first_price"), F.max_by("price", at).alias("last_price"), F.min("gap").alias("min_gap")
+    )
+    # distinct agents and orders by groups of each, so that a group with very many is not one task's
+    for name, column in (("agents", "agent_id"), ("orders", "order_id")):
+        sums = sums.join(orders.groupBy(*keys, column).agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys)
+    for name, same_agent in (("self_crosses", True), ("pairs", False)):
+        sums = sums.join(self_cross_pairs(orders, keys, same_agent).withColumnRenamed("pairs", name), keys)
+    return sums.select(*keys, *[c.alias(n) for n, c in _snapshot({c: F.col(c) for c in sums.columns}).items()])
+
+
 def feature_store(orders: DataFrame, windows: dict[str, int], key: str = "scenario_id") -> DataFrame:
-    """Counts, sums, means and extremes of the orders in the closed window before each order, per scenario.
+    """For each order and window ``{name}_`` and the 30 features of the orders in the closed window before it, per ``key``.
 
-    The frame holds rows up to the current one in (ts_ms, sequence) order: sums are differences of running
-    sums, extremes and distinct counts use the range frame, then leave out later rows of the same time.
+    A window holds the rows from its start up to the current one in (ts_ms, sequence) order. Sums are differences
+    of running sums. A distinct count is a difference too: an agent enters with an order that follows its last one
+    by more than the window, and leaves a window's length after an order that none follows. So is a count of pairs:
+    an order adds those it makes with earlier ones, and takes away, when it leaves, those with later ones. Extremes
+    come from the rows of earlier times in the window and those of the same time up to the current row.
     """
-    out = orders.withColumns({"_buy": (F.col("side") == "buy").cast("long"), "_cancel": (F.col("action") == "cancel").cast("long"), "_notional": F.col("price") * F.col("quantity")})
-    new: dict = {}
+    by = Window.partitionBy(key)
+    same_time = Window.partitionBy(key, "ts_ms").orderBy("sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = by.orderBy("ts_ms", "sequence")
+    buy = F.col("side") == "buy"
+    out = orders.withColumns({f"_{name}": F.expr(e) for name, e in _ADDED.items()} | {"_buy": buy.cast("long"), "_sell": (~buy).cast("long"), "_gap_after": F.lead("ts_ms").over(step) - F.col("ts_ms")})
+    out = out.withColumns({f"_{name}_now": f(F.col(c)).over(same_time) for name, f, c in (("quantity_max", F.max, "quantity"), ("price_min", F.min, "price"), ("price_max", F.max, "price"))} | {"_first_now": F.first("price").over(same_time), "_earlier_now": F.count(F.lit(1)).over(same_time) > 1})
+    for of, column in (("agents", "agent_id"), ("orders", "order_id")):
+        own = Window.partitionBy(key, column).orderBy("ts_ms", "sequence")
+        out = out.withColumns({f"_{of}_since": F.col("ts_ms") - F.lag("ts_ms").over(own), f"_{of}_until": F.lead("ts_ms").over(own) - F.col("ts_ms")})
     for name, ms in windows.items():
-        total = lambda c, ms=ms: prefix_window_sum(c if not isinstance(c, str) else F.col(c), [key], ms, "sequence")
-        n = total(F.lit(1).cast("long"))
-        at_time = Window.partitionBy(key).orderBy("ts_ms").rangeBetween(-ms, 0)
-        rows = F.filter(F.collect_list(F.struct("sequence", "price", "quantity", "agent_id")).over(at_time), lambda x: x["sequence"] <= F.col("sequence"))
-        new |= {
-            f"{name}_order_count": n, f"{name}_buy_count": total("_buy"), f"{name}_cancel_rate": total("_cancel") / F.greatest(n, F.lit(1)), f"{name}_quantity_sum": total("quantity"), f"{name}_notional_mean": total("_notional") / F.greatest(n, F.lit(1)),
-            f"{name}_rows": rows,
+        entered, left = {}, {}
+        for of in ("agents", "orders"):
+            entered[of] = (F.coalesce(F.col(f"_{of}_since"), F.lit(ms + 1)) > ms).cast("long")
+            left[of] = (F.coalesce(F.col(f"_{of}_until"), F.lit(ms + 1)) > ms).cast("long")
+        new = {}
+        for of, group in (("self_crosses", [key, "price", "agent_id"]), ("pairs", [key, "price"])):
+            met = {side: prefix_window_sum(F.col(side), group, ms, "sequence") for side in ("_buy", "_sell")}
+            until, so_far = (Window.partitionBy(*group).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, ms), Window.partitionBy(*group).orderBy("ts_ms", "sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            meets = {side: F.sum(side).over(until) - F.sum(side).over(so_far) for side in ("_buy", "_sell")}
+            new |= {f"_{of}_in": F.when(buy, met["_sell"]).otherwise(met["_buy"]), f"_{of}_out": F.when(buy, meets["_sell"]).otherwise(meets["_buy"])}
+        out = out.withColumns(new | {f"_{of}_in": c for of, c in entered.items()} | {f"_{of}_out": c for of, c in left.items()})
+        before, gone = by.orderBy("ts_ms").rangeBetween(-ms, -1), by.orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, -(ms + 1))
+        so_far = step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        x = {c: prefix_window_sum(F.col(f"_{c}"), [key], ms, "sequence") for c in _ADDED}
+        x |= {c: F.sum(f"_{c}_in").over(so_far) - F.coalesce(F.sum(f"_{c}_out").over(gone), F.lit(0)) for c in ("agents", "orders", "self_crosses", "pairs")}
+        first = F.min(F.struct("ts_ms", "sequence", "price")).over(before)
+        x |= {
+            "quantity_max": F.greatest(F.max("quantity").over(before), "_quantity_max_now"), "price_min": F.least(F.min("price").over(before), "_price_min_now"), "price_max": F.greatest(F.max("price").over(before), "_price_max_now"), "first_ms": F.coalesce(first["ts_ms"], "ts_ms"), "first_price": F.coalesce(first["price"], "_first_now"),
+            "last_ms": F.col("ts_ms"), "last_price": F.col("price"), "min_gap": F.when(F.col("_earlier_now"), F.lit(0)).otherwise(F.min("_gap_after").over(before)),
         }
-    out = out.withColumns(new)
-    for name in windows:
-        prices = F.transform(f"{name}_rows", lambda x: x["price"])
-        out = out.withColumns({
-            f"{name}_sell_count": F.col(f"{name}_order_count") - F.col(f"{name}_buy_count"), f"{name}_price_range": F.array_max(prices) - F.array_min(prices), f"{name}_quantity_max": F.array_max(F.transform(f"{name}_rows", lambda x: x["quantity"])),
-            f"{name}_unique_agents": F.size(F.array_distinct(F.transform(f"{name}_rows", lambda x: x["agent_id"]))).cast("long"),
-        })
-    return out.drop("_buy", "_cancel", "_notional", *[f"{name}_rows" for name in windows])
+        raw = {c: f"_raw_{c}" for c in x}
+        out = out.withColumns({raw[c]: column for c, column in x.items()})
+        out = out.withColumns({f"{name}_{f}": c for f, c in _snapshot({c: F.col(r) for c, r in raw.items()}).items()}).drop(*raw.values(), *[f"_{of}_{way}" for of in ("agents", "orders", "self_crosses", "pairs") for way in ("in", "out")])
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
+def rule_features(store: DataFrame, short: str, middle: str, long: str) -> DataFrame:
+    """The store with the columns that the rules read, from windows of a second, five seconds and a minute or their stand-ins."""
+    # The window and feature behind each of the rules' names.
+    source = {
+        "burst": f"{short}_agentic_burst_rate_per_second", "quantity_sum": f"{middle}_order_quantity_sum", "sell_ratio": f"{middle}_order_sell_ratio", "min_interarrival": f"{short}_agentic_min_interarrival_ms", "drift": f"{long}_market_price_drift", "cancel_rate": f"{short}_order_cancel_rate",
+        "self_cross": f"{middle}_agentic_self_cross_proxy_count", "agents": f"{short}_agentic_unique_agents", "price_range": f"{middle}_order_price_range", "quantity_max": f"{middle}_order_quantity_max",
+    }
+    return store.withColumns({name: F.col(column) for name, column in source.items()})
 
 
 def self_cross_pairs(orders: DataFrame, keys: list[str], same_agent: bool = True) -> DataFrame:

@@ -51,9 +51,9 @@ def rule_action(rules: str = "matched_rules") -> Column:
     return F.when(F.size(rules) >= 2, "block").when(F.size(rules) == 1, "alert").otherwise("allow")
 
 
-def by_name(column: str, values: dict) -> Column:
+def by_name(column: str | Column, values: dict) -> Column:
     """A lookup of fixed values."""
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col(column)]
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col(column) if isinstance(column, str) else column]
 
 
 def probability_label(p: Column, alert: float = 0.40, block: float = 0.75) -> Column:
@@ -78,17 +78,36 @@ def case_action(severity: str = "severity", confidence: str = "confidence") -> C
     return F.when(s == "critical", "block_simulated_agent").when(s == "high", "critical_alert").when(s == "medium", "warning_alert").when(F.col(confidence) < 0.3, "monitor").otherwise("no_action")
 
 
+# What each behaviour is called.
+BEHAVIOURS = {
+    "markout": "Adverse-selection markout risk", "spoofing_layering": "Spoofing / layering", "quote_stuffing": "Quote stuffing", "momentum_ignition": "Momentum ignition",
+    "bursty": "Bursty unsafe agent behavior (unclassified)", "high_cancel_rate": "High cancel-rate behavior", "generic": "Generic anomalous flow",
+}
+#: The rule that scored fills match; it is not one of the engine's.
+MARKOUT_RULE = "promoted_markout_threshold"
+
+
 def behaviour(rules: str = "matched_rules") -> Column:
     """The behaviour that a set of matched rules points to."""
     has = lambda *names: F.forall(F.array(*map(F.lit, names)), lambda x: F.array_contains(rules, x))
-    return (
-        F.when(has("one_sided_sell_pressure", "cancel_rate_spike"), "spoofing_layering")
+    return by_name(
+        F.when(has(MARKOUT_RULE), "markout")
+        .when(has("one_sided_sell_pressure", "cancel_rate_spike"), "spoofing_layering")
         .when(has("rapid_order_interarrival", "cancel_rate_spike"), "quote_stuffing")
         .when(F.arrays_overlap(rules, F.array(F.lit("sharp_buy_price_drift"), F.lit("stop_run_or_feedback_sweep"))), "momentum_ignition")
-        .when(F.col("burst") > 12, "bursty").when(F.col("cancel_rate") > 0.5, "high_cancel_rate").otherwise("generic")
+        .when(F.col("burst") > 12, "bursty").when(F.col("cancel_rate") > 0.5, "high_cancel_rate").otherwise("generic"), BEHAVIOURS
     )
 
 
+# The control recommended for each action.
+CONTROLS = {"block": "Halt connection for agent-id. Cancel all matching floating orders.", "alert": "Raise alert severity and route to active compliance queue.", "allow": "None required"}
+
+
+def observation() -> Column:
+    """What was seen, in words, from the rules' features."""
+    return F.format_string("Observed interarrival %.1fms, burst %.1f/s, cancel-rate %.2f, sell-ratio %.2f.", "min_interarrival", "burst", "cancel_rate", "sell_ratio")
+
+
 def drift_severity(psi: Column) -> Column:
     return F.when(psi >= 0.25, "significant").when(psi >= 0.10, "moderate").otherwise("none")
 

@@ -1,14 +1,16 @@
 """Evaluation aggregates over scored rows (p, y): ranking metrics, calibration, drift, thresholds.
 
-Ranks over a whole column need one ordered window. Where the result only depends on distinct scores, rows
-are first grouped by score, so that the window runs over scores and not over rows.
+Where the result only depends on distinct scores, rows are first grouped by score. Running sums over scores
+or rows go by parts (see ``ordered``), so that neither is ever one task's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.operators import ordered
+
 
 def _by_score(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("pos"))
@@ -17,8 +19,7 @@ def _by_score(rows: DataFrame, keys: list[str]) -> DataFrame:
 def pr_auc_grouped(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Average precision with tied scores taken as one step; null with a single class."""
     keys = keys or []
-    down = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = _by_score(rows, keys).withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down)})
+    steps = ordered.running(_by_score(rows, keys), "p", {"tp": F.col("pos"), "seen": F.col("n")}, keys, descending=True)
     out = steps.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum("n").alias("n"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("area"))
     return out.select(*keys, F.when((F.col("positives") > 0) & (F.col("positives") < F.col("n")), F.col("area") / F.col("positives")).alias("pr_auc"))
 
@@ -29,8 +30,8 @@ def pr_auc_optimistic(rows: DataFrame, keys: list[str] | None = None) -> DataFra
     Of a score with ``pos`` positives after ``tp`` of ``seen`` rows, the sum of (tp + i) / (seen + i) for i = 1..pos.
     """
     keys = keys or []
-    before = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
-    steps = _by_score(rows, keys).withColumns({"tp": F.coalesce(F.sum("pos").over(before), F.lit(0)), "seen": F.coalesce(F.sum("n").over(before), F.lit(0))})
+    steps = ordered.running(_by_score(rows, keys), "p", {"tp": F.col("pos"), "seen": F.col("n")}, keys, descending=True)
+    steps = steps.withColumns({"tp": F.col("tp") - F.col("pos"), "seen": F.col("seen") - F.col("n")})
     step = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("pos")), F.lit(0.0), lambda a, i: a + (F.col("tp") + i) / (F.col("seen") + i))
     out = steps.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum(F.when(F.col("pos") > 0, step).otherwise(0.0)).alias("area"))
     return out.select(*keys, F.when(F.col("positives") > 0, F.col("area") / F.col("positives")).otherwise(0.0).alias("pr_auc"))
@@ -39,8 +40,7 @@ def pr_auc_optimistic(rows: DataFrame, keys: list[str] | None = None) -> DataFra
 def auroc(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by average ranks; 0 with a single class."""
     keys = keys or []
-    before = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = _by_score(rows, keys).withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = ordered.running(_by_score(rows, keys), "p", {"upto": F.col("n")}, keys).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum(F.col("n") - F.col("pos")).alias("negatives"), F.sum(F.col("rank") * F.col("pos")).alias("ranks"))
     area = (F.col("ranks") - F.col("positives") * (F.col("positives") + 1) / 2) / (F.col("positives") * F.col("negatives"))
     return sums.select(*keys, F.when((F.col("positives") > 0) & (F.col("negatives") > 0), area).otherwise(0.0).alias("auroc"))
@@ -78,15 +78,16 @@ def calibration_error(rows: DataFrame, bins: int = 10, keys: list[str] | None =
     return reliability(rows, bins, keys).groupBy(*(keys or [])).agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("rate"))) / F.sum("n")).alias("ece"))
 
 
-def average_rank(column: str, keys: list[str] | None = None) -> Column:
-    w = Window.partitionBy(*(keys or [])).orderBy(column)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*(keys or []), column)) - 1) / 2
-
-
-def spearman(rows: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """Rank correlation, and the mean absolute error of x against y; 0 where either doesn't vary."""
-    ranked = rows.withColumns({"rx": average_rank(x, keys), "ry": average_rank(y, keys)})
-    return ranked.groupBy(*(keys or [])).agg(F.coalesce(F.nanvl(F.corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)).alias("spearman"), F.avg(F.abs(F.col(x) - F.col(y))).alias("mae"))
+def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Rank correlation, and the mean absolute error of x against y; 0 where either doesn't vary. Ranks meet pairs of values, not rows."""
+    pairs = rows.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    for c in ("x", "y"):
+        ranks = ordered.average_ranks(rows, x if c == "x" else y)
+        pairs = pairs.join(ranks.select(F.col("value").alias(c), (F.col("rank") - (F.col("upto_all") + 1) / 2).alias(f"r{c}")).hint("merge"), c)  # ranks about their mean
+    total = lambda c: F.sum(F.col("n") * c)
+    rx, ry = F.col("rx"), F.col("ry")
+    correlation = F.try_divide(total(rx * ry), F.sqrt(total(rx * rx)) * F.sqrt(total(ry * ry)))
+    return pairs.agg(F.coalesce(correlation, F.lit(0.0)).alias("spearman"), (total(F.abs(F.col("x") - F.col("y"))) / F.sum("n")).alias("mae"))
 
 
 def exclusive_p95(values: Column) -> Column:
@@ -98,6 +99,15 @@ def exclusive_p95(values: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).when(n == 1, F.element_at(values, 1)).otherwise(between)
 
 
+def exclusive_p95_of(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """As exclusive_p95 per key, from counts of values: no key's values are collected."""
+    n = F.col("n")
+    j = F.least(F.greatest(F.floor(19 * (n + 1) / 20), F.lit(1)), n - 1)
+    d = 19 * (n + 1) - 20 * j
+    found = ordered.nth_values(rows.filter(F.col(column).isNotNull()), column, {"_lo": j, "_hi": j + 1}, keys)
+    return found.select(*keys, F.when(n == 1, F.col("_hi")).otherwise((F.col("_lo") * (20 - d) + F.col("_hi") * d) / 20).alias("p95"))
+
+
 def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """Population stability index over the reference's quantile bins; an empty bin counts as ``floor``."""
     if bins < 2:
@@ -119,9 +129,8 @@ def ks(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance, over distinct values."""
     both = reference.select(F.col(column).alias("v"), F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(current.select(F.col(column).alias("v"), F.lit(0).alias("r"), F.lit(1).alias("c")))
     steps = both.groupBy("v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    up, whole = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
-    gap = F.abs(F.sum("r").over(up) / F.sum("r").over(whole) - F.sum("c").over(up) / F.sum("c").over(whole))
-    return steps.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    steps = ordered.running(steps, "v", {"ref": F.col("r"), "cur": F.col("c")})
+    return steps.agg(F.max(F.abs(F.col("ref") / F.col("ref_all") - F.col("cur") / F.col("cur_all"))).alias("ks"))
 
 
 def threshold_sweep(rows: DataFrame, grid: list[float], keys: list[str] | None = None) -> DataFrame:
@@ -149,9 +158,17 @@ def select_threshold(sweep: DataFrame, low: float, high: float, keys: list[str]
     return picked.select(*(keys or []), "b.*")
 
 
+def block_threshold(rows: DataFrame, per_100k: float, beyond: float = 1.1) -> DataFrame:
+    """The highest score that as a threshold blocks at most so many of 100,000 benign rows. ``beyond`` blocks none and is a candidate too."""
+    candidate = rows.sparkSession.range(1).select(F.lit(beyond).alias("p"), F.lit(0).cast("long").alias("benign"))
+    by_score = rows.groupBy("p").agg(F.count_if(~F.col("y")).alias("benign")).unionByName(candidate)
+    steps = ordered.running(by_score, "p", {"blocked": F.col("benign")}, descending=True)
+    return steps.filter(100000 * F.col("blocked") / F.greatest("blocked_all", F.lit(1)) <= per_100k).agg(F.max("p").alias("threshold"))
+
+
 def with_folds(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
     """Contiguous folds by time; the first ones are a row longer where rows don't divide evenly."""
-    return rows.withColumn("fold", F.ntile(n).over(Window.orderBy(*order)) - 1)
+    return ordered.tiles(rows, n, order[0], order[1:]).withColumnRenamed("tile", "fold")
 
 
 def purged_train_sizes(folded: DataFrame, purge_ms: int, embargo_ms: int) -> DataFrame:

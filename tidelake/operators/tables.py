@@ -26,10 +26,10 @@ def top_entries(map_column: str, k: int) -> Column:
     return F.slice(F.array_sort(F.map_entries(map_column), order), 1, k)
 
 
-def content_hash(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """sha256 over a small table's rows in order (a manifest: one row per file)."""
+def content_hash(rows: DataFrame, order: list[str], columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """sha256 over the rows in order of a small table (a manifest: one row per file), or of each key's small group (a run)."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))), lambda r: F.concat_ws("|", *[r[c].cast("string") for c in columns]))
-    return rows.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("hash"))
+    return rows.groupBy(*(keys or [])).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("hash"))
 
 
 def vocabulary(rows: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import market
-from tidelake.operators import policy, scenarios, stats, tables, temporal
+from tidelake.operators import ordered, policy, scenarios, stats, tables, temporal
 from tidelake.plans import adapters as v
 from tidelake.plans.policy_queries import _RULED_SQL, ruled
 from tidelake.plans.registry import query
@@ -40,10 +40,11 @@ def replay_report(spark, sf):
     return rows.groupBy("coin").agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("tid") == F.count(F.lit(1))).alias("unique_ids"), F.round(F.avg(F.abs(F.col("px") - mid) / mid * 10000), 6).alias("mae_bps"), F.bool_and(F.col("b_bid_px") < F.col("b_ask_px")).alias("bid_below_ask"))
 
 
-@query("q_A32_run_hash", v.with_views("SELECT sha256(string_agg(ts_ms || '|' || tid, chr(10) ORDER BY ts_ms, tid)) AS hash FROM v_fills WHERE coin = 0"))
+@query("q_A32_run_hash", v.with_views("SELECT coin, ts_ms // 86400000 AS day, sha256(string_agg(ts_ms || '|' || tid, chr(10) ORDER BY ts_ms, tid)) AS hash FROM v_fills GROUP BY ALL"))
 def run_hash(spark, sf):
-    """Hash of one run's events in order; a run is one coin's day at most, so its ids fit a row."""
-    return tables.content_hash(v.fills(spark, sf).filter("coin = 0"), ["ts_ms", "tid"], ["ts_ms", "tid"])
+    """Hash of each run's events in order; a run is one coin's day, so its ids fit a row."""
+    runs = v.fills(spark, sf).withColumn("day", F.expr("ts_ms div 86400000"))
+    return tables.content_hash(runs, ["ts_ms", "tid"], ["ts_ms", "tid"], ["coin", "day"])
 
 
 @query("q_A37_severity_counts", v.with_views(f"WITH {_RULED_SQL} SELECT severity, count(*) AS n, max(ts_ms) AS latest FROM s GROUP BY severity"))
@@ -70,13 +71,15 @@ def rolling_window(spark, sf):
 
 @query("q_W06_average_ranks", v.with_views("SELECT doc_id, rank() OVER (PARTITION BY scenario ORDER BY p) + (count(*) OVER (PARTITION BY scenario, p) - 1) / 2 AS place FROM v_scores"))
 def average_ranks(spark, sf):
-    return v.scores(spark, sf).select("doc_id", stats.average_rank("p", ["scenario"]).alias("place"))
+    rows = v.scores(spark, sf)
+    ranks = ordered.average_ranks(rows, "p", ["scenario"]).select("scenario", F.col("value").alias("p"), F.col("rank").alias("place"))
+    return rows.join(ranks.hint("merge"), ["scenario", "p"]).select("doc_id", "place")
 
 
-@query("q_W07_cumulative_hits", v.with_views("SELECT doc_id, sum(y::int) OVER w::bigint AS tp, sum((NOT y)::int) OVER w::bigint AS fp FROM v_scores WINDOW w AS (PARTITION BY scenario ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)").replace("OVER w::bigint", "OVER w"))
+@query("q_W07_cumulative_hits", v.with_views("SELECT doc_id, sum(y::int) OVER w AS tp, sum((NOT y)::int) OVER w AS fp FROM v_scores WINDOW w AS (PARTITION BY scenario ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)"))
 def cumulative_hits(spark, sf):
-    w = Window.partitionBy("scenario").orderBy(F.desc("p"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return v.scores(spark, sf).select("doc_id", F.sum(F.col("y").cast("int")).over(w).alias("tp"), F.sum((~F.col("y")).cast("int")).over(w).alias("fp"))
+    hits = {"tp": F.col("y").cast("int"), "fp": (~F.col("y")).cast("int")}
+    return ordered.running(v.scores(spark, sf), "p", hits, ["scenario"], ["doc_id"], descending=True).select("doc_id", "tp", "fp")
 
 
 @query("q_W08_contiguous_folds", v.with_views("SELECT fold, count(*) AS n, min(ts_ms) AS first_ms FROM (SELECT ts_ms, (ntile(7) OVER (ORDER BY ts_ms, tid) - 1)::int AS fold FROM v_fills) GROUP BY fold"))
@@ -108,10 +111,9 @@ def toxic(spark, sf):
     return v.scores(spark, sf).select("doc_id", market.is_toxic(F.col("markout")).alias("toxic"), market.is_toxic(F.col("markout"), F.col("p") * 2).alias("toxic_after_fee"))
 
 
-@query("q_P12_tick_texts", v.with_views(f"WITH {_RULED_SQL} SELECT event_id, CASE action WHEN 'block' THEN 'halt and cancel' WHEN 'alert' THEN 'raise and review' ELSE 'none' END AS control, 'cancel rate ' || printf('%.2f', cancel_rate) AS observation FROM s"))
+@query("q_P12_tick_texts", v.with_views(f"WITH {_RULED_SQL} SELECT event_id, CASE action WHEN 'block' THEN 'Halt connection for agent-id. Cancel all matching floating orders.' WHEN 'alert' THEN 'Raise alert severity and route to active compliance queue.' ELSE 'None required' END AS control, printf('Observed interarrival %.1fms, burst %.1f/s, cancel-rate %.2f, sell-ratio %.2f.', min_interarrival, burst, cancel_rate, sell_ratio) AS observation, action <> 'allow' AS label FROM s"))
 def tick_texts(spark, sf):
-    control = policy.by_name("action", {"block": "halt and cancel", "alert": "raise and review", "allow": "none"})
-    return ruled(spark, sf).select("event_id", control.alias("control"), F.format_string("cancel rate %.2f", "cancel_rate").alias("observation"))
+    return ruled(spark, sf).select("event_id", policy.by_name("action", policy.CONTROLS).alias("control"), policy.observation().alias("observation"), (F.col("action") != "allow").alias("label"))
 
 
 @query("q_P15_alerts_of_two_sources", v.with_views(f"WITH {_RULED_SQL} SELECT source, count(*) AS n FROM (SELECT 'tick' AS source FROM s WHERE risk_score >= 0.45 OR action <> 'allow' UNION ALL SELECT 'fill' FROM v_scores WHERE p >= 0.45) GROUP BY source"))
@@ -131,12 +133,12 @@ def alert_ids(spark, sf):
     return v.fills(spark, sf).select(F.concat(F.lit("alert_"), F.concat_ws("_", "coin", "ts_ms", "tid")).alias("alert_id"))
 
 
-@query("q_P28_symbol_specs", "SELECT * FROM (VALUES (0, 'SOL'), (2, 'BTC-PERP'), (3, 'ETH')) t(place, symbol)")
+@query("q_P28_symbol_specs", "SELECT symbol, min(place) AS place FROM (SELECT unnest(range(0, len(w))) AS place, upper(trim(replace(w[place + 1], '/', '-'))) AS symbol FROM (SELECT list_transform(string_split(l, ','), lambda x: x) AS w FROM (SELECT string_agg(p_brand || ' ,' || lower(p_brand) || '/' || p_size, ',' ORDER BY p_partkey) AS l FROM part))) GROUP BY symbol")
 def symbol_specs(spark, sf):
-    """A list of symbols as given by hand: normalised, the first of each kept, in order."""
-    given = spark.createDataFrame([("sol, SOL, btc/perp,eth",)], "spec string")
-    each = given.select(F.posexplode(F.split("spec", ",")).alias("place", "raw"))
-    return each.groupBy(F.upper(F.trim(F.replace("raw", F.lit("/"), F.lit("-")))).alias("symbol")).agg(F.min("place").alias("place")).select("place", "symbol")
+    """A list of symbols as given by hand (here made of all parts): normalised, the first of each kept, in order."""
+    given = table(spark, sf, "part").select("p_partkey", F.posexplode(F.split(F.concat(F.col("p_brand"), F.lit(" ,"), F.lower("p_brand"), F.lit("/"), F.col("p_size")), ",")).alias("nth", "raw"))
+    each = ordered.running(given, "p_partkey", {"place": F.lit(1)}, tie=["nth"])
+    return each.groupBy(F.upper(F.trim(F.replace("raw", F.lit("/"), F.lit("-")))).alias("symbol")).agg((F.min("place") - 1).alias("place"))
 
 
 @query("q_P32_labels", v.with_views("SELECT doc_id, CASE WHEN p >= 0.75 THEN 'Critical' WHEN p >= 0.45 THEN 'Elevated' ELSE 'Calm' END AS risk, CASE WHEN p < 0.35 THEN 'known' WHEN p < 0.7 THEN 'variant' ELSE 'novel' END AS novelty FROM v_scores"))
@@ -207,12 +209,25 @@ def options(spark, sf):
     return named(v.book(spark, sf), "c", "coin").union(named(v.fills(spark, sf), "c", "coin")).union(named(v.orders(spark, sf), "s", "scenario_id")).distinct()
 
 
-@query("q_V22_drift_report", "WITH u AS (SELECT value AS v, count(*) FILTER (ts < timestamp '2024-01-16') AS r, count(*) FILTER (ts >= timestamp '2024-01-16') AS c FROM events GROUP BY 1), k AS (SELECT sum(r) OVER w / sum(r) OVER () - sum(c) OVER w / sum(c) OVER () AS d FROM u WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)) SELECT round(max(abs(d)), 9) AS ks, 'none' AS severity, false AS retrain FROM k")
+@query("q_V22_drift_report", """WITH s AS (SELECT 'halves' AS pair, value AS v, ts < timestamp '2024-01-16' AS ref FROM events UNION ALL SELECT 'types', CASE WHEN event_type = 'view' THEN value ELSE value * 1.5 + 10 END, event_type = 'view' FROM events WHERE event_type IN ('view', 'error')),
+u AS (SELECT pair, v, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS c FROM s GROUP BY ALL), k AS (SELECT pair, sum(r) OVER w / sum(r) OVER (PARTITION BY pair) - sum(c) OVER w / sum(c) OVER (PARTITION BY pair) AS d FROM u WINDOW w AS (PARTITION BY pair ORDER BY v ROWS UNBOUNDED PRECEDING)), ks AS (SELECT pair, max(abs(d)) AS ks FROM k GROUP BY pair),
+e AS (SELECT pair, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM s WHERE ref GROUP BY pair), b AS (SELECT pair, len(list_filter(edges, lambda x: x <= v)) AS bin, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS c FROM s JOIN e USING (pair) GROUP BY ALL),
+t AS (SELECT pair, greatest(r / sum(r) OVER (PARTITION BY pair), 1e-6) AS x, greatest(c / sum(c) OVER (PARTITION BY pair), 1e-6) AS y FROM b), p AS (SELECT pair, sum((y - x) * ln(y / x)) AS psi FROM t GROUP BY pair)
+SELECT pair, round(psi, 9) AS psi, round(ks, 9) AS ks, CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'none' END AS severity, psi >= 0.25 AS retrain FROM ks JOIN p USING (pair)""")
 def drift_report(spark, sf):
-    rows = table(spark, sf, "events").select("value", (F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-16"))).alias("ref"))
-    reference, current = rows.filter("ref"), rows.filter("not ref")
-    psi = stats.psi(reference, current, "value").select(policy.drift_severity(F.col("psi")).alias("severity"))
-    return stats.ks(reference, current, "value").join(F.broadcast(psi)).select(F.round("ks", 9).alias("ks"), "severity", (F.col("severity") == "significant").alias("retrain"))
+    """Two pairs of samples, one alike, one shifted: distance, stability index, and whether to retrain."""
+    events = table(spark, sf, "events")
+    early = F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-16"))
+    pairs = {
+        "halves": (events.filter(early).select("value"), events.filter(~early).select("value")),
+        "types": (events.filter("event_type = 'view'").select("value"), events.filter("event_type = 'error'").select((F.col("value") * 1.5 + 10).alias("value"))),
+    }
+    out = None
+    for pair, (reference, current) in pairs.items():
+        psi, ks = stats.psi(reference, current, "value"), stats.ks(reference, current, "value")
+        row = ks.join(F.broadcast(psi)).select(F.lit(pair).alias("pair"), F.round("psi", 9).alias("psi"), F.round("ks", 9).alias("ks"), policy.drift_severity(F.col("psi")).alias("severity"))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("retrain", F.col("severity") == "significant")
 
 
 @query("q_V23_rule_scores", v.with_views(f"WITH {_RULED_SQL} SELECT action, CASE action WHEN 'block' THEN 1.0 WHEN 'alert' THEN 0.5 ELSE 0.0 END::double AS score, count(*) AS n FROM s GROUP BY action"))

@@ -34,10 +34,14 @@ def rule_coverage(spark, sf):
     return ruled(spark, sf).select("user_id", F.explode("rules").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users"))
 
 
-@query("q_P16_cases", v.with_views(f"""WITH {_RULED_SQL} SELECT event_id, CASE WHEN list_has_all(rules, ['one_sided_sell_pressure', 'cancel_rate_spike']) THEN 'spoofing_layering' WHEN list_has_all(rules, ['rapid_order_interarrival', 'cancel_rate_spike']) THEN 'quote_stuffing' WHEN list_has_any(rules, ['sharp_buy_price_drift', 'stop_run_or_feedback_sweep']) THEN 'momentum_ignition' WHEN burst > 12 THEN 'bursty' WHEN cancel_rate > 0.5 THEN 'high_cancel_rate' ELSE 'generic' END AS behaviour,
-round(least(0.99, 0.4 + 0.6 * risk_score), 6) AS confidence, CASE severity WHEN 'critical' THEN 'block_simulated_agent' WHEN 'high' THEN 'critical_alert' ELSE 'no_action' END AS recommended FROM s WHERE risk_score >= 0.45 OR action <> 'allow'"""))
+@query("q_P16_cases", v.with_views(f"""WITH {_RULED_SQL}, c AS (SELECT event_id, rules, burst, cancel_rate, risk_score, severity FROM s WHERE risk_score >= 0.45 OR action <> 'allow' UNION ALL SELECT doc_id, ['promoted_markout_threshold'], 0, 0, p, CASE WHEN p >= 0.75 THEN 'critical' ELSE 'medium' END FROM v_scores WHERE p >= 0.45)
+SELECT event_id, CASE WHEN list_contains(rules, 'promoted_markout_threshold') THEN 'Adverse-selection markout risk' WHEN list_has_all(rules, ['one_sided_sell_pressure', 'cancel_rate_spike']) THEN 'Spoofing / layering' WHEN list_has_all(rules, ['rapid_order_interarrival', 'cancel_rate_spike']) THEN 'Quote stuffing' WHEN list_has_any(rules, ['sharp_buy_price_drift', 'stop_run_or_feedback_sweep']) THEN 'Momentum ignition'
+WHEN burst > 12 THEN 'Bursty unsafe agent behavior (unclassified)' WHEN cancel_rate > 0.5 THEN 'High cancel-rate behavior' ELSE 'Generic anomalous flow' END AS behaviour, round(least(0.99, 0.4 + 0.6 * risk_score), 6) AS confidence, CASE severity WHEN 'critical' THEN 'block_simulated_agent' WHEN 'high' THEN 'critical_alert' WHEN 'medium' THEN 'warning_alert' ELSE 'no_action' END AS recommended FROM c"""))
 def cases(spark, sf):
-    rows = ruled(spark, sf).filter("risk_score >= 0.45 or action <> 'allow'").withColumn("confidence", policy.case_confidence("risk_score"))
+    """Cases from ticks and from scored fills; the latter match the markout rule alone."""
+    ticks = ruled(spark, sf).filter("risk_score >= 0.45 or action <> 'allow'").select("event_id", "rules", "burst", "cancel_rate", "risk_score", "severity")
+    fills = v.scores(spark, sf).filter("p >= 0.45").select(F.col("doc_id").alias("event_id"), F.array(F.lit(policy.MARKOUT_RULE)).alias("rules"), F.lit(0.0).alias("burst"), F.lit(0.0).alias("cancel_rate"), F.col("p").alias("risk_score"), F.when(F.col("p") >= 0.75, "critical").otherwise("medium").alias("severity"))
+    rows = ticks.unionByName(fills).withColumn("confidence", policy.case_confidence("risk_score"))
     return rows.select("event_id", policy.behaviour("rules").alias("behaviour"), F.round("confidence", 6).alias("confidence"), policy.case_action().alias("recommended"))
 
 
@@ -58,13 +62,14 @@ def top_alerts(spark, sf):
     return ruled(spark, sf).filter("action <> 'allow'").orderBy(F.desc("risk_score"), "ts_ms", "event_id").limit(5).select("event_id", "risk_score")
 
 
-@query("q_J18_novelty", v.with_views(f"""WITH {_RULED_SQL}, n AS (SELECT event_id, rules, user_id % 6 AS name FROM s WHERE event_id % 50 = 0), m AS (SELECT rules, user_id % 6 AS name FROM s WHERE event_id < 40)
-SELECT n.event_id, round(min(greatest(0, 1 - greatest(CASE WHEN len(n.rules) > 0 AND len(m.rules) > 0 THEN len(list_intersect(n.rules, m.rules)) / len(list_distinct(n.rules || m.rules)) ELSE 0 END, CASE WHEN n.name = m.name THEN 0.6 ELSE 0 END))), 9) AS novelty FROM n, m GROUP BY 1"""))
+@query("q_J18_novelty", v.with_views(f"""WITH {_RULED_SQL}, n AS (SELECT event_id, rules, user_id % 6 AS name FROM s WHERE event_id % 50 = 0), m AS (SELECT rules, user_id % 6 AS name, count(*) AS n, min(event_id) AS only FROM s GROUP BY ALL)
+SELECT n.event_id, round(min(greatest(0, 1 - greatest(CASE WHEN len(n.rules) > 0 AND len(m.rules) > 0 THEN len(list_intersect(n.rules, m.rules)) / len(list_distinct(n.rules || m.rules)) ELSE 0 END, CASE WHEN n.name = m.name THEN 0.6 ELSE 0 END))), 9) AS novelty FROM n, m WHERE m.n > 1 OR m.only <> n.event_id GROUP BY 1"""))
 def novelty(spark, sf):
-    """How new a case is against a bounded shelf of memories: distinct (rules, name) signatures, broadcast."""
+    """How new each 50th case is against all others, which are met as distinct signatures (rules, name) and not as rows."""
     rows = ruled(spark, sf).withColumn("name", F.expr("user_id % 6"))
-    shelf = rows.filter("event_id < 40").select(F.col("rules").alias("seen_rules"), F.col("name").alias("seen_name")).distinct()
-    met = rows.filter("event_id % 50 = 0").join(F.broadcast(shelf))
+    # at most 2^9 sets of rules times 6 names
+    shelf = rows.groupBy(F.col("rules").alias("seen_rules"), F.col("name").alias("seen_name")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("only"))
+    met = rows.filter("event_id % 50 = 0").join(F.broadcast(shelf), (F.col("n") > 1) | (F.col("only") != F.col("event_id")))
     return met.groupBy("event_id").agg(F.round(F.min(policy.best_overlap_novelty("rules", "name", "seen_rules", "seen_name")), 9).alias("novelty"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import market
-from tidelake.operators import policy, replay, tables
+from tidelake.operators import ordered, policy, replay, tables, temporal
 from tidelake.plans import adapters as v
 from tidelake.plans.policy_queries import _RULED_SQL, ruled
 from tidelake.plans.registry import query
@@ -47,9 +47,9 @@ def alert_fallback(spark, sf):
     return rows.select("event_id", F.coalesce("px", F.lit(0.0)).alias("px"), F.when(F.col("px").isNull(), "alert").otherwise("tick").alias("evidence"))
 
 
-@query("q_J11_decision_by_alert", v.with_views("SELECT f.tid, f.coin FROM (SELECT 'alert_' || event_id AS alert_id FROM ev WHERE event_id % 3 = 0) a JOIN v_fills f ON f.tid = regexp_replace(a.alert_id, '^alert_', '')::bigint"))
+@query("q_J11_decision_by_alert", v.with_views("SELECT f.tid, f.coin FROM (SELECT 'alert_' || event_id AS alert_id FROM ev) a JOIN v_fills f ON f.tid = regexp_replace(a.alert_id, '^alert_', '')::bigint"))
 def decision_by_alert(spark, sf):
-    alerts = v.events(spark, sf).filter("event_id % 3 = 0").select(F.concat(F.lit("alert_"), "event_id").alias("alert_id"))
+    alerts = v.events(spark, sf).select(F.concat(F.lit("alert_"), "event_id").alias("alert_id"))
     return alerts.withColumn("tid", F.regexp_replace("alert_id", "^alert_", "").cast("long")).join(v.fills(spark, sf), "tid").select("tid", "coin")
 
 
@@ -66,18 +66,19 @@ def parent_with_children(spark, sf):
     return rows.select("n_name", F.size("children").cast("long").alias("n_suppliers"), F.aggregate("children", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
 
 
-@query("q_J15_aligned_days", v.with_views("WITH a AS (SELECT DISTINCT ts_ms // 86400000 AS day FROM v_bars WHERE coin = 1), b AS (SELECT DISTINCT ts_ms // 86400000 AS day FROM v_ctx WHERE coin = 1) SELECT (SELECT count(*) FROM (SELECT day FROM a INTERSECT SELECT day FROM b)) AS n_aligned, coalesce((SELECT max(day) FROM (SELECT day FROM a INTERSECT SELECT day FROM b)), (SELECT max(day) FROM a)) AS latest"))
+@query("q_J15_aligned_days", v.with_views("WITH a AS (SELECT DISTINCT coin, ts_ms // 86400000 AS day FROM v_bars), b AS (SELECT DISTINCT coin, ts_ms // 86400000 AS day FROM v_ctx) SELECT a.coin, count(b.day) AS n_aligned, coalesce(max(b.day), max(a.day)) AS latest FROM a LEFT JOIN b USING (coin, day) GROUP BY a.coin"))
 def aligned_days(spark, sf):
-    day = lambda df: df.filter("coin = 1").select(F.expr("ts_ms div 86400000").alias("day"))
-    bars, contexts = day(v.bars(spark, sf)), day(v.contexts(spark, sf))
-    both = bars.intersect(contexts).agg(F.count(F.lit(1)).alias("n_aligned"), F.max("day").alias("d"))
-    return both.join(F.broadcast(bars.agg(F.max("day").alias("m")))).select("n_aligned", F.coalesce("d", "m").alias("latest"))
+    """Of each coin the days with bars and contexts, and the latest of them; the latest with bars, if none has both."""
+    days = lambda df: df.select("coin", F.expr("ts_ms div 86400000").alias("day")).distinct()
+    both = days(v.bars(spark, sf)).join(days(v.contexts(spark, sf)).withColumn("there", F.lit(True)), ["coin", "day"], "left")
+    aligned = F.when(F.col("there"), F.col("day"))
+    return both.groupBy("coin").agg(F.count(aligned).alias("n_aligned"), F.coalesce(F.max(aligned), F.max("day")).alias("latest"))
 
 
-@query("q_T01_total_order", v.with_views("SELECT order_id, row_number() OVER (ORDER BY ts_ms, sequence) AS place FROM v_orders ORDER BY ts_ms, sequence LIMIT 100"))
+@query("q_T01_total_order", v.with_views("SELECT order_id, row_number() OVER (ORDER BY ts_ms, sequence) AS place FROM v_orders"))
 def total_order(spark, sf):
-    first = v.orders(spark, sf).orderBy("ts_ms", "sequence").limit(100)
-    return first.select("order_id", F.row_number().over(Window.orderBy("ts_ms", "sequence")).cast("long").alias("place"))
+    """Every order's place in time; none of the parts that are numbered holds the table."""
+    return ordered.running(v.orders(spark, sf), "ts_ms", {"place": F.lit(1).cast("long")}, tie=["sequence"]).select("order_id", "place")
 
 
 @query("q_T02_latest_n", v.with_views("SELECT tid, px FROM v_fills ORDER BY ts_ms DESC, tid DESC LIMIT 100"))
@@ -85,10 +86,10 @@ def latest_n(spark, sf):
     return tables.latest(v.fills(spark, sf), 500, F.desc("ts_ms"), F.desc("tid")).select("tid", "px")
 
 
-@query("q_T04_top_features", "WITH m AS (SELECT vec_id, list_transform(range(1, 9), lambda i: struct_pack(k := 'f' || i, a := embedding[i]::double)) AS l FROM embeddings) SELECT vec_id, array_to_string(list_transform(list_slice(list_sort(list_transform(l, lambda x: struct_pack(o := -abs(x.a), k := x.k))), 1, 3), lambda x: x.k), ',') AS top FROM m")
+@query("q_T04_top_features", "WITH m AS (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: struct_pack(k := 'f' || i, a := embedding[i]::double)) AS l FROM embeddings) SELECT vec_id, array_to_string(list_transform(list_slice(list_sort(list_transform(l, lambda x: struct_pack(o := -abs(x.a), k := x.k))), 1, 3), lambda x: x.k), ',') AS top FROM m")
 def top_features(spark, sf):
-    names = F.array(*[F.lit(f"f{i}") for i in range(1, 9)])
-    rows = table(spark, sf, "embeddings").select("vec_id", F.map_from_arrays(names, F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))).alias("m"))
+    named = F.transform("embedding", lambda x, i: F.struct(F.concat(F.lit("f"), i + 1).alias("key"), x.cast("double").alias("value")))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.map_from_entries(named).alias("m"))
     return rows.select("vec_id", F.array_join(F.transform(tables.top_entries("m", 3), lambda e: e["key"]), ",").alias("top"))
 
 
@@ -129,11 +130,15 @@ def markout_flatten(spark, sf):
     return maps.select("user_id", *[F.col("m")[k].alias(k) for k in ("view", "click", "error")])
 
 
-@query("q_K13_coverage", v.with_views("WITH g AS (SELECT unnest(generate_series(19723, 19753)) AS day), p AS (SELECT DISTINCT ts_ms // 86400000 AS day FROM v_bars WHERE coin = 2) SELECT count(*) AS expected, count(p.day) AS present, round(count(p.day) / count(*), 9) AS ratio FROM g LEFT JOIN p USING (day)"))
+@query("q_K13_coverage", v.with_views("WITH g AS (SELECT coin, unnest(generate_series(19723, 19753)) AS day FROM (SELECT DISTINCT coin FROM v_bars)), p AS (SELECT DISTINCT coin, ts_ms // 86400000 AS day FROM v_bars) SELECT g.coin, count(*) AS expected, count(p.day) AS present, array_to_string(list_sort(coalesce(list(g.day) FILTER (p.day IS NULL), [])), ',') AS missing, round(count(p.day) / count(*), 9) AS ratio FROM g LEFT JOIN p ON p.coin = g.coin AND p.day = g.day GROUP BY g.coin"))
 def coverage(spark, sf):
-    grid = spark.range(19723, 19754).withColumnRenamed("id", "day")
-    present = v.bars(spark, sf).filter("coin = 2").select(F.expr("ts_ms div 86400000").alias("day")).distinct().withColumn("there", F.lit(1))
-    return grid.join(present, "day", "left").agg(F.count(F.lit(1)).alias("expected"), F.count("there").alias("present"), F.round(F.count("there") / F.count(F.lit(1)), 9).alias("ratio"))
+    """Per coin the grid of days against those present."""
+    bars = v.bars(spark, sf)
+    grid = bars.select("coin").distinct().withColumn("day", F.explode(F.sequence(F.lit(19723).cast("long"), F.lit(19753).cast("long"))))
+    present = bars.select("coin", F.expr("ts_ms div 86400000").alias("day")).distinct().withColumn("there", F.lit(1))
+    n, there = F.count(F.lit(1)), F.count("there")
+    missing = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("there").isNull(), F.col("day")))), lambda d: d.cast("string")), ",")
+    return grid.join(present, ["coin", "day"], "left").groupBy("coin").agg(n.alias("expected"), there.alias("present"), missing.alias("missing"), F.round(there / n, 9).alias("ratio"))
 
 
 @query("q_K17_upsert", v.with_views("SELECT agent_id, arg_max(order_id, (ts_ms, order_id)) AS order_id, arg_max(action, (ts_ms, order_id)) AS action FROM v_orders GROUP BY agent_id"))
@@ -167,12 +172,29 @@ def quote_from_ladder(spark, sf):
     return replay.ladder(depth, ["snap"]).select("snap", F.round(bid, 6).alias("bid"), F.round(ask, 6).alias("ask"))
 
 
-@query("q_M14_replay_ticks", v.with_views("SELECT tie, 'SELL' AS tick_side, close + 5.0 AS order_px, 'block' AS action, 0.88::double AS risk_score FROM v_bars"))
+def _templates_sql() -> str:
+    """The scenarios with rules, action and score, worked out by DuckDB from their features."""
+    names = ["scenario", *policy.FEATURES, "side_rule", "order_offset", "order_qty", "trade_qty", "trade_offset"]
+    values = ", ".join("(" + ", ".join(repr(x) if isinstance(x, str) else f"{x}::double" for x in t) + ")" for t in replay.TEMPLATES)
+    rules = " + ".join(f"({p})::int" for _, p in policy.RULES)
+    acted = f"SELECT *, {rules} AS n_rules FROM (VALUES {values}) t({', '.join(names)})"
+    return f"tpl AS (SELECT *, CASE WHEN n_rules >= 2 THEN 'block' WHEN n_rules = 1 THEN 'alert' ELSE 'allow' END AS action FROM ({acted}))"
+
+
+@query("q_M14_replay_ticks", v.with_views(f"""WITH {_templates_sql()}, b AS (SELECT *, row_number() OVER (PARTITION BY coin ORDER BY ts_ms, tie) - 1 AS idx FROM v_bars),
+q AS (SELECT b.tie, arg_min(d.bid_px, (abs(d.ts_ms - b.ts_ms), -d.ts_ms, CASE WHEN d.ts_ms > b.ts_ms THEN d.tie ELSE -d.tie END)) AS bid FROM b JOIN v_book d ON d.coin = b.coin GROUP BY b.tie)
+SELECT tie, scenario, CASE WHEN side_rule = 'EVEN' THEN CASE WHEN idx % 2 = 0 THEN 'BUY' ELSE 'SELL' END ELSE side_rule END AS tick_side, round(close + order_offset, 6) AS order_px, round(close + trade_offset, 6) AS trade_px, bid AS depth_bid, action, CASE action WHEN 'block' THEN 0.88 WHEN 'alert' THEN 0.58 ELSE 0.15 END::double AS risk_score FROM b JOIN q USING (tie), tpl"""))
 def replay_ticks(spark, sf):
-    return replay.ticks(v.bars(spark, sf), "spoofing_layering", ["ts_ms", "tie"]).select("tie", "tick_side", "order_px", "action", "risk_score")
+    """Every bar in every scenario: the nearest depth, the scenario's order and trade around the close, rules, action, score."""
+    bars = temporal.asof_nearest(v.bars(spark, sf), v.book(spark, sf).select("coin", "ts_ms", "bid_px", "tie"), "coin", "depth_")
+    out = None
+    for scenario in [t[0] for t in replay.TEMPLATES]:
+        rows = replay.ticks(bars, scenario, ["ts_ms", "tie"]).select("tie", F.lit(scenario).alias("scenario"), "tick_side", F.round("order_px", 6).alias("order_px"), F.round("trade_px", 6).alias("trade_px"), F.col("depth_bid_px").alias("depth_bid"), "action", "risk_score")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-@query("q_M13_templates", "SELECT * FROM (VALUES ('spoofing_layering', 'block', 5), ('quote_stuffing', 'block', 3), ('momentum_ignition', 'block', 3), ('twap_execution', 'allow', 0), ('inventory_rebalancer', 'allow', 0), ('passive_market_maker', 'allow', 0)) t(scenario, action, n_rules)")
+@query("q_M13_templates", f"WITH {_templates_sql()} SELECT scenario, action, n_rules FROM tpl")
 def scenario_templates(spark, sf):
     rows = replay.templates(spark).withColumn("matched_rules", policy.matched_rules())
     return rows.select("scenario", policy.rule_action().alias("action"), F.size("matched_rules").alias("n_rules"))

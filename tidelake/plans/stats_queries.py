@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import market
@@ -90,11 +89,7 @@ def false_blocks(spark, sf):
 @query("q_A20_block_threshold", v.with_views("WITH c AS (SELECT DISTINCT p AS t FROM v_scores UNION SELECT 1.1::double), b AS (SELECT t, (SELECT count(*) FROM v_scores s WHERE NOT s.y AND s.p >= c.t) AS blocked FROM c) SELECT max(t) AS threshold FROM b WHERE 100000 * blocked / (SELECT greatest(count(*), 1) FROM v_scores WHERE NOT y) <= 1000"))
 def block_threshold(spark, sf):
     """The highest candidate within the budget of false blocks. As 1.1 blocks nothing and is a candidate, it always wins."""
-    rows = v.scores(spark, sf)
-    by_score = rows.groupBy("p").agg(F.count_if(~F.col("y")).alias("benign")).unionByName(spark.createDataFrame([(1.1, 0)], "p double, benign bigint"))
-    blocked = F.sum("benign").over(Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = rows.agg(F.greatest(F.count_if(~F.col("y")), F.lit(1)).alias("total"))
-    return by_score.withColumn("blocked", blocked).join(F.broadcast(total)).filter("100000 * blocked / total <= 1000").agg(F.max("p").alias("threshold"))
+    return stats.block_threshold(v.scores(spark, sf), 1000)
 
 
 _SPLIT = "2024-01-16"
@@ -119,8 +114,8 @@ def ks(spark, sf):
 
 @query("q_A23_p95_exclusive", """WITH a AS (SELECT user_id % 20 AS g, list_sort(list(value)) AS l, count(*) AS n FROM events GROUP BY 1), j AS (SELECT *, least(greatest((19 * (n + 1)) // 20, 1), n - 1) AS j FROM a) SELECT g, round((l[j] * (20 - (19 * (n + 1) - 20 * j)) + l[j + 1] * (19 * (n + 1) - 20 * j)) / 20, 6) AS p95 FROM j""")
 def p95_exclusive(spark, sf):
-    lists = table(spark, sf, "events").groupBy(F.expr("user_id % 20").alias("g")).agg(F.sort_array(F.collect_list("value")).alias("values"))
-    return lists.select("g", F.round(stats.exclusive_p95(F.col("values")), 6).alias("p95"))
+    rows = table(spark, sf, "events").select(F.expr("user_id % 20").alias("g"), "value")
+    return stats.exclusive_p95_of(rows, "value", ["g"]).select("g", F.round("p95", 6).alias("p95"))
 
 
 @query("q_A24_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean FROM events GROUP BY 1")

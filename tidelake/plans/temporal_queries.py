@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import market
-from tidelake.operators import orderflow, stats, temporal
+from tidelake.operators import orderflow, policy, stats, temporal
 from tidelake.plans import adapters as v
 from tidelake.plans.registry import query
 
@@ -140,21 +140,69 @@ def context_deltas(spark, sf):
     return v.contexts(spark, sf).select("tie", F.round(delta("funding"), 9).alias("funding_change"), F.round(delta("open_interest"), 6).alias("open_interest_change"))
 
 
+_STORE = {"w1h": H, "w6h": 6 * H, "w24h": 24 * H}
+#: Digits compared, and what is added before, so that means that lie half way round alike from sums made in different order.
+_PRECISION, _NUDGE = 6, 1.3e-8
+
+
+def _rounded(column: str):
+    return (F.round(F.col(column) + _NUDGE, _PRECISION) + 0).alias(column)
+
+
+def snapshot_sql(rows: str, pairs: str, key: str) -> str:
+    """The 30 features of each ``key`` for DuckDB, from its member rows and its pairs of opposite orders at one price."""
+    n, dur = "count(*)", "(max(ts_ms) - min(ts_ms))"
+    buys, sells = "count(*) FILTER (side = 'buy')", "count(*) FILTER (side = 'sell')"
+    order = [n, buys, sells, *(f"count(*) FILTER (action = '{a}')" for a in ("cancel", "replace", "fill")), f"{buys} / {n}", f"{sells} / {n}", f"count(*) FILTER (action = 'cancel') / {n}", "sum(quantity)", "avg(quantity)", "max(quantity)", "avg(price)", "min(price)", "max(price)", "max(price) - min(price)"]
+    market = ["sum(price * quantity)", "avg(price * quantity)", buys, sells, "arg_max(price, (ts_ms, sequence)) - arg_min(price, (ts_ms, sequence))", "(coalesce(sum(quantity) FILTER (side = 'buy'), 0) - coalesce(sum(quantity) FILTER (side = 'sell'), 0)) / greatest(sum(quantity), 1e-9)"]
+    agentic = ["count(DISTINCT agent_id)", "count(DISTINCT order_id)", f"{n} / count(DISTINCT agent_id)", "coalesce(min(gap), 0)", f"CASE WHEN {n} > 1 THEN {dur} / ({n} - 1) ELSE 0 END", f"{n} / greatest({dur} / 1000, 0.001)", "coalesce(any_value(self_crosses), 0)", "coalesce(any_value(pairs), 0)"]
+    columns = ", ".join(f"round(({e})::double + {_NUDGE}, {_PRECISION}) + 0 AS {f}" for f, e in zip(orderflow.SNAPSHOT, [*order, *market, *agentic], strict=True))
+    return f"SELECT {key}, {columns} FROM (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY {key} ORDER BY ts_ms, sequence) AS gap FROM ({rows})) LEFT JOIN ({pairs}) USING ({key}) GROUP BY {key}"
+
+
 def _store_oracle() -> str:
     out = []
-    for name, ms in (("w1h", H), ("w6h", 6 * H)):
-        w = f"OVER (PARTITION BY scenario_id ORDER BY ts_ms RANGE BETWEEN {ms} PRECEDING AND CURRENT ROW)"
-        out.append(f"""count(*) {w} AS {name}_order_count, count(*) FILTER (side = 'buy') {w} AS {name}_buy_count, round(count(*) FILTER (action = 'cancel') {w} / greatest(count(*) {w}, 1)::double, 6) AS {name}_cancel_rate,
-round(sum(quantity) {w}, 6) AS {name}_quantity_sum, round(sum(price * quantity) {w} / greatest(count(*) {w}, 1), 9) AS {name}_notional_mean, count(*) FILTER (side = 'sell') {w} AS {name}_sell_count,
-max(price) {w} - min(price) {w} AS {name}_price_range, max(quantity) {w} AS {name}_quantity_max, count(DISTINCT agent_id) {w} AS {name}_unique_agents""")
-    return f"SELECT order_id, {', '.join(out)} FROM v_orders"
+    for name, ms in _STORE.items():
+        members = f"m_{name} AS (SELECT i.order_id AS around, j.* FROM v_orders i JOIN v_orders j ON j.scenario_id = i.scenario_id AND j.ts_ms BETWEEN i.ts_ms - {ms} AND i.ts_ms AND (j.ts_ms, j.sequence) <= (i.ts_ms, i.sequence))"
+        pairs = f"SELECT around, sum(b * s)::bigint AS pairs, sum(c)::bigint AS self_crosses FROM (SELECT around, price, sum(b) AS b, sum(s) AS s, sum(b * s) AS c FROM (SELECT around, price, agent_id, count(*) FILTER (side = 'buy') AS b, count(*) FILTER (side = 'sell') AS s FROM m_{name} GROUP BY ALL) GROUP BY ALL) GROUP BY around"
+        out.append(f"{members}, f_{name} AS ({snapshot_sql(f'SELECT * FROM m_{name}', pairs, 'around')})")
+    columns = ", ".join(f"f_{n}.{f} AS {n}_{f}" for n in _STORE for f in orderflow.SNAPSHOT)
+    first, *others = _STORE
+    return f"WITH {', '.join(out)} SELECT f_{first}.around AS order_id, {columns} FROM f_{first} " + " ".join(f"JOIN f_{n} USING (around)" for n in others)
+
+
+def store(spark, sf):
+    """Windows of hours, which suit how thinly the driver's events lie."""
+    return orderflow.feature_store(v.orders(spark, sf), _STORE)
 
 
 @query("q_W02_feature_store", v.with_views(_store_oracle()))
 def feature_store(spark, sf):
-    rows = orderflow.feature_store(v.orders(spark, sf), {"w1h": H, "w6h": 6 * H})
-    rounded = ("cancel_rate", "quantity_sum", "notional_mean")
-    return rows.select("order_id", *[(F.round(c, 9 if "mean" in c else 6) if c.endswith(rounded) else F.col(c)).alias(c) for c in rows.columns if c.startswith(("w1h_", "w6h_"))])
+    rows = store(spark, sf)
+    return rows.select("order_id", *[_rounded(f"{n}_{f}") for n in _STORE for f in orderflow.SNAPSHOT])
+
+
+def _ruled_store_oracle() -> str:
+    source = {"burst": "w1h_agentic_burst_rate_per_second", "quantity_sum": "w6h_order_quantity_sum", "sell_ratio": "w6h_order_sell_ratio", "min_interarrival": "w1h_agentic_min_interarrival_ms", "drift": "w24h_market_price_drift", "cancel_rate": "w1h_order_cancel_rate", "self_cross": "w6h_agentic_self_cross_proxy_count", "agents": "w1h_agentic_unique_agents", "price_range": "w6h_order_price_range", "quantity_max": "w6h_order_quantity_max"}
+    rules = ", ".join(f"CASE WHEN {p} THEN '{n}' END" for n, p in policy.RULES)
+    return f"SELECT order_id, array_to_string(list_filter([{rules}], lambda r: r IS NOT NULL), ',') AS rules FROM (SELECT order_id, {', '.join(f'{c} AS {n}' for n, c in source.items())} FROM ({_store_oracle()}))"
+
+
+@query("q_P11_rules_on_store", v.with_views(_ruled_store_oracle()))
+def rules_on_store(spark, sf):
+    """The rule engine on the feature store itself."""
+    rows = orderflow.rule_features(store(spark, sf), "w1h", "w6h", "w24h")
+    return rows.select("order_id", F.array_join(policy.matched_rules(), ",").alias("rules"))
+
+
+_GROUP_PAIRS = "SELECT scenario_id, sum(b * s)::bigint AS pairs, sum(c)::bigint AS self_crosses FROM (SELECT scenario_id, price, sum(b) AS b, sum(s) AS s, sum(b * s) AS c FROM (SELECT scenario_id, price, agent_id, count(*) FILTER (side = 'buy') AS b, count(*) FILTER (side = 'sell') AS s FROM v_orders GROUP BY ALL) GROUP BY ALL) GROUP BY scenario_id"
+
+
+@query("q_A04_feature_snapshot", v.with_views(snapshot_sql("SELECT * FROM v_orders", _GROUP_PAIRS, "scenario_id")))
+def feature_snapshot(spark, sf):
+    """All 30 features of each scenario."""
+    rows = orderflow.feature_snapshot(v.orders(spark, sf), ["scenario_id"])
+    return rows.select("scenario_id", *[_rounded(f) for f in orderflow.SNAPSHOT])
 
 
 @query("q_J17_self_cross_pairs", v.with_views("SELECT a.scenario_id, count(*) AS pairs FROM v_orders a JOIN v_orders b ON a.scenario_id = b.scenario_id AND a.price = b.price AND a.agent_id = b.agent_id AND a.side = 'buy' AND b.side = 'sell' GROUP BY ALL"))
