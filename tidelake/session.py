@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,19 @@ def build_session(app: str = "tidelake", cores: str | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that driver and executors share; lineage ends there.
+
+    The folder is the session's ``spark.checkpoint.dir``. Only a session on one machine may do without: it gets a temporary one.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            root = tempfile.mkdtemp(prefix="tidelake-")
+        context.setCheckpointDir(root)
+    return df.checkpoint()

@@ -1,12 +1,13 @@
 """Exchange archive CSVs. Columns go by position; a header row (first cell id, timestamp or open_time) and blank lines are skipped.
 
-``sequence`` numbers data rows within their file. Files are read line by line by Spark, so a directory of
-many days is one distributed scan; numbering needs the order within a file only.
+``sequence`` numbers data rows within their file. Spark splits large files into blocks; rows are numbered within
+their block, and start after the rows of the file's earlier blocks, so that no file is one task's.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 
@@ -30,15 +31,20 @@ def _double(i: int) -> Column:
 
 
 def data_rows(lines: DataFrame) -> DataFrame:
-    """Cells of the data rows, from (file, line_no, value)."""
-    rows = lines.filter(F.trim("value") != "").select("file", "line_no", F.split("value", ",").alias("cells"))
+    """Cells of the data rows, from (file, line_no, value), and block where files come in blocks."""
+    block = F.col("block") if "block" in lines.columns else F.lit(0).cast("long")
+    rows = lines.filter(F.trim("value") != "").select("file", block.alias("block"), "line_no", F.split("value", ",").alias("cells"))
     return rows.filter(~F.lower(_cell(0)).isin(*HEADERS))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their number; each file is split by Spark only between whole files."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return files
+    """Lines of text files: (file, block, line_no, value). line_no grows within a block, and blocks grow within a file."""
+    meta = "_metadata.file_path AS file", "_metadata.file_block_start AS block"
+    return spark.read.text(path).selectExpr(*meta, "monotonically_increasing_id() AS line_no", "rtrim('\r', value) AS value")
+
+
+#: Lines of a zipped file that are passed on at once.
+LINES_PER_BATCH = 50_000
 
 
 def read_zipped_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -51,14 +57,33 @@ def read_zipped_lines(spark: SparkSession, path: str) -> DataFrame:
                     members = [m for m in z.namelist() if m.lower().endswith(".csv")]
                     if len(members) != 1:
                         raise ValueError(f"{name}: expected one .csv, found {len(members)}")
-                    lines = z.read(members[0]).decode().splitlines()
-                yield pd.DataFrame({"file": name, "line_no": range(len(lines)), "value": lines})
+                    with io.TextIOWrapper(z.open(members[0]), encoding="utf-8") as lines:
+                        for start in itertools.count(0, LINES_PER_BATCH):
+                            some = [x.rstrip("\r\n") for x in itertools.islice(lines, LINES_PER_BATCH)]
+                            if not some:
+                                break
+                            yield pd.DataFrame({"file": name, "line_no": range(start, start + len(some)), "value": some})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzip, "file string, line_no int, value string")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("sequence", (F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1).cast("long"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over blocks, not rows
+    before = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = rows.withColumn("nth", F.row_number().over(Window.partitionBy("file", "block").orderBy("line_no")))
+    return within.join(before.hint("merge"), ["file", "block"]).withColumn("sequence", (F.col("before") + F.col("nth") - 1).cast("long")).drop("before", "nth")
+
+
+def parse(rows: DataFrame, dataset: str, symbol: str, interval: str | None = None) -> DataFrame:
+    """Rows of one dataset, by its name in the archive."""
+    parsers = {"aggTrades": agg_trades, "trades": trades, "bookTicker": book_ticker, "bookDepth": book_depth}
+    if dataset in parsers:
+        return parsers[dataset](rows, symbol)
+    if not dataset.lower().endswith("klines"):
+        raise ValueError(f"unknown dataset {dataset}")
+    if interval is None:
+        raise ValueError(f"{dataset} needs an interval")
+    return klines(rows, symbol, interval)
 
 
 def agg_trades(rows: DataFrame, symbol: str) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.functions.market import normalised_side
+from tidelake.session import checkpointed
 
 _BOOK = "struct<coin:string,time:bigint,levels:array<array<struct<px:string,sz:string,n:int>>>>"
 _FILL = "coin:string,px:string,sz:string,side:string,time:bigint,crossed:string,oid:bigint,tid:bigint,hash:string,fee:string,feeToken:string,builderFee:string,dir:string"
-#: Keys under which fills come in lists.
+# The keys under which fills come in lists.
 _LISTS = ("events", "fills", "userFills", "node_fills", "nodeFills")
 
 
@@ -34,11 +35,15 @@ def node_fills(documents: DataFrame) -> DataFrame:
     """Fills out of nested JSON documents (column value): lists, {fill}, lists under one of five keys, [user, fill] pairs.
 
     Variants are unwrapped level by level: each round opens one layer of whatever isn't a fill yet, until nothing is
-    left to open. What is neither a fill nor a wrapper drops out.
+    left to open, however deep. A level is written before the next one reads it, so the source is parsed once. What
+    is neither a fill nor a wrapper drops out.
     """
     level = documents.select(F.try_parse_json("value").alias("v")).filter("v is not null")
     found: DataFrame | None = None
-    for _ in range(6):
+    while True:
+        level = checkpointed(level)
+        if found is not None and level.isEmpty():
+            break
         is_list = F.schema_of_variant("v").startswith("ARRAY")
         flat = level.select(F.when(is_list, F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v")).alias("x")).select(F.explode("x").alias("v")).filter("v is not null")
         kind = F.schema_of_variant("v")
@@ -51,10 +56,22 @@ def node_fills(documents: DataFrame) -> DataFrame:
     return found.select(*[F.try_variant_get("v", f"$.{n}", t).alias(n) for n, t in fields], F.to_json("v").alias("raw_json"))
 
 
+def json_or_lines(texts: DataFrame) -> DataFrame:
+    """Documents (value) of whole files: one per line, if several lines are JSON each or the whole is not, else one."""
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
+    by_line = ((F.size(lines) > 1) & F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())) | F.try_parse_json("value").isNull()
+    return texts.select(F.explode(F.when(by_line, lines).otherwise(F.array("value"))).alias("value"))
+
+
+# The words for crossed and not crossed.
+_CROSSED, _RESTED = ("1", "true", "t", "yes", "y"), ("0", "false", "f", "no", "n")
+
+
 def typed_fills(fills: DataFrame) -> DataFrame:
-    """Numbers, side as B or A, crossed as true, false or unknown."""
+    """Numbers, side as B or A, crossed as true, false or, where missing, unknown; any other word for it is an error where the value is used."""
     word = F.lower(F.trim("crossed"))
-    crossed = F.when(word.isin("1", "true", "t", "yes", "y"), True).when(word.isin("0", "false", "f", "no", "n"), False)
+    crossed = F.when(word.isNull() | (word == ""), F.lit(None).cast("boolean")).when(word.isin(*_CROSSED), True).when(word.isin(*_RESTED), False)
+    crossed = crossed.otherwise(F.raise_error(F.concat(F.lit("unknown word for crossed: "), word)).cast("boolean"))
     number = lambda c: F.nullif(F.col(c), F.lit("")).cast("double")
     return fills.select("coin", F.col("time").alias("ts_ms"), number("px").alias("px"), number("sz").alias("sz"), normalised_side().alias("side"), crossed.alias("crossed"), "oid", "tid", "hash", number("fee").alias("fee"), F.col("feeToken").alias("fee_token"), number("builderFee").alias("builder_fee"), F.col("dir").alias("direction"), "raw_json")
 
