@@ -150,5 +150,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT g, min(doc_id) AS first FROM x GROUP BY g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM x JOIN f USING (g) WHERE f.first < x.doc_id),
+k AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce((SELECT string_agg(v, ' ' ORDER BY j) FROM (SELECT unnest(w) AS v, unnest(range(1, len(w) + 1)) AS j) WHERE gone IS NULL OR NOT list_contains(gone, j)), '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES = {"op8_substring_dedup": op8_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_substring_dedup": ORACLE}
