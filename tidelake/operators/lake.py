@@ -55,6 +55,55 @@ def silver_contexts(contexts: DataFrame) -> DataFrame:
     return contexts.withColumn("basis_bps", market.basis_bps())
 
 
+def silver_candles(candles: DataFrame) -> DataFrame:
+    """Candles by the time of their close."""
+    return candles.select("coin", "interval", F.col("close_ts_ms").alias("ts_ms"), "open_ts_ms", "open", "high", "low", "close", "volume", "trade_count")
+
+
+def newest_partition(spark: SparkSession, path: str, date: str | None = None) -> DataFrame:
+    """Rows of the partition of ``date``, or of the newest one where that is missing, in order of time."""
+    rows = spark.read.parquet(path)
+    dates = rows.select(F.col("date").cast("string").alias("date")).distinct().agg(F.max("date").alias("newest"), F.max(F.when(F.col("date") == date, F.col("date"))).alias("asked")).first()
+    return rows.filter(F.col("date").cast("string") == (dates["asked"] or dates["newest"])).orderBy("ts_ms")
+
+
+def resolve_partitions(spark: SparkSession, path: str, coins: list[str], dates: list[str]) -> DataFrame:
+    """The requested grid of coins and dates, and whether the lake has each."""
+    grid = spark.createDataFrame([(c, d) for c in coins for d in dates], "coin string, date string")
+    there = spark.read.parquet(path).select("coin", F.col("date").cast("string").alias("date")).distinct().withColumn("there", F.lit(True))
+    return grid.join(there, ["coin", "date"], "left").select("coin", "date", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+def training_panel(spark: SparkSession, path: str, coins: list[str], dates: list[str], columns: list[str], max_rows: int = 0) -> DataFrame:
+    """Rows of the requested partitions with only ``columns``, and where they come from; in order of time, the first ``max_rows`` if given."""
+    rows = spark.read.parquet(path).filter(F.col("coin").isin(coins) & F.col("date").cast("string").isin(dates))
+    panel = rows.select("coin", F.col("date").cast("string").alias("date"), *columns, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("source"))
+    panel = panel.orderBy("ts_ms", "coin")
+    return panel.limit(max_rows) if max_rows else panel
+
+
+def write_scenarios(events: DataFrame, labels: DataFrame, root: str) -> None:
+    """Events and labels as JSON, a folder for each scenario, and a manifest with each one's hash, family and size."""
+    events.write.mode("overwrite").partitionBy("scenario_id").json(f"{root}/events")
+    labels.write.mode("overwrite").partitionBy("scenario_id").json(f"{root}/labels")
+    entries = F.array_sort(F.collect_list(F.struct("ts_ms", "event_id")))
+    index = events.groupBy("scenario_id").agg(F.first("family").alias("family"), F.count(F.lit(1)).alias("n_events"), F.sha2(F.to_json(entries), 256).alias("hash"))
+    index.write.mode("overwrite").json(f"{root}/manifest")
+
+
+def read_scenarios(spark: SparkSession, root: str) -> DataFrame:
+    """One row per event with its label and its scenario's family."""
+    events, labels, index = (spark.read.json(f"{root}/{name}") for name in ("events", "labels", "manifest"))
+    rows = events.drop("family").join(labels, ["scenario_id", "event_id"]).join(index.select("scenario_id", "family"), "scenario_id")
+    return rows.withColumn("mark", F.concat_ws(":", F.lit("agent_order"), "action", "side"))
+
+
+def write_leaderboard(runs: DataFrame, path: str) -> None:
+    """Runs (name, metrics as a map) as one CSV whose header is the sorted union of the metrics."""
+    keys = [r["k"] for r in runs.select(F.explode(F.map_keys("metrics")).alias("k")).distinct().orderBy("k").collect()]  # as many as there are metrics
+    runs.select("name", *[F.col("metrics")[k].alias(k) for k in keys]).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Of every file below ``path`` its sha256 and size. Contents are hashed where they are read, never gathered."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

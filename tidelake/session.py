@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,17 +32,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that driver and executors share; lineage ends there.
+def shared_root(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a session on one machine may do without: it gets a temporary one.
+    Only a session on one machine may do without: it gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="tidelake-")
     if not context.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            root = tempfile.mkdtemp(prefix="tidelake-")
         context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own for tables written on the way."""
+    return f"{shared_root(spark)}/tables-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder; lineage ends there."""
+    shared_root(df.sparkSession)
     return df.checkpoint()

@@ -82,7 +82,11 @@ _CONTEXT_NAMES = {"openInterest": "open_interest", "oraclePx": "oracle_px", "mar
 
 def asset_contexts(spark: SparkSession, path: str) -> DataFrame:
     """Contexts from CSV with either style of header. Rows without a time are static; mid falls back to mark, premium to 0."""
-    rows = spark.read.csv(path, header=True)
+    return context_rows(spark.read.csv(path, header=True))
+
+
+def context_rows(rows: DataFrame) -> DataFrame:
+    """Typed contexts from rows of text under either style of names."""
     for api, ours in _CONTEXT_NAMES.items():
         if api in rows.columns:
             rows = rows.withColumnRenamed(api, ours)
@@ -122,3 +126,26 @@ _CANDLE = {"s": ("coin", "string"), "i": ("interval", "string"), "t": ("open_ts_
 
 def candles(lines: DataFrame) -> DataFrame:
     return lines.select(*[F.get_json_object("value", f"$.{k}").cast(kind).alias(name) for k, (name, kind) in _CANDLE.items()])
+
+
+def archive_keys(hours: DataFrame) -> DataFrame:
+    """Where the venue's archive keeps the book of a coin's hour and the contexts of its day, from (coin, date, hour)."""
+    day = F.date_format("date", "yyyyMMdd")
+    book = F.format_string("market_data/%s/%d/l2Book/%s.lz4", day, F.col("hour").cast("int"), F.col("coin"))
+    return hours.select("coin", "date", "hour", book.alias("book_key"), F.format_string("asset_ctxs/%s.csv.lz4", day).alias("contexts_key"))
+
+
+# The canonical events by type, with the fields that each needs.
+EVENT_FIELDS = {
+    "agg_trade": "symbol string, price double, quantity double, is_buyer_maker boolean", "trade": "symbol string, price double, quantity double, side string", "hyperliquid_fill": "coin string, px double, sz double, side string", "book_depth": "symbol string, percentage double, depth double",
+    "book_ticker": "symbol string, bid_price double, ask_price double", "kline": "symbol string, open double, high double, low double, close double", "agent_order": "agent_id string, order_id string, action string, price double, quantity double",
+}
+
+
+def parse_events(lines: DataFrame) -> dict[str, DataFrame]:
+    """Events (column value: JSON with event_type and timestamp_ms) of every type, each with its own fields; an unknown type is an error where it is read."""
+    kind = F.get_json_object("value", "$.event_type")
+    known = F.when(kind.isin(*EVENT_FIELDS), kind).otherwise(F.raise_error(F.concat(F.lit("unknown event type "), F.coalesce(kind, F.lit("null")))))
+    typed = lines.withColumn("event_type", known)
+    schema = "timestamp_ms bigint, "
+    return {name: typed.filter(F.col("event_type") == name).select("event_type", F.from_json("value", schema + fields).alias("e")).select("event_type", "e.*") for name, fields in EVENT_FIELDS.items()}
