@@ -15,17 +15,23 @@ from tidelake.functions.market import interpolated
 from tidelake.operators import stats
 
 
+def _known(features: list[str]):
+    return reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in features])
+
+
 def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(rows)
+    return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(rows)
 
 
 def fit_boosted(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 3, rate: float = 0.08, seed: int = 42):
-    """A boosted-tree model of a boolean label."""
+    """A boosted-tree model of a boolean label, trained on the rows that have every feature."""
+    rows = rows.filter(_known(features))
     return GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(_assembled(rows, features).withColumn("_y", F.col(label).cast("double")))
 
 
 def score(model, rows: DataFrame, features: list[str], out: str = "p") -> DataFrame:
-    scored = model.transform(_assembled(rows, features)).withColumn(out, vector_to_array("probability")[1])
+    """Every row with its probability; null where a feature is missing."""
+    scored = model.transform(_assembled(rows, features)).withColumn(out, F.when(_known(features), vector_to_array("probability")[1]))
     return scored.drop("_x", "rawPrediction", "probability", "prediction")
 
 
@@ -34,7 +40,7 @@ def fit_isotonic(rows: DataFrame, p: str, label: str) -> tuple[list[float], list
     seen = rows.agg(F.count_distinct(label).alias("n")).first()
     if seen["n"] < 2:
         return None
-    model = IsotonicRegression(featuresCol=p, labelCol="_y").fit(rows.withColumn("_y", F.col(label).cast("double")))
+    model = IsotonicRegression(featuresCol=p, labelCol="_y").fit(rows.filter(F.col(p).isNotNull()).withColumn("_y", F.col(label).cast("double")))
     return model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()
 
 
@@ -55,3 +61,20 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, folds: int, pu
         scored = score(model, folded.filter(F.col("fold") == b["fold"]), features, "raw")
         parts.append(scored.withColumn("p", interpolated(F.col("raw"), *knots) if knots else F.col("raw")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def family_split(rows: DataFrame, held_out: list[str], family: str = "scenario", share: float = 0.25, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, test): whole families held out, or, where none is named, a share of every family drawn by hash."""
+    if held_out:
+        return rows.filter(~F.col(family).isin(held_out)), rows.filter(F.col(family).isin(held_out))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(10_000)) < int(share * 10_000)
+    return rows.filter(~drawn), rows.filter(drawn)
+
+
+def risk_head(train: DataFrame, test: DataFrame, features: list[str], label: str, trees: int = 200, depth: int = 3, rate: float = 0.08):
+    """A boosted risk head and its report on ``test``: size, ranking and calibration, and the features' importances."""
+    model = fit_boosted(train, features, label, trees, depth, rate)
+    judged = score(model, test, features).withColumn("y", F.col(label).cast("boolean")).filter("p is not null")
+    report = judged.agg(F.count(F.lit(1)).alias("n"), stats.brier().alias("brier"), stats.f1(0.5).alias("f1")).first().asDict()
+    report |= {"pr_auc": stats.pr_auc_optimistic(judged).first()[0], "auroc": stats.auroc(judged).first()[0], "importances": dict(zip(features, model.featureImportances.toArray().tolist(), strict=True))}
+    return model, report

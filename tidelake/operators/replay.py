@@ -36,10 +36,39 @@ def derived_quote(mid: Column, levels: Column, band: float = 1.0) -> tuple[Colum
     return F.when(mid > 0, mid * (1 + below / 100)).otherwise(mid), F.when(mid > 0, mid * (1 + above / 100)).otherwise(mid)
 
 
-def ticks(bars: DataFrame, scenario: str, order: list[str]) -> DataFrame:
-    """One tick per bar: the scenario's order and trade around the close, rules, action and risk score."""
-    template = templates(bars.sparkSession).filter(F.col("scenario") == scenario)
+def ticks(bars: DataFrame, scenario: str | None, order: list[str]) -> DataFrame:
+    """One tick per bar (and scenario, if none is named): the scenario's order and trade around the close, rules, action and risk score."""
+    template = templates(bars.sparkSession)
+    if scenario:
+        template = template.filter(F.col("scenario") == scenario)
     rows = bars.withColumn("idx", F.row_number().over(Window.partitionBy("coin").orderBy(*order)) - 1).join(F.broadcast(template))
     side = F.when(F.col("side_rule") == "EVEN", F.when(F.col("idx") % 2 == 0, "BUY").otherwise("SELL")).otherwise(F.col("side_rule"))
     rows = rows.withColumn("tick_side", side).withColumn("matched_rules", policy.matched_rules()).withColumn("action", policy.rule_action())
     return rows.withColumns({"order_px": F.col("close") + F.col("order_offset"), "trade_px": F.col("close") + F.col("trade_offset"), "risk_score": policy.by_name("action", policy.RISK_SCORES)})
+
+
+def synthetic_features(spark: SparkSession, n: int, contamination: float = 0.18, noise: float = 0.55, seed: int = 42) -> DataFrame:
+    """Labelled rows around the scenarios' features: scenario, idx, opposite, hostile and the features.
+
+    Row idx of a scenario is paired with the opposite family's idx-th template, round and round. A ``contamination``
+    share of its features comes from there; each is multiplied by lognormal noise. Draws come from hashes of
+    (seed, scenario, idx, feature), so they don't depend on how rows are dealt to tasks.
+    """
+    own = templates(spark).select("scenario", *policy.FEATURES).withColumn("hostile", F.size(policy.matched_rules()) > 0)
+    family = Window.partitionBy("hostile").orderBy("scenario")
+    own = own.withColumns({"nth": F.row_number().over(family) - 1, "of": F.count(F.lit(1)).over(Window.partitionBy("hostile"))})
+    other = own.select(F.col("scenario").alias("opposite"), (~F.col("hostile")).alias("hostile"), F.col("nth").alias("other_nth"), F.col("of").alias("other_of"), *[F.col(f).alias(f"other_{f}") for f in policy.FEATURES])
+    rows = own.join(spark.range(n).withColumnRenamed("id", "idx")).join(F.broadcast(other), "hostile").filter("idx % other_of = other_nth")  # six templates
+    uniform = lambda f, k: (F.pmod(F.xxhash64(F.lit(seed), "scenario", "idx", F.lit(f), F.lit(k)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    normal = lambda f: F.sqrt(-2 * F.log(uniform(f, 1))) * F.cos(2 * 3.141592653589793 * uniform(f, 2))
+    drawn = {f: F.greatest(F.lit(0.0), F.when(uniform(f, 0) < contamination, F.col(f"other_{f}")).otherwise(F.col(f)) * F.exp(noise * normal(f))) for f in policy.FEATURES}
+    return rows.select("scenario", "idx", "opposite", "hostile", *[c.alias(f) for f, c in drawn.items()])
+
+
+def run_tables(ticks: DataFrame) -> dict[str, DataFrame]:
+    """What a replay leaves behind: orders, trades of some quantity, alerts on what isn't allowed, and a trace of every tick."""
+    base = ["tie", "coin", "ts_ms"]
+    return {
+        "orders": ticks.select(*base, "tick_side", "order_px", "order_qty"), "trades": ticks.filter("trade_qty > 0").select(*base, "trade_px", "trade_qty"),
+        "alerts": ticks.filter("action <> 'allow'").select(*base, "action", "risk_score", "matched_rules"), "traces": ticks.select(*base, "action"),
+    }

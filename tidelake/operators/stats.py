@@ -189,3 +189,19 @@ def scenario_bucket(column: str) -> Column:
 
 def split_name(bucket: Column) -> Column:
     return F.when(bucket < 6, "train").when(bucket < 8, "validation").otherwise("test")
+
+
+def sequence_metrics(rows: DataFrame, session: str, threshold: float = 0.5) -> DataFrame:
+    """One row: PR-AUC, AUROC, F1 at the threshold, and the mean time from a session's first warning to its end."""
+    sessions = rows.groupBy(session).agg(F.max("ts_ms").alias("end"), F.bool_or("y").alias("unsafe"), F.min(F.when(F.col("p") >= threshold, F.col("ts_ms"))).alias("warned"))
+    lead = sessions.filter("unsafe and warned is not null").agg(F.coalesce(F.avg(F.greatest(F.col("end") - F.col("warned"), F.lit(0)).cast("double")), F.lit(0.0)).alias("lead_time_ms"))
+    one = [auroc(rows), rows.agg(f1(threshold).alias("f1")), lead]
+    out = pr_auc_optimistic(rows)
+    for part in one:
+        out = out.join(F.broadcast(part))  # one row each
+    return out
+
+
+def holdout(rows: DataFrame, order: list[str], share: float = 0.2) -> DataFrame:
+    """The latest share of rows, in whole hundredths."""
+    return ordered.tiles(rows, 100, order[0], order[1:]).filter(F.col("tile") >= round(100 * (1 - share))).drop("tile")

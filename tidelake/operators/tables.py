@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,34 @@ def padded_sequences(rows: DataFrame, key: str, order: str, value: str, width: i
     lists = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
     real = F.least(F.size("values"), F.lit(width))
     return lists.select(key, F.slice(F.concat("values", F.array_repeat(F.lit(0), width)), 1, width).alias("tokens"), real.alias("n"))
+
+
+def filtered(rows: DataFrame, among: dict[str, list] | None = None, text: str = "", searched: list[str] | None = None) -> DataFrame:
+    """Rows whose columns have one of the given values and where the text occurs, in any case, in one of the searched columns."""
+    for column, values in (among or {}).items():
+        rows = rows.filter(F.col(column).isin(values))
+    if text and searched:
+        hit = F.lit(False)
+        for column in searched:
+            hit = hit | F.coalesce(F.contains(F.lower(column), F.lit(text.lower())), F.lit(False))
+        rows = rows.filter(hit)
+    return rows
+
+
+def persist_run(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
+    """Several tables of one run, written below its id; the run counts once its marker is written, last."""
+    for name, rows in tables.items():
+        rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{root}/{name}/run={run_id}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(run_id, sorted(tables))], "run_id string, tables array<string>").write.mode("append").parquet(f"{root}/_runs")
+
+
+def read_run_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table's rows of all runs that were written to the end."""
+    complete = spark.read.parquet(f"{root}/_runs").filter(F.array_contains("tables", name)).select("run_id").distinct()
+    return spark.read.parquet(f"{root}/{name}/*").join(complete, "run_id", "left_semi")
+
+
+def job_status(log: DataFrame) -> DataFrame:
+    """Of each job its latest state and how long it ran, from rows that are only ever appended (job, status, at_ms, nth)."""
+    return log.groupBy("job").agg(F.max_by("status", F.struct("at_ms", "nth")).alias("status"), (F.max("at_ms") - F.min("at_ms")).alias("took_ms"), F.count(F.lit(1)).alias("n"))

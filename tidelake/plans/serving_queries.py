@@ -187,11 +187,8 @@ SELECT tie, scenario, CASE WHEN side_rule = 'EVEN' THEN CASE WHEN idx % 2 = 0 TH
 def replay_ticks(spark, sf):
     """Every bar in every scenario: the nearest depth, the scenario's order and trade around the close, rules, action, score."""
     bars = temporal.asof_nearest(v.bars(spark, sf), v.book(spark, sf).select("coin", "ts_ms", "bid_px", "tie"), "coin", "depth_")
-    out = None
-    for scenario in [t[0] for t in replay.TEMPLATES]:
-        rows = replay.ticks(bars, scenario, ["ts_ms", "tie"]).select("tie", F.lit(scenario).alias("scenario"), "tick_side", F.round("order_px", 6).alias("order_px"), F.round("trade_px", 6).alias("trade_px"), F.col("depth_bid_px").alias("depth_bid"), "action", "risk_score")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = replay.ticks(bars, None, ["ts_ms", "tie"])
+    return rows.select("tie", "scenario", "tick_side", F.round("order_px", 6).alias("order_px"), F.round("trade_px", 6).alias("trade_px"), F.col("depth_bid_px").alias("depth_bid"), "action", "risk_score")
 
 
 @query("q_M13_templates", f"WITH {_templates_sql()} SELECT scenario, action, n_rules FROM tpl")
