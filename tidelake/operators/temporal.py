@@ -20,22 +20,26 @@ def _stream(left: DataFrame, right: DataFrame, key: str, shift: int, left_first:
     payload, own = [c for c in right.columns if c not in (key, "tie")], left.columns
     tie = F.col("tie") if "tie" in right.columns else F.lit(0)
     from_left = left.select(F.col(key).alias("_key"), (F.col("ts_ms") + shift).alias("_at"), F.lit(0 if left_first else 1).alias("_order"), F.lit(0).cast("long").alias("_tie"), F.struct(*own).alias("_left"))
-    from_right = right.select(F.col(key).alias("_key"), F.col("ts_ms").alias("_at"), F.lit(1 if left_first else 0).alias("_order"), tie.cast("long").alias("_tie"), F.struct(*payload).alias("_right"))
+    from_right = right.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col("ts_ms").alias("_at"), F.lit(1 if left_first else 0).alias("_order"), tie.cast("long").alias("_tie"), F.struct(*payload).alias("_right"))
     return from_left.unionByName(from_right, allowMissingColumns=True), own, payload
 
 
 def _carried(stream: DataFrame, into: str, downwards: bool, slice_ms: int) -> DataFrame:
     """The stream with the right row met last on the way up, or down, in time. Either way the frame starts at the first row, which costs one pass."""
     at, way = ("_at", "_order", "_tie"), F.desc if downwards else F.asc
-    stream = stream.withColumn("_slice", F.floor(F.col("_at") / slice_ms))
+    # The table of slices and the frames read one exchange, so inputs are read once. For that it must look alike from
+    # both: the table counts what else it holds, and takes the keys as aggregates, below which no filter is pushed.
+    stream = stream.withColumn("_slice", F.floor(F.col("_at") / slice_ms)).repartition("_key", "_slice")
     outermost = (F.min_by if downwards else F.max_by)("_right", F.when(F.col("_right").isNotNull(), F.struct(*at)))
-    of_slice = stream.groupBy("_key", "_slice").agg(outermost.alias("_best"))
-    before = Window.partitionBy("_key").orderBy(way("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    handed = of_slice.select("_key", "_slice", F.last("_best", ignorenulls=True).over(before).alias("_handed"))
+    others = [F.count(c).alias(f"_n{c}") for c in stream.columns if c not in ("_key", "_slice", "_right", *at)]
+    of_slice = stream.groupBy("_key", "_slice").agg(outermost.alias("_best"), F.max("_key").alias("_k"), F.max("_slice").alias("_s"), *others)
+    of_slice = of_slice.filter(F.greatest(F.lit(0), *[F.col(c) for c in of_slice.columns if c.startswith("_n_")]) >= 0)
+    before = Window.partitionBy("_k").orderBy(way("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    handed = of_slice.select("_k", "_s", F.last("_best", ignorenulls=True).over(before).alias("_handed"))
     so_far = Window.partitionBy("_key", "_slice").orderBy(*map(way, at)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = stream.withColumn("_within", F.last("_right", ignorenulls=True).over(so_far))
-    same = within["_key"].eqNullSafe(handed["_key"]) & (within["_slice"] == handed["_slice"])
-    return within.join(handed.hint("merge"), same).select(*[within[c] for c in stream.columns if c != "_slice"], F.coalesce("_within", "_handed").alias(into))
+    met = within.join(handed.hint("merge"), (F.col("_key") == F.col("_k")) & (F.col("_slice") == F.col("_s")), "left")
+    return met.select(*[c for c in stream.columns if c != "_slice"], F.coalesce("_within", "_handed").alias(into))
 
 
 def _picked(rows: DataFrame, own: list[str], payload: list[str], prefix: str, how: str) -> DataFrame:
