@@ -10,7 +10,8 @@ advances many texts by a symbol. Long texts run as lanes of ``LANE`` symbols; ea
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if there is nothing to
 learn from; equal entropies go to the first language by name; null lang is never learnt from; repeated
-rows each get a row; a null doc_id is held in; further columns are ignored.
+rows each get a row; a null doc_id is held in; very long texts are parsed whole, in lanes; an empty table gives
+an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 48, 512
 ALPHABET = 62
 SPACE, OTHER = 0, 1
 LANE = 1024
+#: Fixed value: what a text without a language is given.
+UNDETERMINED = "und"
 #: Characters of text that a task holds as symbols at once (a single longer text is held alone).
 BATCH_CHARS = 2_000_000
 
@@ -200,13 +203,13 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
             entropy, lettered = _entropies(texts[a:b], alphabet, model)
             others = [c.slice(a, b - a) for c in batch.columns]  # pass through as they came
             if not model.langs:
-                yield pa.record_batch([*others, pa.array(["und"] * (b - a), pa.string()), pa.array(np.zeros(b - a)), pa.array(lettered)], names_out)
+                yield pa.record_batch([*others, pa.array([UNDETERMINED] * (b - a), pa.string()), pa.array(np.zeros(b - a)), pa.array(lettered)], names_out)
                 continue
             best = entropy.argmin(1)
             least = np.partition(entropy, min(1, entropy.shape[1] - 1), 1)
             second = least[:, 1] if entropy.shape[1] > 1 else np.full(len(least), np.inf)
             score = np.where(np.isinf(second), 1.0, second / np.maximum(least[:, 0] + second, 1e-12))
-            names = [model.langs[k] if ok else "und" for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
+            names = [model.langs[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
             yield pa.record_batch([*others, pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(lettered)], names_out)
 
 

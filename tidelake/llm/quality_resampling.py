@@ -13,7 +13,8 @@ all else covers every document.
 
 Defined results: a document without words (null, empty, white space) has log weight null, and is kept
 only when all others are; without good labels all weights are 0; equal keys are kept by smaller doc_id,
-null last; rows alike in key and doc_id are kept or left together, left if k would be passed; further columns are ignored.
+null last; rows alike in key and doc_id are kept or left together, left if k would be passed; very long
+texts are counted whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
