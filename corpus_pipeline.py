@@ -4,13 +4,17 @@ Each stage takes the documents that its predecessor kept, as Parquet, and all bu
 columns of documents:
 
 1. language ID rejects documents without any letter, which have no language, and no others: not those
-   whose language is unknown because no row offers a label to learn from;
+   whose language is unknown because no row offers a label to learn from. A document without lang gets the
+   predicted one;
 2. exact dedup keeps one document of each group of copies;
 3. near dedup keeps the smallest document of each component of near-duplicates;
 4. the secret scan replaces every secret by a mark and leaves clean texts as they are;
 5. packing lays the token pieces of what is left into sequences.
 
-A null doc_id is kept by the dedup stages as far as its text allows: exact copies go, near copies stay.
+Defined results: a null or empty text has no letter and goes first; a null doc_id is kept by the dedup stages
+as far as its text allows: exact copies go, near copies stay; rows given twice count once; very long texts are
+read whole by every stage; an empty table, or one of which nothing is kept, packs into nothing; further columns,
+whatever their names, are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.Model(language_id.training_sample(docs))
-    return language_id.predict(docs, model, [c for c in COLUMNS if c != "text"]).filter("lettered").select(COLUMNS)
+    rows = language_id.predict(docs, model, [c for c in COLUMNS if c != "text"]).filter("lettered")
+    return rows.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit(language_id.UNDETERMINED)))).select(COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
