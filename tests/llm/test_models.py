@@ -1,5 +1,6 @@
 """Language identification and quality resampling: held-out accuracy, brute force, odd rows."""
 
+import re
 import zlib
 
 import numpy as np
@@ -39,11 +40,72 @@ def test_phrases_equal_a_plain_parse():
         assert got[0] == phrases
 
 
+def test_predictions_equal_a_plain_parse(spark, sf_dir, table):
+    """The language with the least c * log2(m) / n, phrases cut off one by one by searching the sample."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    samples = language_id.training_sample(docs)
+    model = language_id.Model(samples)
+    alphabet = language_id.Alphabet(model.letters)
+
+    def symbols(text):
+        x = alphabet.table[language_id.code_points(text)]
+        keep = language_id._collapsed(x)
+        if len(keep):
+            keep[0] = True
+        return x[keep].tobytes()
+
+    held = {lang: alphabet.table[language_id.code_points(" ".join(texts))] for lang, texts in samples.items()}
+    held = {lang: x[language_id._collapsed(x)].tobytes() for lang, x in held.items()}
+    rows = {r["doc_id"]: r for r in language_id.op4_language_id(spark, sf_dir).collect()}
+    checked = 0
+    for doc_id, r in sorted(table.items()):
+        text = r["text"] or ""
+        if not 20 < len(text) < 500 or not any(c.isalpha() for c in text):
+            continue
+        own, entropy = symbols(text), {}
+        for lang, sample in sorted(held.items()):
+            phrases, i = 0, 0
+            while i < len(own):
+                j = i + 1
+                while j < len(own) and own[i : j + 1] in sample:
+                    j += 1
+                phrases, i = phrases + 1, j
+            entropy[lang] = phrases * np.log2(len(sample)) / len(own)
+        best = sorted(entropy, key=lambda x: (entropy[x], x))
+        if entropy[best[1]] - entropy[best[0]] > 1e-9:
+            assert rows[doc_id]["lang_pred"] == best[0]
+            assert abs(rows[doc_id]["score"] - entropy[best[1]] / (entropy[best[0]] + entropy[best[1]])) < 1e-9
+            checked += 1
+    assert checked > 10
+
+
+def test_log_weights_equal_a_plain_count(spark, sf_dir, table):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+
+    def features(text):
+        h = [zlib.crc32(w.encode()) for w in re.findall(r"\w+|[^\w\s]+", text or "")]
+        both = [((a * 0x9E3779B97F4A7C15) ^ (b * 0xC2B2AE3D27D4EB4F)) % (1 << 64) >> 17 for a, b in zip(h, h[1:], strict=False)]
+        return [x % quality_resampling.FEATURES for x in h + both]
+
+    raw, target = (np.full(quality_resampling.FEATURES, quality_resampling.SMOOTHING) for _ in range(2))
+    for doc_id, r in table.items():
+        np.add.at(raw, features(r["text"]), 1)
+        if labels.get(doc_id) == 1:
+            np.add.at(target, features(r["text"]), 1)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    got = quality_resampling.op10_quality_resampling(spark, sf_dir).collect()
+    assert len(got) == len(table)
+    for r in got:
+        own = features(table[r["doc_id"]]["text"])
+        assert (r["log_weight"] is None) == (not own)
+        assert not own or abs(r["log_weight"] - ratio[own].sum()) < 1e-6 * max(1, len(own))
+
+
 def test_odd_texts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.Model(language_id.training_sample(docs))
     rows = [(1, None, 5), (2, "", 5), (3, "123 !?", 5), (4, "the and of with this " * 3000, 5), (5, "中文", 5), (None, "that is the one with the other", 5), (6, "x", 5), (6, "x", 5)]
-    odd = spark.createDataFrame(rows, "doc_id bigint, text string, score int").drop("score")
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string, score int").selectExpr("*", "'x' AS lang_pred", "true AS lettered")
     got = language_id.predict(odd, model, ["doc_id"]).collect()
     by = {r["doc_id"]: r for r in got}
     assert len(got) == 8

@@ -52,19 +52,25 @@ def test_pipeline(spark, sf_dir):
 def test_stages_on_odd_rows(spark, sf_dir):
     rows = [(1, None), (2, ""), (3, "12 !"), (4, "secret: abcdefgh12 and more"), (4, "secret: abcdefgh12 and more"), (None, "no id here"), (None, "no id here"), (5, "secret:   abcdefgh12 and more"), (6, "x" * 100000)]
     docs = spark.createDataFrame([(i, t, None, None, None, "extra") for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        if name == "language ID":  # nothing to learn from: everything would be rejected
-            docs = docs.filter("text rlike '[a-z]'").select(corpus_pipeline.COLUMNS)
-            continue
+    for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == corpus_pipeline.COLUMNS
         docs = corpus_pipeline.materialised(docs)
     got = sorted((str(r["doc_id"]), r["text"][:40]) for r in docs.collect())
     assert got == [("5", "[secret] and more"), ("6", "x" * 40), ("None", "no id here")]
-    for name, stage in corpus_pipeline.STAGES:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.filter("false"), sf_dir).count() == 0
 
 
+def test_missing_languages_are_filled_in(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "if(doc_id % 2 = 0, null, lang) AS lang", "source", "n_chars", "1 AS lang_pred")
+    known = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = corpus_pipeline.identify_language(spark, docs, sf_dir).collect()
+    assert all(r["lang"] == known[r["doc_id"]] for r in got if r["doc_id"] % 2)
+    filled = [r["lang"] == known[r["doc_id"]] for r in got if r["doc_id"] % 2 == 0]
+    assert np.mean(filled) > 0.97
+
+
 def test_language_id_without_labels(spark, sf_dir):
     """Nothing to learn from, or only a language named as what has none: what has a letter stays."""
     rows = [(1, None), (2, ""), (3, "12 !"), (4, "some words"), (None, "no id here"), (5, "\u00e9"), (6, "\u6f22\u5b57")]
