@@ -57,3 +57,5 @@ def test_upsert_keeps_the_latest(spark, tmp_path):
     write(spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k long, at long, x string"), 0)
     write(spark.createDataFrame([(1, 2, "c"), (2, 4, "d"), (3, 1, "e")], "k long, at long, x string"), 1)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t") + "/v=1").collect())) == [(1, 2, "c"), (2, 5, "b"), (3, 1, "e")]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        write(spark.createDataFrame([(1, 2, "c")], "k long, at long, x string"), 5)

@@ -39,20 +39,24 @@ STATE = "bid_px double, ask_px double, bid_sz double, ask_sz double"
 FILLS = "coin long, order_id long, fill_px double, fill_qty double"
 
 
+_TOP = ["bid_px", "ask_px", "bid_sz", "ask_sz"]
+
+
 def _match(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    top, out = state.get if state.exists else (None,) * 4, []
-    rows = pd.concat(list(batches)).sort_values(["ts", "is_order", "sequence"], kind="stable")
-    for r in rows.itertuples():
-        if not r.is_order:
-            top = (r.bid_px, r.ask_px, r.bid_sz, r.ask_sz)
-        elif r.action == "new" and top[0] is not None:
-            if r.side == "buy" and r.price >= top[1]:
-                out.append((key[0], r.order_id, top[1], min(r.quantity, top[3])))
-            elif r.side == "sell" and r.price <= top[0]:
-                out.append((key[0], r.order_id, top[0], min(r.quantity, top[2])))
-    if top[0] is not None:
-        state.update(top)
-    yield pd.DataFrame(out, columns=["coin", "order_id", "fill_px", "fill_qty"])
+    rows = pd.concat(list(batches)).sort_values(["ts", "is_order", "sequence"], kind="stable").reset_index(drop=True)
+    is_order = rows["is_order"].astype(bool)
+    top = rows[_TOP].where(~is_order).ffill()
+    if state.exists:
+        top = top.fillna(dict(zip(_TOP, state.get, strict=True)))
+    new = is_order & (rows["action"] == "new")
+    buys = new & (rows["side"] == "buy") & (rows["price"] >= top["ask_px"])
+    sells = new & (rows["side"] == "sell") & (rows["price"] <= top["bid_px"])
+    touch, size = top["ask_px"].where(buys, top["bid_px"]), top["ask_sz"].where(buys, top["bid_sz"])
+    found = pd.DataFrame({"coin": key[0], "order_id": rows["order_id"], "fill_px": touch, "fill_qty": size.where(size < rows["quantity"], rows["quantity"])})[buys | sells]
+    last = top.iloc[-1] if len(top) else None
+    if last is not None and pd.notna(last["bid_px"]):
+        state.update(tuple(float(x) for x in last))
+    yield found.astype({"order_id": "int64"})
 
 
 def matched_orders(stream: DataFrame) -> DataFrame:
@@ -61,16 +65,13 @@ def matched_orders(stream: DataFrame) -> DataFrame:
 
 
 def upsert_latest(path: str, key: str, order: str):
-    """A foreachBatch function that keeps of each key the latest row in a Parquet table of numbered versions."""
+    """A foreachBatch function that keeps of each key the latest row in a Parquet table of numbered versions.
+
+    Only the first epoch may find no version before it; later on that is an error, as what was kept would be lost.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(f"{path}/v={epoch - 1}")
-        except Exception as missing:  # the first version has none before it
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            known = batch.limit(0)
+        known = batch.limit(0) if epoch == 0 else batch.sparkSession.read.parquet(f"{path}/v={epoch - 1}")
         both = known.unionByName(batch)
         best = both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.col(order)).alias("row")).select("row.*")
         best.write.mode("overwrite").parquet(f"{path}/v={epoch}")
