@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
-from tidelake.llm import bpe_codec, exact_dedup, language_id, minhash_dedup, packing, periodic_runs, permutation_index, quality_resampling, secret_scan, substring_dedup, suffix_dedup
+from tidelake.llm import (
+    bpe_codec,
+    exact_dedup,
+    html_extraction,
+    language_id,
+    minhash_dedup,
+    packing,
+    periodic_runs,
+    permutation_index,
+    quality_resampling,
+    secret_scan,
+    substring_dedup,
+    suffix_dedup,
+)
 
 _MODULES = (
-    bpe_codec, exact_dedup, language_id, minhash_dedup, packing, periodic_runs, permutation_index, quality_resampling, secret_scan,
-    substring_dedup, suffix_dedup,
-)
+    bpe_codec,
+    exact_dedup,
+    html_extraction,
+    language_id,
+    minhash_dedup,
+    packing,
+    periodic_runs,
+    permutation_index,
+    quality_resampling,
+    secret_scan,
+    substring_dedup,
+    suffix_dedup,
+)
 
 
 def queries() -> dict:
