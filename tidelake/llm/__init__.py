@@ -15,6 +15,7 @@ from tidelake.llm import (
     secret_scan,
     substring_dedup,
     suffix_dedup,
+    token_alignment,
 )
 
 _MODULES = (
@@ -30,6 +31,7 @@ _MODULES = (
     secret_scan,
     substring_dedup,
     suffix_dedup,
+    token_alignment,
 )
 
 
