@@ -23,40 +23,70 @@ def test_held_out_accuracy(spark, sf_dir, table):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_phrases_equal_a_plain_parse():
+def plain_parse(text, sample):
+    """Phrases cut off one by one by searching the sample, and how many are symbols that it lacks."""
+    phrases, lacking, i = 0, 0, 0
+    while i < len(text):
+        j = i + 1
+        lacking += text[i:j] not in sample
+        while j < len(text) and text[i : j + 1] in sample:
+            j += 1
+        phrases, i = phrases + 1, j
+    return phrases, lacking
+
+
+@pytest.mark.parametrize("letters", [4, 40])
+def test_phrases_equal_a_plain_parse(letters):
     rng = np.random.default_rng(0)
-    sample = rng.integers(0, 4, 300).tolist()
-    held = bytes(sample)
-    table = language_id.parse_table(sample, 6)
+    sample = rng.integers(1, letters, 600).tolist()
+    automaton = language_id.Automaton(sample, letters + 2)
     for n in (1, 2, 7, 50, 400):
-        text = rng.integers(0, 6, n)
-        phrases, i = 0, 0
-        while i < n:
-            j = i + 1
-            while j < n and bytes(text[i : j + 1].tolist()) in held and bytes(text[i : i + 1].tolist()) in held:
-                j += 1
-            phrases, i = phrases + 1, j
-        got = language_id.phrase_counts(text.astype(np.uint8), np.array([0]), np.array([n]), table)
-        assert got[0] == phrases
+        text = rng.integers(0, letters + 2, n)
+        phrases, lacking = automaton.phrases(text, np.array([0]), np.array([n]))
+        assert (phrases[0], lacking[0]) == plain_parse(bytes(text.tolist()), bytes(sample))
+
+
+#: Ids of rows that are learnt from.
+LEARNT = [i for i in range(10**6, 10**6 + 99) if zlib.crc32(str(i).encode()) % 3 != 1]
+ODD = [
+    [("q", "zz")],
+    [("ok then", "zz")],
+    [("??", "yy"), ("e", "aa")],
+    [("the ", "aa"), ("a b c d e f g h i j k l m n o p q r s t u v w x y z", "ab")],
+    [("".join(chr(0x4E00 + (37 * k + 11 * i * i) % 3000) for i in range(400)), "zh") for k in range(40)],
+]
+
+
+@pytest.mark.parametrize("rows", ODD)
+def test_small_and_foreign_labels_take_nothing(spark, rows):
+    """A label with a letter or a few words to learn from, or another script with thousands of letters."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(i, *r) for i, r in zip(LEARNT, rows)], "doc_id bigint, text string, lang string")
+    both = docs.unionByName(more)
+    model = language_id.Model(language_id.training_sample(both))
+    assert {lang for _, lang in rows} <= set(model.langs)
+    got = language_id.predict(both.withColumn("held_out", language_id.held_out()), model, ["doc_id", "lang", "held_out"]).filter("held_out and lang is not null and lettered").collect()
+    own = [r for r in got if r["doc_id"] < 10**6]
+    assert len(own) > 250
+    assert np.mean([r["lang_pred"] == r["lang"] for r in own]) > 0.99
+    if rows[0][1] == "zh":
+        foreign = language_id.predict(more, model, ["doc_id"]).collect()
+        assert all(r["lang_pred"] == "zh" for r in foreign)
 
 
 def test_predictions_equal_a_plain_parse(spark, sf_dir, table):
-    """The language with the least c * log2(m) / n, phrases cut off one by one by searching the sample."""
+    """The least bits per symbol, with phrases at log2 of the largest sample."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     samples = language_id.training_sample(docs)
     model = language_id.Model(samples)
-    alphabet = language_id.Alphabet(model.letters)
 
     def symbols(text):
-        x = alphabet.table[language_id.code_points(text)]
-        keep = language_id._collapsed(x)
-        if len(keep):
-            keep[0] = True
-        return x[keep].tobytes()
-
-    held = {lang: alphabet.table[language_id.code_points(" ".join(texts))] for lang, texts in samples.items()}
-    held = {lang: x[language_id._collapsed(x)].tobytes() for lang, x in held.items()}
+        return re.sub(r"[^\W\d_]", lambda c: c[0].lower() if len(c[0].lower()) == 1 else c[0], re.sub(r"[\W\d_]+", " ", text))
+
+    held = {lang: symbols(" ".join(texts)) for lang, texts in samples.items()}
+    most, letters = max(map(len, held.values())), len(set("".join(held.values())) - {" "})
     rows = {r["doc_id"]: r for r in language_id.op4_language_id(spark, sf_dir).collect()}
+    assert model.phrase_bits == np.log2(most)
     checked = 0
     for doc_id, r in sorted(table.items()):
         text = r["text"] or ""
@@ -64,13 +94,8 @@ def test_predictions_equal_a_plain_parse(spark, sf_dir, table):
             continue
         own, entropy = symbols(text), {}
         for lang, sample in sorted(held.items()):
-            phrases, i = 0, 0
-            while i < len(own):
-                j = i + 1
-                while j < len(own) and own[i : j + 1] in sample:
-                    j += 1
-                phrases, i = phrases + 1, j
-            entropy[lang] = phrases * np.log2(len(sample)) / len(own)
+            phrases, lacking = plain_parse(own, sample)
+            entropy[lang] = (phrases * np.log2(most) + lacking * np.log2(2 + letters)) / len(own)
         best = sorted(entropy, key=lambda x: (entropy[x], x))
         if entropy[best[1]] - entropy[best[0]] > 1e-9:
             assert rows[doc_id]["lang_pred"] == best[0]
