@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelake.operators.temporal import prefix_window_sum
+from tidelake.operators.temporal import SLICE_MS, own_rows, prefix_window_sum, rolling_sums, sliced, window_firsts_and_extremes, with_previous
 
 
-def with_event_ofi(book: DataFrame, key: str = "coin") -> DataFrame:
+def with_event_ofi(book: DataFrame, key: str = "coin", slice_ms: int = SLICE_MS) -> DataFrame:
     """ofi_event: order-flow imbalance between consecutive quotes, by the four sizes; 0 on a key's first row or without size."""
-    order = Window.partitionBy(key).orderBy("ts_ms", "tie")
-    was = {c: F.lag(c).over(order) for c in ("bid_px", "ask_px", "bid_sz", "ask_sz")}
+    quote = ["bid_px", "ask_px", "bid_sz", "ask_sz"]
+    was = {c: F.col(f"_previous.{c}") for c in quote}
     zero = F.lit(0.0)
     bid = F.when(F.col("bid_px") >= was["bid_px"], F.col("bid_sz")).otherwise(zero) - F.when(F.col("bid_px") <= was["bid_px"], was["bid_sz"]).otherwise(zero)
     ask = F.when(F.col("ask_px") <= was["ask_px"], F.col("ask_sz")).otherwise(zero) - F.when(F.col("ask_px") >= was["ask_px"], was["ask_sz"]).otherwise(zero)
     sizes = F.col("bid_sz") + F.col("ask_sz") + was["bid_sz"] + was["ask_sz"]
-    return book.withColumn("ofi_event", F.when(was["bid_px"].isNull() | (sizes <= 0), zero).otherwise((bid - ask) / sizes))
+    event = F.when(was["bid_px"].isNull() | (sizes <= 0), zero).otherwise((bid - ask) / sizes)
+    return with_previous(book, key, quote, slice_ms=slice_ms).withColumn("ofi_event", event).drop("_previous")
 
 
 def with_rolling_ofi(book: DataFrame, windows: dict[str, int], key: str = "coin") -> DataFrame:
-    """Rolling sums of ofi_event; all windows share one sort."""
-    return with_event_ofi(book, key).withColumns({f"ofi_{name}": prefix_window_sum(F.col("ofi_event"), [key], ms) for name, ms in windows.items()})
+    """Rolling sums of ofi_event; all windows share one sort of each slice."""
+    return rolling_sums(with_event_ofi(book, key), key, {"ofi": F.col("ofi_event")}, windows)
 
 
 ORDER_FEATURES = ("order_count", "buy_count", "sell_count", "cancel_count", "replace_count", "fill_count", "buy_ratio", "sell_ratio", "cancel_rate", "quantity_sum", "quantity_mean", "quantity_max", "price_mean", "price_min", "price_max", "price_range")
@@ -58,48 +59,50 @@ def feature_snapshot(orders: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, *[c.alias(n) for n, c in _snapshot({c: F.col(c) for c in sums.columns}).items()])
 
 
-def feature_store(orders: DataFrame, windows: dict[str, int], key: str = "scenario_id") -> DataFrame:
+def feature_store(orders: DataFrame, windows: dict[str, int], key: str = "scenario_id", slice_ms: int | None = None) -> DataFrame:
     """For each order and window ``{name}_`` and the 30 features of the orders in the closed window before it, per ``key``.
 
-    A window holds the rows from its start up to the current one in (ts_ms, sequence) order. Sums are differences
-    of running sums. A distinct count is a difference too: an agent enters with an order that follows its last one
-    by more than the window, and leaves a window's length after an order that none follows. So is a count of pairs:
-    an order adds those it makes with earlier ones, and takes away, when it leaves, those with later ones. Extremes
-    come from the rows of earlier times in the window and those of the same time up to the current row.
+    A window holds the rows from its start up to the current one in (ts_ms, sequence) order. Keys are cut into time
+    slices that hold a window's length before them, too, so every frame below is within (key, slice) and runs from
+    its beginning. Sums are differences of running sums. A distinct count is a difference too: an agent enters with
+    an order that follows its last one by more than the window, and leaves a window's length after an order that none
+    follows. So is a count of pairs: an order adds those it makes with earlier ones, and takes away, when it leaves,
+    those with later ones.
     """
-    by = Window.partitionBy(key)
-    same_time = Window.partitionBy(key, "ts_ms").orderBy("sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = by.orderBy("ts_ms", "sequence")
+    by = [key, "_slice"]
+    step = Window.partitionBy(*by).orderBy("ts_ms", "sequence")
     buy = F.col("side") == "buy"
-    out = orders.withColumns({f"_{name}": F.expr(e) for name, e in _ADDED.items()} | {"_buy": buy.cast("long"), "_sell": (~buy).cast("long"), "_gap_after": F.lead("ts_ms").over(step) - F.col("ts_ms")})
-    out = out.withColumns({f"_{name}_now": f(F.col(c)).over(same_time) for name, f, c in (("quantity_max", F.max, "quantity"), ("price_min", F.min, "price"), ("price_max", F.max, "price"))} | {"_first_now": F.first("price").over(same_time), "_earlier_now": F.count(F.lit(1)).over(same_time) > 1})
+    out = sliced(orders, key, max(windows.values()), slice_ms)
+    out = out.withColumns({f"_{name}": F.expr(e) for name, e in _ADDED.items()} | {"_buy": buy.cast("long"), "_sell": (~buy).cast("long")})
     for of, column in (("agents", "agent_id"), ("orders", "order_id")):
-        own = Window.partitionBy(key, column).orderBy("ts_ms", "sequence")
+        own = Window.partitionBy(*by, column).orderBy("ts_ms", "sequence")
         out = out.withColumns({f"_{of}_since": F.col("ts_ms") - F.lag("ts_ms").over(own), f"_{of}_until": F.lead("ts_ms").over(own) - F.col("ts_ms")})
+    extremes = {"quantity_max": (F.max, "quantity"), "price_min": (F.min, "price"), "price_max": (F.max, "price")}
+    counted = ("agents", "orders", "self_crosses", "pairs")
     for name, ms in windows.items():
         entered, left = {}, {}
         for of in ("agents", "orders"):
             entered[of] = (F.coalesce(F.col(f"_{of}_since"), F.lit(ms + 1)) > ms).cast("long")
             left[of] = (F.coalesce(F.col(f"_{of}_until"), F.lit(ms + 1)) > ms).cast("long")
         new = {}
-        for of, group in (("self_crosses", [key, "price", "agent_id"]), ("pairs", [key, "price"])):
+        for of, group in (("self_crosses", [*by, "price", "agent_id"]), ("pairs", [*by, "price"])):
             met = {side: prefix_window_sum(F.col(side), group, ms, "sequence") for side in ("_buy", "_sell")}
-            until, so_far = (Window.partitionBy(*group).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, ms), Window.partitionBy(*group).orderBy("ts_ms", "sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            until = Window.partitionBy(*group).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, ms)
+            so_far = Window.partitionBy(*group).orderBy("ts_ms", "sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
             meets = {side: F.sum(side).over(until) - F.sum(side).over(so_far) for side in ("_buy", "_sell")}
             new |= {f"_{of}_in": F.when(buy, met["_sell"]).otherwise(met["_buy"]), f"_{of}_out": F.when(buy, meets["_sell"]).otherwise(meets["_buy"])}
         out = out.withColumns(new | {f"_{of}_in": c for of, c in entered.items()} | {f"_{of}_out": c for of, c in left.items()})
-        before, gone = by.orderBy("ts_ms").rangeBetween(-ms, -1), by.orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, -(ms + 1))
+        out = window_firsts_and_extremes(out, by, ms, "sequence", ["ts_ms", "price"], extremes)
+        gone = Window.partitionBy(*by).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, -(ms + 1))
         so_far = step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        x = {c: prefix_window_sum(F.col(f"_{c}"), [key], ms, "sequence") for c in _ADDED}
-        x |= {c: F.sum(f"_{c}_in").over(so_far) - F.coalesce(F.sum(f"_{c}_out").over(gone), F.lit(0)) for c in ("agents", "orders", "self_crosses", "pairs")}
-        first = F.min(F.struct("ts_ms", "sequence", "price")).over(before)
-        x |= {
-            "quantity_max": F.greatest(F.max("quantity").over(before), "_quantity_max_now"), "price_min": F.least(F.min("price").over(before), "_price_min_now"), "price_max": F.greatest(F.max("price").over(before), "_price_max_now"), "first_ms": F.coalesce(first["ts_ms"], "ts_ms"), "first_price": F.coalesce(first["price"], "_first_now"),
-            "last_ms": F.col("ts_ms"), "last_price": F.col("price"), "min_gap": F.when(F.col("_earlier_now"), F.lit(0)).otherwise(F.min("_gap_after").over(before)),
-        }
+        x = {c: prefix_window_sum(F.col(f"_{c}"), by, ms, "sequence") for c in _ADDED}
+        x |= {c: F.sum(f"_{c}_in").over(so_far) - F.coalesce(F.sum(f"_{c}_out").over(gone), F.lit(0)) for c in counted}
+        x |= {c: F.col(f"_{c}") for c in (*extremes, "min_gap")} | {"first_ms": F.col("_first.ts_ms"), "first_price": F.col("_first.price"), "last_ms": F.col("ts_ms"), "last_price": F.col("price")}
         raw = {c: f"_raw_{c}" for c in x}
         out = out.withColumns({raw[c]: column for c, column in x.items()})
-        out = out.withColumns({f"{name}_{f}": c for f, c in _snapshot({c: F.col(r) for c, r in raw.items()}).items()}).drop(*raw.values(), *[f"_{of}_{way}" for of in ("agents", "orders", "self_crosses", "pairs") for way in ("in", "out")])
+        out = out.withColumns({f"{name}_{f}": c for f, c in _snapshot({c: F.col(r) for c, r in raw.items()}).items()})
+        out = out.drop(*raw.values(), "_first", *[f"_{c}" for c in (*extremes, "min_gap")], *[f"_{of}_{way}" for of in counted for way in ("in", "out")])
+    out = own_rows(out)
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 

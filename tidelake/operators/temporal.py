@@ -4,10 +4,16 @@ As-of joins put both sides into one stream per key, sorted by time (downwards, t
 right side's last row along. Nothing is compared pairwise, so the cost is that of one sort. Keys are cut into
 time slices of ``slice_ms``, each sorted on its own, so that a key with a large share of all rows is not one
 task's; the last right row before a slice is handed to it from a small table of slices.
+
+Rolling windows are cut likewise (``sliced``): a slice also gets the rows of a window's length before it, so all that
+a row's window holds is in the row's own slice, and no state passes between slices. Moving extremes take running
+frames only: a window of length w meets at most two blocks of length w, the end of one and the beginning of the next.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +86,67 @@ def prefix_window_sum(value: Column, keys: list[str], window_ms: int, tie: str =
     return F.sum(value).over(so_far) - F.coalesce(F.sum(value).over(gone), F.lit(0))
 
 
+def sliced(rows: DataFrame, key: str, reach_ms: int, slice_ms: int | None = None) -> DataFrame:
+    """Rows dealt by key and ``_slice``; each also goes to the slices that begin within ``reach_ms`` after it. ``_own``: it is at home there.
+
+    By default a slice is four times the reach, so a quarter of the rows travel twice.
+    """
+    width = slice_ms or 4 * reach_ms
+    home, last = (F.floor((F.col("ts_ms") + ms) / width) for ms in (0, reach_ms))
+    dealt = rows.withColumn("_home", home).withColumn("_slice", F.explode_outer(F.sequence("_home", last)))
+    return dealt.withColumn("_own", F.col("_slice").eqNullSafe(F.col("_home"))).drop("_home").repartition(key, "_slice")
+
+
+def own_rows(rows: DataFrame) -> DataFrame:
+    return rows.filter("_own").drop("_own", "_slice")
+
+
+def rolling_sums(rows: DataFrame, key: str, sums: dict[str, Column], windows: dict[str, int], tie: str = "tie", slice_ms: int | None = None) -> DataFrame:
+    """``{sum}_{window}`` over the closed window before each row, per key; of rows at its own time those up to it by ``tie``."""
+    held = sliced(rows, key, max(windows.values()), slice_ms)
+    added = {f"{name}_{w}": prefix_window_sum(c, [key, "_slice"], ms, tie) for name, c in sums.items() for w, ms in windows.items()}
+    return own_rows(held.withColumns(added))
+
+
+def window_firsts_and_extremes(rows: DataFrame, keys: list[str], window_ms: int, tie: str, first: list[str], extremes: dict[str, tuple[Callable, str]]) -> DataFrame:
+    """``_first``, columns ``first`` of the closed window's first row; ``_{name}``, an extreme of a column over the window; ``_min_gap``, the least time between its neighbours.
+
+    The row before the window's first is the last one that a running frame up to the window's edge has met; it knows
+    its successor, and the successor knows the extremes from itself to the end of its block. What the current block
+    adds is a running extreme. A window that begins in the current block holds all of that block up to the row.
+    """
+    step = Window.partitionBy(*keys).orderBy("ts_ms", tie)
+    block = Window.partitionBy(*keys, "_block")
+    up, down = (block.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow) for order in ((F.asc("ts_ms"), F.asc(tie)), (F.desc("ts_ms"), F.desc(tie))))
+    gap, until = F.min, Window.partitionBy(*keys).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, -(window_ms + 1))
+    rows = rows.withColumn("_block", F.floor(F.col("ts_ms") / window_ms))
+    rows = rows.withColumns({"_after": F.lead("ts_ms").over(step) - F.col("ts_ms")})
+    rows = rows.withColumns({"_before": F.when(F.lag("ts_ms").over(block.orderBy("ts_ms", tie)).isNotNull(), F.col("ts_ms") - F.lag("ts_ms").over(block.orderBy("ts_ms", tie)))})
+    so_far = {name: f(c).over(up) for name, (f, c) in extremes.items()} | {"min_gap": gap("_before").over(up)}
+    to_end = {name: f(c).over(down) for name, (f, c) in extremes.items()} | {"min_gap": gap("_after").over(down)}
+    rows = rows.withColumns({f"_up_{n}": c for n, c in so_far.items()} | {f"_down_{n}": c for n, c in to_end.items()})
+    own = F.struct("_block", *first, *[f"_down_{n}" for n in to_end])
+    rows = rows.withColumn("_here", own).withColumn("_next", F.lead("_here").over(step))
+    whole = step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_first", F.coalesce(F.last("_next").over(until), F.first("_here").over(whole)))
+    across = F.col("_first._block") < F.col("_block")
+    least = {n: F.least if n == "min_gap" or extremes[n][0] is F.min else F.greatest for n in to_end}
+    joined = {f"_{n}": least[n](F.col(f"_up_{n}"), F.when(across, F.col(f"_first._down_{n}"))) for n in to_end}
+    return rows.withColumns(joined).drop("_block", "_after", "_before", "_here", "_next", *[f"_{way}_{n}" for way in ("up", "down") for n in to_end])
+
+
+def with_previous(rows: DataFrame, key: str, columns: list[str], tie: str = "tie", slice_ms: int = SLICE_MS) -> DataFrame:
+    """``_previous``: the columns of the key's row before, by (ts_ms, tie), however long ago. A slice's first row gets it from a table of slices."""
+    order = F.struct("ts_ms", tie)
+    held = rows.withColumn("_was", F.struct(*columns)).withColumn("_slice", F.floor(F.col("ts_ms") / slice_ms)).repartition(key, "_slice")
+    of_slice = held.groupBy(key, "_slice").agg(F.max_by("_was", order).alias("_last"))
+    handed = F.lag("_last").over(Window.partitionBy(key).orderBy("_slice"))
+    ends = of_slice.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), handed.alias("_handed"))
+    within = held.withColumn("_within", F.lag("_was").over(Window.partitionBy(key, "_slice").orderBy("ts_ms", tie)))
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_slice").eqNullSafe(F.col("_s"))
+    return within.join(ends.hint("merge"), same, "left").withColumn("_previous", F.coalesce("_within", "_handed")).drop("_was", "_slice", "_k", "_s", "_within", "_handed")
+
+
 def leakage_count(rows: DataFrame, at: str, *features: str) -> DataFrame:
     """How many rows use a feature from after their own time."""
     return rows.agg(F.count_if(F.greatest(*features) > F.col(at)).alias("violations"), F.count(F.lit(1)).alias("n"))

@@ -65,8 +65,8 @@ def context_lookup(spark, sf):
 
 @query("q_W01_rolling_window", v.with_views(f"SELECT order_id, count(*) OVER w AS n, round(sum(quantity) OVER w, 6) AS quantity FROM v_orders WINDOW w AS (PARTITION BY scenario_id ORDER BY ts_ms RANGE BETWEEN {H} PRECEDING AND CURRENT ROW)"))
 def rolling_window(spark, sf):
-    total = lambda c: temporal.prefix_window_sum(c, ["scenario_id"], H, "sequence")
-    return v.orders(spark, sf).select("order_id", total(F.lit(1).cast("long")).alias("n"), F.round(total(F.col("quantity")), 6).alias("quantity"))
+    rows = temporal.rolling_sums(v.orders(spark, sf), "scenario_id", {"n": F.lit(1).cast("long"), "quantity": F.col("quantity")}, {"1h": H}, "sequence")
+    return rows.select("order_id", F.col("n_1h").alias("n"), F.round("quantity_1h", 6).alias("quantity"))
 
 
 @query("q_W06_average_ranks", v.with_views("SELECT doc_id, rank() OVER (PARTITION BY scenario ORDER BY p) + (count(*) OVER (PARTITION BY scenario, p) - 1) / 2 AS place FROM v_scores"))

@@ -135,9 +135,9 @@ def ofi_rolling(spark, sf):
 
 @query("q_W05_context_deltas", v.with_views("SELECT tie, round(coalesce(funding - lag(funding) OVER w, 0), 9) AS funding_change, round(coalesce(open_interest - lag(open_interest) OVER w, 0), 6) AS open_interest_change FROM v_ctx WINDOW w AS (PARTITION BY coin ORDER BY ts_ms, tie)"))
 def context_deltas(spark, sf):
-    w = Window.partitionBy("coin").orderBy("ts_ms", "tie")
-    delta = lambda c: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
-    return v.contexts(spark, sf).select("tie", F.round(delta("funding"), 9).alias("funding_change"), F.round(delta("open_interest"), 6).alias("open_interest_change"))
+    rows = temporal.with_previous(v.contexts(spark, sf), "coin", ["funding", "open_interest"])
+    delta = lambda c: F.coalesce(F.col(c) - F.col(f"_previous.{c}"), F.lit(0.0))
+    return rows.select("tie", F.round(delta("funding"), 9).alias("funding_change"), F.round(delta("open_interest"), 6).alias("open_interest_change"))
 
 
 _STORE = {"w1h": H, "w6h": 6 * H, "w24h": 24 * H}
