@@ -81,11 +81,11 @@ def test_odd_texts_equal_the_plain_version(spark, partitions):
 
 
 def test_blocks_of_a_few_documents_add_up():
-    tok = token_alignment.tokenizers(A, B)
+    known = token_alignment.table(A, B)
     rows = [(i, t) for i, t in enumerate(TEXTS) if t]
-    one = token_alignment._block("x", pa.array(range(len(rows))), [t for _, t in rows], tok, 4)
+    one = token_alignment._block("x", pa.array(range(len(rows))), [t for _, t in rows], known, 4)
     for k, (_, text) in enumerate(rows):
-        alone = token_alignment._block("x", pa.array([k]), [text], tok, 4)
+        alone = token_alignment._block("x", pa.array([k]), [text], known, 4)
         for c in ("n_a", "n_b", "n_groups", "n_links", "sha"):
             assert alone[c][0].as_py() == [one[c][0].as_py()[k]]
 

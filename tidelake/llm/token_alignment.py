@@ -24,7 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -41,11 +41,11 @@ from tidelake.llm.common import documents, materialised, text_of
 from tidelake.llm.superkmer import mixed, packed, unpacked
 
 #: A block of documents: so many bytes of text, or one longer document.
-BLOCK_BYTES = 8_000_000
-#: Bytes of parts and ids that a task remembers; beyond, it starts anew, and a part met again is encoded again.
+BLOCK_BYTES = 4_000_000
+#: Bytes of aligned parts that a task remembers; beyond, it starts anew, and a part met again is encoded again.
 KNOWN_BYTES = 150_000_000
-#: Characters that a tokenizer gets at once.
-ENCODE_CHARS = 500_000
+#: Characters of parts that are encoded and aligned at once.
+ENCODE_CHARS = 200_000
 #: Buckets of pairs by first id. Their number needs no growth: the vocabularies bound the pairs.
 BUCKETS = 256
 #: Lists of a bucket that meet under one salt.
@@ -71,36 +71,18 @@ class Tokenizers:
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         #: Whether texts may be parted at spaces: no token of B goes on after one.
         self.parts = not any("▁" in x.lstrip("▁") for x in names)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.held = 0
 
     def split(self, text: str) -> list[str]:
         if not self.parts:
             return [text]
         return _SAFE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
-    def encode(self, parts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Ids (little-endian, 32 bits) of each distinct part, by A with a space before it, and by B."""
-        if self.held > KNOWN_BYTES:
-            self.known, self.held = {}, 0
-        new, room = [], 0
-        for part in (*parts, None):
-            if part is None or room > ENCODE_CHARS:
-                ids_a = (e.ids for e in self.a.encode_batch_fast([" " + x for x in new], add_special_tokens=False))
-                for x, a, b in zip(new, ids_a, self.b.encode(new, num_threads=1) if new else [], strict=True):
-                    self.known[x] = np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()
-                    self.held += 300 + len(x) + 4 * (len(a) + len(b))
-                new, room = [], 0
-            if part is not None and part not in self.known:
-                new.append(part)
-                room += len(part)
-        found = [self.known[x] for x in parts]
-        return [a for a, _ in found], [b for _, b in found]
-
-
-@lru_cache(maxsize=1)
-def tokenizers(path_a: str, path_b: str) -> Tokenizers:
-    return Tokenizers(path_a, path_b)
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All parts' ids by A, with a space before each part, how many each has, and the same by B."""
+        out = []
+        for ids in ([e.ids for e in self.a.encode_batch_fast([" " + x for x in parts], add_special_tokens=False)], self.b.encode(parts, num_threads=1)):
+            out += [np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))]
+        return tuple(out)
 
 
 def _kept(ids: np.ndarray, counts: np.ndarray, stays: np.ndarray) -> np.ndarray:
@@ -111,9 +93,7 @@ class Alignment:
     """Groups and links of distinct parts. What has no tokens (``ok`` false) counts nothing."""
 
     def __init__(self, tok: Tokenizers, parts: list[str]):
-        raw_a, raw_b = tok.encode(parts)
-        ids_a, ids_b = np.frombuffer(b"".join(raw_a), "<i4").astype(np.int64), np.frombuffer(b"".join(raw_b), "<i4").astype(np.int64)
-        n_a, n_b = (np.fromiter((len(x) // 4 for x in raw), np.int64, len(parts)) for raw in (raw_a, raw_b))
+        ids_a, n_a, ids_b, n_b = tok.encode(parts)
         self.ok = self._unchanged(tok, parts, ids_a, n_a, ids_b, n_b)
         ids_a, ids_b = _kept(ids_a, n_a, self.ok), _kept(ids_b, n_b, self.ok)
         self.n_a, self.n_b = np.where(self.ok, n_a, 0), np.where(self.ok, n_b, 0)
@@ -126,7 +106,7 @@ class Alignment:
         first = np.searchsorted(ends_b, ends_a - tok.sizes_a[ids_a], "right")
         count = np.searchsorted(ends_b - tok.sizes_b[ids_b], ends_a, "left") - first
         at_a = np.repeat(np.arange(len(ids_a)), count)
-        at_b = np.arange(len(at_a)) - np.repeat(np.cumsum(count) - count, count) + first[at_a]
+        at_b = _ranges(first, count)
         self.link_pair = ids_a[at_a] << 32 | ids_b[at_b]
         self.n_links = np.bincount(owner_a[at_a], minlength=len(parts))  # links come by part
         self.texts = self._written(ids_a, group_a, owner_a, ids_b, group_b, owner_b, len(parts))
@@ -136,12 +116,11 @@ class Alignment:
         """Which parts' tokens give the part's own bytes back, by either tokenizer."""
         want = [b" " + x.encode() for x in parts]
         ok = np.ones(len(parts), bool)
-        for ids, counts, table in ((ids_a, n_a, tok.bytes_a), (ids_b, n_b, tok.bytes_b)):
-            got = [table[i] for i in ids.tolist()]
-            ends = np.cumsum(counts)
-            sizes = np.add.reduceat(np.append([len(x) for x in got], 0), np.minimum(ends - counts, len(got))) * (counts > 0) if len(parts) else counts
-            if (sizes != [len(x) for x in want]).any() or b"".join(got) != b"".join(want):
-                ok &= [b"".join(got[e - n : e]) == x for e, n, x in zip(ends.tolist(), counts.tolist(), want, strict=True)]
+        for ids, counts, table, sizes in ((ids_a, n_a, tok.bytes_a, tok.sizes_a), (ids_b, n_b, tok.bytes_b, tok.sizes_b)):
+            till, ends = np.append(0, np.cumsum(sizes[ids])), np.cumsum(counts)
+            got = b"".join(map(table.__getitem__, ids.tolist()))
+            if got != b"".join(want) or (till[ends] - till[ends - counts] != [len(x) for x in want]).any():
+                ok &= [got[till[e - n] : till[e]] == x for e, n, x in zip(ends.tolist(), counts.tolist(), want, strict=True)]
         return ok
 
     @staticmethod
@@ -158,6 +137,56 @@ class Alignment:
         return ["".join(tokens[a:b]) for a, b in pairwise(edges)]
 
 
+class Table:
+    """The parts that a task has aligned: their numbers, groups as text, and links end to end."""
+
+    NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "ok")
+
+    def __init__(self, path_a: str, path_b: str):
+        self.tok = Tokenizers(path_a, path_b)
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.link_pair = np.zeros(0, np.int64)
+        self.numbers = {k: np.zeros(0, np.int64) for k in self.NUMBERS}
+        self.held = 0
+
+    def rows(self, parts: list[str]) -> np.ndarray:
+        """The row of each distinct part; new ones are aligned first."""
+        found, new, room = [], [], 0
+        for part in (*(x for x in parts if x not in self.row), None):
+            if part is None or room > ENCODE_CHARS:
+                if new:
+                    found.append(Alignment(self.tok, new))
+                    self.row.update(zip(new, range(len(self.texts), len(self.texts) + len(new)), strict=True))
+                    self.texts += found[-1].texts
+                    self.held += sum(260 + 4 * len(x) for x in new)
+                new, room = [], 0
+            if part is not None:
+                new.append(part)
+                room += len(part)
+        self.link_pair = np.concatenate([self.link_pair, *(x.link_pair for x in found)])
+        self.numbers = {k: np.concatenate([v, *(getattr(x, k).astype(np.int64) for x in found)]) for k, v in self.numbers.items()}
+        return np.fromiter((self.row[x] for x in parts), np.int64, len(parts))
+
+
+@lru_cache(maxsize=1)
+def table(path_a: str, path_b: str) -> Table:
+    return Table(path_a, path_b)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, ``count`` numbers."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - first, count)
+
+
 def _bucket(pairs: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed((pairs >> 32).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
@@ -167,58 +196,65 @@ def _coded(parts: list[list[str]]) -> tuple[list[str], np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _block(name: str, ids: pa.Array, texts: list[str | None], tok: Tokenizers, buckets: int) -> pa.RecordBatch:
-    split = [tok.split(x) if x else [] for x in texts]
+def _block(name: str, ids: pa.Array, texts: list[str | None], known: Table, buckets: int) -> pa.RecordBatch:
+    if known.held > KNOWN_BYTES:
+        known.clear()
+    split = [known.tok.split(x) if x else [] for x in texts]
     distinct, at = _coded(split)
-    found = Alignment(tok, distinct)
+    rows = known.rows(distinct)
     counts = np.fromiter(map(len, split), np.int64, len(split))
-    if not found.ok.all():  # documents with a part that doesn't come back: their whole texts decide
-        changed = np.unique(np.repeat(np.arange(len(split)), counts)[~found.ok[at]]).tolist()
-        whole = Alignment(tok, list(dict.fromkeys(texts[k] for k in changed)))
-        good = {x for x, ok in zip(dict.fromkeys(texts[k] for k in changed), whole.ok.tolist(), strict=True) if ok}
-        for k in changed:
-            split[k] = [texts[k]] if texts[k] in good else []
+    ok = known.numbers["ok"][rows] > 0
+    if not ok.all():  # documents with a part that doesn't come back: their whole texts decide
+        for k in np.unique(np.repeat(np.arange(len(split)), counts)[~ok[at]]).tolist():
+            whole = known.rows([texts[k]])
+            split[k] = [texts[k]] if known.numbers["ok"][whole[0]] else []
         distinct, at = _coded(split)
-        found = Alignment(tok, distinct)
+        rows = known.rows(distinct)
         counts = np.fromiter(map(len, split), np.int64, len(split))
     docs = np.repeat(np.arange(len(split)), counts)
-    sums = [np.bincount(docs, x[at], len(split)).astype(np.int64) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)]
-    ends = np.cumsum(counts).tolist()
-    written = [found.texts[k] for k in at.tolist()]
-    sha = [hashlib.sha256(";".join(written[e - n : e]).encode()).hexdigest() if n else "" for e, n in zip(ends, counts.tolist(), strict=True)]
-    # the block's pairs by bucket, and how many of its documents hold each
-    pairs, of_link = np.unique(found.link_pair, return_inverse=True)
-    bucket = _bucket(pairs, buckets)
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    pairs, bucket, of_link = pairs[order], bucket[order], place[of_link]
-    first = np.cumsum(found.n_links) - found.n_links
-    held = np.unique(docs * max(1, len(distinct)) + at)  # (document, part)
-    doc, part = np.divmod(held, max(1, len(distinct)))
-    n = found.n_links[part]
-    link = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[part], n)
-    in_docs = np.bincount(np.unique(np.repeat(doc, n) * max(1, len(pairs)) + of_link[link]) % max(1, len(pairs)), minlength=len(pairs))
-    # parts are numbered by frequency, so that most numbers are small
-    by_count = np.argsort(-np.bincount(at, minlength=len(distinct)), kind="stable")
+    edges = np.append(0, np.cumsum(counts))
+    sums = []
+    for what in ("n_a", "n_b", "n_groups", "n_links"):
+        till = np.append(0, np.cumsum(known.numbers[what][rows][at]))
+        sums.append(till[edges[1:]] - till[edges[:-1]])
+    written = [known.texts[k] for k in rows.tolist()]
+    sha = []
+    for a, b in pairwise(edges.tolist()):
+        sha.append(hashlib.sha256(";".join([written[k] for k in at[a:b].tolist()]).encode()).hexdigest() if b > a else "")
+    del split, written
+    # the block's parts are numbered by frequency, so that most numbers are small
+    by_count = np.argsort(-np.bincount(at, minlength=len(rows)), kind="stable")
     rank = np.empty(len(by_count), np.int64)
     rank[by_count] = np.arange(len(by_count))
-    n_links = found.n_links[by_count]
-    link = np.arange(int(n_links.sum())) - np.repeat(np.cumsum(n_links) - n_links, n_links) + np.repeat(first[by_count], n_links)
-    of_parts = packed([], 3, counts=counts, at=rank[at], n_links=n_links, of_link=of_link[link])
+    rows, at = rows[by_count], rank[at]
+    n_links = known.numbers["n_links"][rows]
+    first = (np.cumsum(known.numbers["n_links"]) - known.numbers["n_links"])[rows]
+    # its pairs by bucket, and how many of its documents hold each
+    link_pair = known.link_pair[_ranges(first, n_links)]
+    pairs = _distinct(link_pair)
+    of_link = np.searchsorted(pairs, link_pair)
+    order = np.argsort(_bucket(pairs, buckets), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    pairs, of_link = pairs[order], place[of_link]
+    doc, part = np.divmod(_distinct(docs * max(1, len(rows)) + at), max(1, len(rows)))
+    n = n_links[part]
+    link = _ranges((np.cumsum(n_links) - n_links)[part], n)
+    in_docs = np.bincount(_distinct(np.repeat(doc, n) * max(1, len(pairs)) + of_link[link]) % max(1, len(pairs)), minlength=len(pairs))
+    of_parts = packed([], 3, counts=counts, at=at, n_links=n_links, of_link=of_link)
     of_pairs = packed([], 3, pairs=pairs, docs=in_docs)
-    edge = pa.array([0, len(split)], pa.int32())
+    edge = pa.array([0, len(counts)], pa.int32())
     lists = [pa.ListArray.from_arrays(edge, x) for x in (ids, *(pa.array(x, pa.int64()) for x in sums), pa.array(sha, pa.string()))]
     return pa.record_batch([pa.array([name]), *lists, pa.array([of_parts], pa.binary()), pa.array([of_pairs], pa.binary())], ["block", "doc_ids", "n_a", "n_b", "n_groups", "n_links", "sha", "parts", "pairs"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, buckets: int) -> Iterator[pa.RecordBatch]:
-    tok, partition, made = tokenizers(path_a, path_b), TaskContext.get().partitionId(), 0
+    known, partition, made = table(path_a, path_b), TaskContext.get().partitionId(), 0
     for batch in batches:
         total, a = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)), 0
         while a < len(batch):
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + BLOCK_BYTES, "right")))
-            yield _block(f"{partition}-{made}", batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist(), tok, buckets)
+            yield _block(f"{partition}-{made}", batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist(), known, buckets)
             made, a = made + 1, b
 
 
