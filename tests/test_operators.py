@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidelake.operators import memory, models, ordered, orderflow, policy, replay, scoring, tables
+from tidelake.operators import memory, models, ordered, orderflow, policy, replay, scoring, stats, tables
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +32,33 @@ def test_running_sums_and_tiles(spark, values, parts):
     assert ordered.tiles(rows.filter("false"), 5, "x").count() == 0
 
 
+@pytest.mark.parametrize("parts", [None, 1, 3])
+def test_null_keys_and_values_stay(spark, parts):
+    values = [(1, None, 5), (2, "a", None), (3, None, 2), (4, "a", 7), (5, "a", 7), (6, None, None)]
+    rows = spark.createDataFrame(values, "id int, k string, x int")
+    got = {r["id"]: (r["n"], r["n_all"]) for r in ordered.running(rows, "x", {"n": F.lit(1)}, ["k"], ["id"], parts=parts).collect()}
+    assert got == {6: (1, 3), 3: (2, 3), 1: (3, 3), 2: (1, 3), 4: (2, 3), 5: (3, 3)}
+    ranks = {(r["k"], r["value"]): r["rank"] for r in ordered.average_ranks(rows, "x", ["k"], parts).collect()}
+    assert ranks == {(None, None): 1, (None, 2): 2, (None, 5): 3, ("a", None): 1, ("a", 7): 2.5}
+    assert {r["k"]: r["p"] for r in ordered.percentiles(rows, "x", {"p": 0.5}, ["k"], parts).collect()} == {None: 3.5, "a": 7.0}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_percentiles_equal_sparks_own(spark, values, parts):
+    rows = spark.createDataFrame([(i, k, x * x / 7) for i, k, x in values], "id int, k string, x double")
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.977, "e": 1.0}
+    want = rows.groupBy("k").agg(*[F.percentile("x", F.lit(q)).alias(n) for n, q in shares.items()]).collect()
+    got = {r["k"]: r for r in ordered.percentiles(rows, "x", shares, ["k"], parts).collect()}
+    assert all(abs(got[r["k"]][n] - r[n]) < 1e-9 for r in want for n in shares)
+
+
+def test_a_null_score_is_refused(spark):
+    rows = spark.createDataFrame([(0.2, 1.0), (None, 100.0)], "p double, markout double")
+    with pytest.raises(Exception, match="a score is null"):
+        stats.threshold_sweep(rows, [0.1, 0.5]).collect()
+    assert [r["quote_rate"] for r in stats.threshold_sweep(rows.filter("p is not null"), [0.1, 0.5]).collect()] == [0.0, 1.0]
+
+
 def test_feature_store_against_lists(spark):
     """Ties in time, repeated agents, prices and orders, windows that hold one row or all."""
     rng = random.Random(3)

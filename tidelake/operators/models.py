@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.functions.market import interpolated
-from tidelake.operators import stats
+from tidelake.operators import ordered, stats
 
 
 def _known(features: list[str]):
@@ -55,7 +55,7 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, folds: int, pu
     parts = []
     for b in bounds:
         train = folded.filter((F.col("ts_ms") < b["start"] - purge_ms) | (F.col("ts_ms") > b["end"] + embargo_ms))
-        cut = train.agg(F.percentile("ts_ms", F.lit(1 - calibration)).alias("cut")).first()["cut"]
+        cut = ordered.percentiles(train, "ts_ms", {"cut": 1 - calibration}).first()["cut"]
         model = fit_boosted(train.filter(F.col("ts_ms") <= cut), features, label, **settings)
         knots = fit_isotonic(score(model, train.filter(F.col("ts_ms") > cut), features), "p", label)
         scored = score(model, folded.filter(F.col("fold") == b["fold"]), features, "raw")

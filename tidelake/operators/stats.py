@@ -113,7 +113,7 @@ def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10, f
     if bins < 2:
         return reference.sparkSession.range(1).select(F.lit(0.0).alias("psi"))
     edges = [i / bins for i in range(1, bins)]
-    cut = reference.agg(F.array_distinct(F.percentile(column, F.array(*map(F.lit, edges)))).alias("edges"))
+    cut = ordered.percentiles(reference, column, {f"q{i}": q for i, q in enumerate(edges)}).select(F.array_distinct(F.array(*[f"q{i}" for i in range(len(edges))])).alias("edges"))
     counted = None
     for name, rows in (("ref", reference), ("cur", current)):
         binned = rows.filter(F.col(column).isNotNull()).join(F.broadcast(cut)).select(F.size(F.filter("edges", lambda e: e <= F.col(column))).alias("bin"))
@@ -137,10 +137,11 @@ def threshold_sweep(rows: DataFrame, grid: list[float], keys: list[str] | None =
     """For each threshold: quote rate, policy markout and lift of quoting where p < threshold; skipped rows earn 0.
 
     Rows are counted by the first threshold that quotes them, then summed up over the sorted grid: one pass, no
-    rows-by-thresholds product.
+    rows-by-thresholds product. A null score is refused: it can be neither quoted nor withheld.
     """
     keys, grid = keys or [], sorted(grid)
-    first = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("p")))
+    score = F.coalesce(F.col("p"), F.raise_error(F.lit("a score is null: leave such rows out, or give them a score")).cast("double"))
+    first = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= score))
     groups = rows.groupBy(*keys, first.alias("i")).agg(F.sum("markout").alias("gain"), F.count(F.lit(1)).alias("n"))
     by_key = groups.groupBy(*keys).agg(F.sum("n").alias("total"), F.sum("gain").alias("all_gain"), F.map_from_entries(F.collect_list(F.struct("i", F.struct("gain", "n")))).alias("m"))
     each = by_key.select(*keys, "total", "all_gain", "m", F.posexplode(F.array(*map(F.lit, grid))).alias("at", "threshold"))

@@ -135,16 +135,29 @@ def window_firsts_and_extremes(rows: DataFrame, keys: list[str], window_ms: int,
     return rows.withColumns(joined).drop("_block", "_after", "_before", "_here", "_next", *[f"_{way}_{n}" for way in ("up", "down") for n in to_end])
 
 
-def with_previous(rows: DataFrame, key: str, columns: list[str], tie: str = "tie", slice_ms: int = SLICE_MS) -> DataFrame:
-    """``_previous``: the columns of the key's row before, by (ts_ms, tie), however long ago. A slice's first row gets it from a table of slices."""
-    order = F.struct("ts_ms", tie)
-    held = rows.withColumn("_was", F.struct(*columns)).withColumn("_slice", F.floor(F.col("ts_ms") / slice_ms)).repartition(key, "_slice")
-    of_slice = held.groupBy(key, "_slice").agg(F.max_by("_was", order).alias("_last"))
-    handed = F.lag("_last").over(Window.partitionBy(key).orderBy("_slice"))
-    ends = of_slice.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), handed.alias("_handed"))
-    within = held.withColumn("_within", F.lag("_was").over(Window.partitionBy(key, "_slice").orderBy("ts_ms", tie)))
+def _handed_over(rows: DataFrame, key: str, value: Column, tie: str, slice_ms: int, strictly: bool) -> DataFrame:
+    """``_found``: the last known value up to a row (before it, if ``strictly``) of its key. A slice gets it from a table of slices where it has none."""
+    order = [F.asc("ts_ms"), F.asc(tie)]
+    held = rows.withColumn("_value", value).withColumn("_slice", F.floor(F.col("ts_ms") / slice_ms)).repartition(key, "_slice")
+    known = F.when(F.col("_value").isNotNull(), F.struct("ts_ms", tie))
+    of_slice = held.groupBy(key, "_slice").agg(F.max_by("_value", known).alias("_last"))
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = of_slice.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), F.last("_last", ignorenulls=True).over(earlier).alias("_handed"))
+    inside = Window.partitionBy(key, "_slice").orderBy(*order)
+    here = F.lag("_value").over(inside) if strictly else F.last("_value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_slice").eqNullSafe(F.col("_s"))
-    return within.join(ends.hint("merge"), same, "left").withColumn("_previous", F.coalesce("_within", "_handed")).drop("_was", "_slice", "_k", "_s", "_within", "_handed")
+    met = held.withColumn("_within", here).join(ends.hint("merge"), same, "left")
+    return met.withColumn("_found", F.coalesce("_within", "_handed")).drop("_value", "_slice", "_k", "_s", "_within", "_handed")
+
+
+def with_previous(rows: DataFrame, key: str, columns: list[str], tie: str = "tie", slice_ms: int = SLICE_MS) -> DataFrame:
+    """``_previous``: the columns of the key's row before, by (ts_ms, tie), however long ago."""
+    return _handed_over(rows, key, F.struct(*columns), tie, slice_ms, True).withColumnRenamed("_found", "_previous")
+
+
+def with_last_known(rows: DataFrame, key: str, value: Column, into: str, tie: str = "tie", slice_ms: int = SLICE_MS) -> DataFrame:
+    """``into``: the key's last value that is not null up to and with the row, by (ts_ms, tie)."""
+    return _handed_over(rows, key, value, tie, slice_ms, False).withColumnRenamed("_found", into)
 
 
 def leakage_count(rows: DataFrame, at: str, *features: str) -> DataFrame:

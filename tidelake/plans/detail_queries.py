@@ -73,7 +73,7 @@ def rolling_window(spark, sf):
 def average_ranks(spark, sf):
     rows = v.scores(spark, sf)
     ranks = ordered.average_ranks(rows, "p", ["scenario"]).select("scenario", F.col("value").alias("p"), F.col("rank").alias("place"))
-    return rows.join(ranks.hint("merge"), ["scenario", "p"]).select("doc_id", "place")
+    return rows.join(ranks.hint("merge"), ordered.same(rows, ranks, ["scenario", "p"])).select("doc_id", "place")
 
 
 @query("q_W07_cumulative_hits", v.with_views("SELECT doc_id, sum(y::int) OVER w AS tp, sum((NOT y)::int) OVER w AS fp FROM v_scores WINDOW w AS (PARTITION BY scenario ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)"))
@@ -89,8 +89,8 @@ def contiguous_folds(spark, sf):
 
 @query("q_W12_forward_fill", v.with_views("SELECT order_id, last_value(CASE WHEN action = 'fill' THEN price END IGNORE NULLS) OVER (PARTITION BY scenario_id ORDER BY ts_ms, sequence) AS last_fill FROM v_orders"))
 def forward_fill(spark, sf):
-    w = Window.partitionBy("scenario_id").orderBy("ts_ms", "sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return v.orders(spark, sf).select("order_id", F.last(F.when(F.col("action") == "fill", F.col("price")), ignorenulls=True).over(w).alias("last_fill"))
+    rows = temporal.with_last_known(v.orders(spark, sf), "scenario_id", F.when(F.col("action") == "fill", F.col("price")), "last_fill", "sequence")
+    return rows.select("order_id", "last_fill")
 
 
 @query("q_P02_fill_signs", v.with_views(f"SELECT tid, CASE side WHEN 'B' THEN 1 ELSE -1 END AS side_sign, {_SIGN} AS maker_side FROM v_fills"))

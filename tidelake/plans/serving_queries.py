@@ -206,13 +206,14 @@ def padded_sequences(spark, sf):
 
 @query("q_W11_event_gaps", v.with_views("SELECT order_id, round(ln(1 + greatest(coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY scenario_id ORDER BY ts_ms, sequence), 0), 0)), 6) AS log_gap FROM v_orders"))
 def event_gaps(spark, sf):
-    gap = F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy("scenario_id").orderBy("ts_ms", "sequence"))
-    return v.orders(spark, sf).select("order_id", F.round(F.log1p(F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0))), 6).alias("log_gap"))
+    rows = temporal.with_previous(v.orders(spark, sf), "scenario_id", ["ts_ms"], "sequence")
+    gap = F.col("ts_ms") - F.col("_previous.ts_ms")
+    return rows.select("order_id", F.round(F.log1p(F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0))), 6).alias("log_gap"))
 
 
 @query("q_W14_risk_direction", v.with_views("SELECT doc_id, CASE WHEN p > q THEN 'up' WHEN p < q THEN 'down' ELSE 'flat' END AS direction FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY scenario ORDER BY ts_ms) AS q FROM v_scores)"))
 def risk_direction(spark, sf):
-    rows = v.scores(spark, sf).withColumn("q", F.lag("p").over(Window.partitionBy("scenario").orderBy("ts_ms")))
+    rows = temporal.with_previous(v.scores(spark, sf), "scenario", ["p"], "doc_id").withColumn("q", F.col("_previous.p"))
     return rows.select("doc_id", F.when(F.col("p") > F.col("q"), "up").when(F.col("p") < F.col("q"), "down").otherwise("flat").alias("direction"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelake.functions import market
-from tidelake.operators import stats
+from tidelake.operators import ordered, stats
 from tidelake.plans import adapters as v
 from tidelake.plans.registry import query
 from tidelake.session import table
@@ -120,7 +120,10 @@ def p95_exclusive(spark, sf):
 
 @query("q_A24_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def percentiles(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(q)), 6).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.round(F.avg("value"), 6).alias("mean"))
+    rows = table(spark, sf, "events").select("event_type", "value")
+    exact = ordered.percentiles(rows, "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["event_type"])
+    means = rows.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return means.join(exact, "event_type").select("event_type", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")], "mean")
 
 
 _FOLD_SQL = "f AS (SELECT *, (ntile(4) OVER (ORDER BY ts_ms) - 1)::int AS fold FROM v_scores)"
