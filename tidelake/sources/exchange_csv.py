@@ -37,7 +37,7 @@ def data_rows(lines: DataFrame) -> DataFrame:
     return rows.filter(~F.lower(_cell(0)).isin(*HEADERS))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of text files: (file, block, line_no, value). line_no grows within a block, and blocks grow within a file."""
     meta = "_metadata.file_path AS file", "_metadata.file_block_start AS block"
     return spark.read.text(path).selectExpr(*meta, "monotonically_increasing_id() AS line_no", "rtrim('\r', value) AS value")
@@ -47,7 +47,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 LINES_PER_BATCH = 50_000
 
 
-def read_zipped_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_zipped_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of zip files, each of which must hold exactly one .csv."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,44 +74,44 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return within.join(before.hint("merge"), ["file", "block"]).withColumn("sequence", (F.col("before") + F.col("nth") - 1).cast("long")).drop("before", "nth")
 
 
-def parse(rows: DataFrame, dataset: str, symbol: str, interval: str | None = None) -> DataFrame:
-    """Rows of one dataset, by its name in the archive."""
+def parse(rows: DataFrame, dataset: str, symbol: str, interval: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Rows of one dataset, by its name in the archive. ``keep``: columns of the lines that stay, such as the file."""
     parsers = {"aggTrades": agg_trades, "trades": trades, "bookTicker": book_ticker, "bookDepth": book_depth}
     if dataset in parsers:
-        return parsers[dataset](rows, symbol)
+        return parsers[dataset](rows, symbol, keep=keep)
     if not dataset.lower().endswith("klines"):
         raise ValueError(f"unknown dataset {dataset}")
     if interval is None:
         raise ValueError(f"{dataset} needs an interval")
-    return klines(rows, symbol, interval)
+    return klines(rows, symbol, interval, keep=keep)
 
 
-def agg_trades(rows: DataFrame, symbol: str) -> DataFrame:
+def agg_trades(rows: DataFrame, symbol: str, keep: list[str] | None = None) -> DataFrame:
     return _numbered(rows).select(
-        F.lit(symbol.upper()).alias("symbol"), _cell(0).cast("long").alias("agg_trade_id"), _double(1).alias("price"), _double(2).alias("quantity"), _cell(3).cast("long").alias("first_trade_id"), _cell(4).cast("long").alias("last_trade_id"), _ms(5).alias("timestamp"), (F.lower(_cell(6)) == "true").alias("is_buyer_maker"), "sequence"
+        *(keep or []), F.lit(symbol.upper()).alias("symbol"), _cell(0).cast("long").alias("agg_trade_id"), _double(1).alias("price"), _double(2).alias("quantity"), _cell(3).cast("long").alias("first_trade_id"), _cell(4).cast("long").alias("last_trade_id"), _ms(5).alias("timestamp"), (F.lower(_cell(6)) == "true").alias("is_buyer_maker"), "sequence"
     )
 
 
-def trades(rows: DataFrame, symbol: str) -> DataFrame:
+def trades(rows: DataFrame, symbol: str, keep: list[str] | None = None) -> DataFrame:
     """A buyer that was the maker means that the taker sold."""
-    return _numbered(rows).select(F.lit(symbol.upper()).alias("symbol"), _cell(0).cast("long").alias("trade_id"), _double(1).alias("price"), _double(2).alias("quantity"), _ms(4).alias("timestamp"), F.when(F.lower(_cell(5)) == "true", "sell").otherwise("buy").alias("side"), "sequence")
+    return _numbered(rows).select(*(keep or []), F.lit(symbol.upper()).alias("symbol"), _cell(0).cast("long").alias("trade_id"), _double(1).alias("price"), _double(2).alias("quantity"), _ms(4).alias("timestamp"), F.when(F.lower(_cell(5)) == "true", "sell").otherwise("buy").alias("side"), "sequence")
 
 
-def book_ticker(rows: DataFrame, symbol: str) -> DataFrame:
+def book_ticker(rows: DataFrame, symbol: str, keep: list[str] | None = None) -> DataFrame:
     at = F.timestamp_millis(F.coalesce(F.nullif(_cell(5), F.lit("")), _cell(0)).cast("long"))
-    return _numbered(rows).select(F.lit(symbol.upper()).alias("symbol"), at.alias("timestamp"), _double(1).alias("bid_px"), _double(2).alias("bid_sz"), _double(3).alias("ask_px"), _double(4).alias("ask_sz"), "sequence")
+    return _numbered(rows).select(*(keep or []), F.lit(symbol.upper()).alias("symbol"), at.alias("timestamp"), _double(1).alias("bid_px"), _double(2).alias("bid_sz"), _double(3).alias("ask_px"), _double(4).alias("ask_sz"), "sequence")
 
 
-def book_depth(rows: DataFrame, symbol: str) -> DataFrame:
+def book_depth(rows: DataFrame, symbol: str, keep: list[str] | None = None) -> DataFrame:
     """ISO times without a zone are UTC."""
     at = F.to_utc_timestamp(F.to_timestamp_ntz(F.regexp_replace(_cell(0), "T|Z$", " ").substr(1, 19)).cast("timestamp"), F.current_timezone())
-    return _numbered(rows).select(F.lit(symbol.upper()).alias("symbol"), at.alias("timestamp"), _double(1).alias("percentage"), _double(2).alias("depth"), _double(3).alias("notional"), "sequence")
+    return _numbered(rows).select(*(keep or []), F.lit(symbol.upper()).alias("symbol"), at.alias("timestamp"), _double(1).alias("percentage"), _double(2).alias("depth"), _double(3).alias("notional"), "sequence")
 
 
-def klines(rows: DataFrame, symbol: str, interval: str) -> DataFrame:
+def klines(rows: DataFrame, symbol: str, interval: str, keep: list[str] | None = None) -> DataFrame:
     """The event's time is the bar's close."""
     return _numbered(rows).select(
-        F.lit(symbol.upper()).alias("symbol"), F.lit(interval).alias("interval"), _ms(0).alias("open_time"), _ms(6).alias("timestamp"), _double(1).alias("open"), _double(2).alias("high"), _double(3).alias("low"), _double(4).alias("close"), _double(5).alias("volume"), _cell(8).cast("long").alias("trade_count"), "sequence"
+        *(keep or []), F.lit(symbol.upper()).alias("symbol"), F.lit(interval).alias("interval"), _ms(0).alias("open_time"), _ms(6).alias("timestamp"), _double(1).alias("open"), _double(2).alias("high"), _double(3).alias("low"), _double(4).alias("close"), _double(5).alias("volume"), _cell(8).cast("long").alias("trade_count"), "sequence"
     )
 
 

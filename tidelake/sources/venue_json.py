@@ -77,7 +77,7 @@ def typed_fills(fills: DataFrame) -> DataFrame:
 
 
 # Archive names of context columns and the API's.
-_CONTEXT_NAMES = {"openInterest": "open_interest", "oraclePx": "oracle_px", "markPx": "mark_px", "midPx": "mid_px"}
+CONTEXT_NAMES = {"openInterest": "open_interest", "oraclePx": "oracle_px", "markPx": "mark_px", "midPx": "mid_px"}
 
 
 def asset_contexts(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +87,7 @@ def asset_contexts(spark: SparkSession, path: str) -> DataFrame:
 
 def context_rows(rows: DataFrame) -> DataFrame:
     """Typed contexts from rows of text under either style of names."""
-    for api, ours in _CONTEXT_NAMES.items():
+    for api, ours in CONTEXT_NAMES.items():
         if api in rows.columns:
             rows = rows.withColumnRenamed(api, ours)
     if "time" not in rows.columns:
@@ -117,7 +117,7 @@ def universe_contexts(replies: DataFrame) -> DataFrame:
     rows = replies.select(names.alias("names"), contexts.alias("contexts"))
     same = F.when(F.size("names") == F.size("contexts"), F.arrays_zip("names", "contexts")).otherwise(F.raise_error(F.lit("universe and contexts differ in length")).cast("array<struct<names:struct<name:string>,contexts:struct<funding:string,openInterest:string,oraclePx:string,markPx:string,midPx:string,premium:string>>>"))
     x = rows.select(F.explode(same).alias("z"))
-    return x.select(F.col("z.names.name").alias("coin"), *[F.col(f"z.contexts.{api}").cast("double").alias(ours) for api, ours in ({"funding": "funding"} | _CONTEXT_NAMES | {"premium": "premium"}).items()])
+    return x.select(F.col("z.names.name").alias("coin"), *[F.col(f"z.contexts.{api}").cast("double").alias(ours) for api, ours in ({"funding": "funding"} | CONTEXT_NAMES | {"premium": "premium"}).items()])
 
 
 # The API's abbreviated candle keys; t and T differ in case alone, so keys are read one by one.
