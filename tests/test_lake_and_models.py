@@ -1,10 +1,12 @@
 """The lake's writers and manifest, and out-of-fold training."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidelake.functions import market
 from tidelake.operators import lake, models, stats
 
 
@@ -43,3 +45,42 @@ def test_out_of_fold_scores(spark):
     assert scored.count() == 600 and scored.select("id").distinct().count() == 600
     assert stats.auroc(scored).first()[0] > 0.95
     assert models.fit_isotonic(scored.withColumn("y", F.lit(True)), "p", "y") is None
+
+
+def plain_isotonic(rows):
+    """Pool adjacent violators over rows of (score, label), one by one."""
+    by = {}
+    for p, y in rows:
+        n, t = by.get(p, (0, 0))
+        by[p] = (n + 1, t + y)
+    blocks = []
+    for p in sorted(by):
+        blocks.append([p, p, *by[p]])
+        while len(blocks) > 1 and blocks[-2][3] / blocks[-2][2] >= blocks[-1][3] / blocks[-1][2]:
+            lo, _, n, t = blocks[-2]
+            blocks[-2:] = [[lo, blocks[-1][1], n + blocks[-1][2], t + blocks[-1][3]]]
+    return [tuple(b) for b in blocks]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_isotonic_blocks_equal_a_plain_fit(spark, parts):
+    rng = random.Random(parts)
+    rows = [(p := rng.randrange(400) / 400, rng.random() < p * p) for _ in range(3000)] + [(None, True)]
+    table = spark.createDataFrame(rows, "p double, y boolean")
+    got = sorted(tuple(r) for r in models.isotonic_blocks(table, "p", "y", parts).collect())
+    assert got == plain_isotonic([r for r in rows if r[0] is not None])
+    x, y = models.fit_isotonic(table, "p", "y", parts)
+    assert x == sorted(x)
+    assert y == sorted(y)
+    assert models.fit_isotonic(table.filter("y"), "p", "y") is None
+
+
+def test_many_knots_are_looked_up(spark):
+    x = [i / 200 for i in range(201)]
+    y = [v * v for v in x]
+    rows = spark.createDataFrame([(0.0025,), (-1.0,), (2.0,), (0.5,), (None,)], "p double")
+    got = [r[0] for r in rows.select(market.interpolated(F.col("p"), x, y)).collect()]
+    few = [r[0] for r in rows.select(market.interpolated(F.col("p"), x[::4], y[::4])).collect()]
+    assert got[:4] == pytest.approx([0.0000125, 0.0, 1.0, 0.25])
+    assert got[4] is None is few[4]
+    assert few[1:4] == pytest.approx(got[1:4])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,9 +63,21 @@ def normalised_coin(coin: str = "coin") -> Column:
     return F.when(name == "", F.raise_error(F.lit("coin must be non-empty"))).otherwise(F.regexp_replace(name, "-PERP$", ""))
 
 
+#: Knots that are written into a column's expression.
+_KNOTS_INLINE = 64
+
+
 def interpolated(p: Column, x: list[float], y: list[float]) -> Column:
-    """A calibrator's piecewise-linear value: flat outside its knots, clamped to [0, 1]."""
+    """A calibrator's piecewise-linear value: flat outside its knots, clamped to [0, 1]; null for null."""
+    if len(x) > _KNOTS_INLINE:
+
+        @F.pandas_udf("double")
+        def looked_up(values: pd.Series) -> pd.Series:
+            return pd.Series(np.interp(values, x, y, left=y[0], right=y[-1])).where(values.notna().to_numpy())
+
+        return F.when(p.isNotNull(), F.least(F.greatest(looked_up(p.cast("double")), F.lit(0.0)), F.lit(1.0)))
     out = F.lit(float(y[-1]))
     for x0, x1, y0, y1 in reversed(list(zip(x, x[1:], y, y[1:], strict=False))):
         out = F.when(p <= x1, F.lit(float(y0)) + (p - x0) * ((y1 - y0) / (x1 - x0)) if x1 > x0 else F.lit(float(y1))).otherwise(out)
-    return F.least(F.greatest(F.when(p <= x[0], F.lit(float(y[0]))).otherwise(out), F.lit(0.0)), F.lit(1.0))
+    clamped = F.least(F.greatest(F.when(p <= x[0], F.lit(float(y[0]))).otherwise(out), F.lit(0.0)), F.lit(1.0))
+    return F.when(p.isNotNull(), clamped)

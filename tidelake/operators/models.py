@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.functions.market import interpolated
 from tidelake.operators import ordered, stats
+from tidelake.session import checkpointed
 
 
 def _known(features: list[str]):
@@ -35,13 +37,62 @@ def score(model, rows: DataFrame, features: list[str], out: str = "p") -> DataFr
     return scored.drop("_x", "rawPrediction", "probability", "prediction")
 
 
-def fit_isotonic(rows: DataFrame, p: str, label: str) -> tuple[list[float], list[float]] | None:
-    """Knots of an isotonic calibrator; none with a single class."""
-    seen = rows.agg(F.count_distinct(label).alias("n")).first()
-    if seen["n"] < 2:
+_BLOCKS = "part int, lo double, hi double, n bigint, total double"
+#: Parts whose blocks meet in one at each level of the tree.
+_FAN = 16
+
+
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pool adjacent violators over blocks that come sorted by part and lo: a block whose mean isn't above its neighbour's joins it."""
+    part, lo, hi, n, total = None, [], [], [], []
+
+    def out() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([part] * len(lo), pa.int32()), pa.array(lo, pa.float64()), pa.array(hi, pa.float64()), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["part", "lo", "hi", "n", "total"])
+
+    for batch in batches:
+        for of, a, b, count, positive in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if of != part:
+                if lo:
+                    yield out()
+                part, lo, hi, n, total = of, [], [], [], []
+            while lo and total[-1] * count >= positive * n[-1]:
+                a, count, positive = lo.pop(), count + n.pop(), positive + total.pop()
+                hi.pop()
+            lo.append(a)
+            hi.append(b)
+            n.append(count)
+            total.append(positive)
+    if lo:
+        yield out()
+
+
+def isotonic_blocks(rows: DataFrame, p: str, label: str, parts: int | None = None) -> DataFrame:
+    """The isotonic fit of a boolean label on a score, as blocks: lo, hi, n and total (of positives), by lo.
+
+    Scores are counted first. Range parts of them are pooled on their own, then the blocks of neighbouring parts
+    together, up a tree: pooled parts pool to what the whole does. Blocks are few (about the cube root of the rows),
+    unless rates rise at every score.
+    """
+    counts = rows.filter(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("lo")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("total"))
+    parts = parts or ordered.parts_for(counts)
+    cut = counts.repartitionByRange(parts, "lo").select(F.spark_partition_id().alias("part"), "lo", F.col("lo").alias("hi"), "n", "total").sortWithinPartitions("part", "lo")
+    blocks = cut.mapInArrow(_pooled, _BLOCKS)
+    while parts > 1:
+        blocks = checkpointed(blocks)  # parts are cut once
+        parts = -(-parts // _FAN)
+        met = blocks.withColumn("part", F.expr(f"cast(part div {_FAN} as int)")).repartition(parts, "part").sortWithinPartitions("part", "lo")
+        blocks = met.mapInArrow(_pooled, _BLOCKS)
+    return blocks.select("lo", "hi", "n", "total")
+
+
+def fit_isotonic(rows: DataFrame, p: str, label: str, parts: int | None = None) -> tuple[list[float], list[float]] | None:
+    """Knots of an isotonic calibrator, both ends of each block; none with a single class."""
+    blocks = sorted(isotonic_blocks(rows, p, label, parts).collect(), key=lambda b: b["lo"])
+    positive, n = sum(b["total"] for b in blocks), sum(b["n"] for b in blocks)
+    if positive in (0, n):
         return None
-    model = IsotonicRegression(featuresCol=p, labelCol="_y").fit(rows.filter(F.col(p).isNotNull()).withColumn("_y", F.col(label).cast("double")))
-    return model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()
+    knots = [(x, b["total"] / b["n"]) for b in blocks for x in ([b["lo"]] if b["lo"] == b["hi"] else [b["lo"], b["hi"]])]
+    return [x for x, _ in knots], [y for _, y in knots]
 
 
 def out_of_fold(rows: DataFrame, features: list[str], label: str, folds: int, purge_ms: int, embargo_ms: int, calibration: float = 0.2, **settings) -> DataFrame:
