@@ -58,6 +58,13 @@ def contributions(values: list[Column], names: list[str], importances: list[floa
     return F.transform(F.slice(F.array_sort(items), 1, k), lambda x: F.struct(x["name"].alias("name"), x["share"].alias("share")))
 
 
+def array_contributions(values: str, importance: Callable[[Column], Column], k: int = 3) -> Column:
+    """As ``contributions``, of an array of any length: ``importance`` of a component by its number from 0, names f1, f2, ..."""
+    share = lambda x, i: x.cast("double") * importance(i)
+    items = F.transform(values, lambda x, i: F.struct((-F.abs(share(x, i))).alias("order"), i.alias("i"), share(x, i).alias("share")))
+    return F.transform(F.slice(F.array_sort(items), 1, k), lambda x: F.struct(F.concat(F.lit("f"), x["i"] + 1).alias("name"), x["share"].alias("share")))
+
+
 def optional_bool(column: str) -> Column:
     """True for 1, true, yes; false for any other word; null stays null."""
     word = F.lower(F.trim(F.col(column).cast("string")))

@@ -51,8 +51,7 @@ def decision_round_trip(spark, sf):
 @query("q_M04_contributions", "WITH l AS (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: struct_pack(o := -abs(embedding[i]::double * ((i - 1) % 7 + 1) / 8e0), i := i, s := embedding[i]::double * ((i - 1) % 7 + 1) / 8e0)) AS l FROM embeddings) SELECT vec_id, array_to_string(list_transform(list_slice(list_sort(l), 1, 3), lambda x: 'f' || x.i), ',') AS top, round(list_sort(l)[1].s, 9) AS largest FROM l")
 def top_contributions(spark, sf):
     rows = table(spark, sf, "embeddings")
-    width = 64
-    top = scoring.contributions([F.get("embedding", F.lit(i)) for i in range(width)], [f"f{i + 1}" for i in range(width)], [(i % 7 + 1) / 8 for i in range(width)])
+    top = scoring.array_contributions("embedding", lambda i: (i % 7 + 1) / 8)
     return rows.withColumn("top", top).select("vec_id", F.array_join(F.transform("top", lambda x: x["name"]), ",").alias("top"), F.round(F.col("top")[0]["share"], 9).alias("largest"))
 
 

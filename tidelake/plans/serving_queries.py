@@ -130,11 +130,13 @@ def markout_flatten(spark, sf):
     return maps.select("user_id", *[F.col("m")[k].alias(k) for k in ("view", "click", "error")])
 
 
-@query("q_K13_coverage", v.with_views("WITH g AS (SELECT coin, unnest(generate_series(19723, 19753)) AS day FROM (SELECT DISTINCT coin FROM v_bars)), p AS (SELECT DISTINCT coin, ts_ms // 86400000 AS day FROM v_bars) SELECT g.coin, count(*) AS expected, count(p.day) AS present, array_to_string(list_sort(coalesce(list(g.day) FILTER (p.day IS NULL), [])), ',') AS missing, round(count(p.day) / count(*), 9) AS ratio FROM g LEFT JOIN p ON p.coin = g.coin AND p.day = g.day GROUP BY g.coin"))
+@query("q_K13_coverage", v.with_views("WITH r AS (SELECT min(ts_ms // 86400000) - 1 AS a, max(ts_ms // 86400000) + 1 AS b FROM v_bars), g AS (SELECT coin, unnest(generate_series(a, b)) AS day FROM (SELECT DISTINCT coin FROM v_bars), r), p AS (SELECT DISTINCT coin, ts_ms // 86400000 AS day FROM v_bars) SELECT g.coin, count(*) AS expected, count(p.day) AS present, array_to_string(list_sort(coalesce(list(g.day) FILTER (p.day IS NULL), [])), ',') AS missing, round(count(p.day) / count(*), 9) AS ratio FROM g LEFT JOIN p ON p.coin = g.coin AND p.day = g.day GROUP BY g.coin"))
 def coverage(spark, sf):
     """Per coin the grid of days against those present."""
     bars = v.bars(spark, sf)
-    grid = bars.select("coin").distinct().withColumn("day", F.explode(F.sequence(F.lit(19723).cast("long"), F.lit(19753).cast("long"))))
+    day = F.expr("ts_ms div 86400000")
+    span = bars.agg((F.min(day) - 1).alias("a"), (F.max(day) + 1).alias("b"))  # a day more at either end, to be missing
+    grid = bars.select("coin").distinct().join(F.broadcast(span)).select("coin", F.explode(F.sequence("a", "b")).alias("day"))
     present = bars.select("coin", F.expr("ts_ms div 86400000").alias("day")).distinct().withColumn("there", F.lit(1))
     n, there = F.count(F.lit(1)), F.count("there")
     missing = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("there").isNull(), F.col("day")))), lambda d: d.cast("string")), ",")
