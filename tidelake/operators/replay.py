@@ -47,8 +47,8 @@ def ticks(bars: DataFrame, scenario: str | None, order: list[str]) -> DataFrame:
     return rows.withColumns({"order_px": F.col("close") + F.col("order_offset"), "trade_px": F.col("close") + F.col("trade_offset"), "risk_score": policy.by_name("action", policy.RISK_SCORES)})
 
 
-def synthetic_features(spark: SparkSession, n: int, contamination: float = 0.18, noise: float = 0.55, seed: int = 42) -> DataFrame:
-    """Labelled rows around the scenarios' features: scenario, idx, opposite, hostile and the features.
+def synthetic_features(spark: SparkSession, n: int | DataFrame, contamination: float = 0.18, noise: float = 0.55, seed: int = 42) -> DataFrame:
+    """Labelled rows around the scenarios' features: scenario, idx, opposite, hostile and the features; idx runs up to ``n``, or over a table's.
 
     Row idx of a scenario is paired with the opposite family's idx-th template, round and round. A ``contamination``
     share of its features comes from there; each is multiplied by lognormal noise. Draws come from hashes of
@@ -58,7 +58,8 @@ def synthetic_features(spark: SparkSession, n: int, contamination: float = 0.18,
     family = Window.partitionBy("hostile").orderBy("scenario")
     own = own.withColumns({"nth": F.row_number().over(family) - 1, "of": F.count(F.lit(1)).over(Window.partitionBy("hostile"))})
     other = own.select(F.col("scenario").alias("opposite"), (~F.col("hostile")).alias("hostile"), F.col("nth").alias("other_nth"), F.col("of").alias("other_of"), *[F.col(f).alias(f"other_{f}") for f in policy.FEATURES])
-    rows = own.join(spark.range(n).withColumnRenamed("id", "idx")).join(F.broadcast(other), "hostile").filter("idx % other_of = other_nth")  # six templates
+    numbers = spark.range(n).withColumnRenamed("id", "idx") if isinstance(n, int) else n.select("idx")
+    rows = numbers.join(F.broadcast(own)).join(F.broadcast(other), "hostile").filter("idx % other_of = other_nth")  # six templates
     uniform = lambda f, k: (F.pmod(F.xxhash64(F.lit(seed), "scenario", "idx", F.lit(f), F.lit(k)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     normal = lambda f: F.sqrt(-2 * F.log(uniform(f, 1))) * F.cos(2 * 3.141592653589793 * uniform(f, 2))
     drawn = {f: F.greatest(F.lit(0.0), F.when(uniform(f, 0) < contamination, F.col(f"other_{f}")).otherwise(F.col(f)) * F.exp(noise * normal(f))) for f in policy.FEATURES}

@@ -26,16 +26,20 @@ BENIGN = ("passive_market_maker", "twap_execution", "inventory_rebalancer")
 UNSAFE_FROM = {"quote_stuffing": 0.25, "coordinated_burst": 0.25, "latency_edge": 0.25, "spoofing_layering": 0.5, "synthetic_wash_like": 0.5, "momentum_ignition": 0.6, "stop_run_sweep": 0.6, "runaway_inventory": 0.6, "volatility_feedback": 0.4}
 
 
-def generate_orders(spark: SparkSession, count: int, mid: float) -> DataFrame:
-    """``count`` orders of every family: family, i, at_ms, side, price, quantity, unsafe_family."""
-    table = spark.range(count).withColumnRenamed("id", "i")
-    out = None
+def orders_of(numbered: DataFrame, mid: str, keep: list[str] | None = None) -> DataFrame:
+    """Of every row, with an order's number ``i`` and a ``mid``, that order of every family; ``keep`` columns stay."""
+    keep, out = keep or [], None
     for family, (at, buys, bid, ask, quantity) in FAMILIES.items():
-        rows = table.select(F.lit(family).alias("family"), "i", F.expr(at).alias("at_ms"), F.expr(f"if({buys}, 'buy', 'sell')").alias("side"), (mid * F.expr(f"if({buys}, {bid}, {ask})")).alias("price"), F.expr(quantity).cast("double").alias("quantity"), F.lit(family not in BENIGN).alias("unsafe_family"))
+        rows = numbered.select(*keep, F.lit(family).alias("family"), "i", F.expr(at).alias("at_ms"), F.expr(f"if({buys}, 'buy', 'sell')").alias("side"), (F.col(mid) * F.expr(f"if({buys}, {bid}, {ask})")).alias("price"), F.expr(quantity).cast("double").alias("quantity"), F.lit(family not in BENIGN).alias("unsafe_family"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def generate_orders(spark: SparkSession, count: int, mid: float) -> DataFrame:
+    """``count`` orders of every family: family, i, at_ms, side, price, quantity, unsafe_family."""
+    return orders_of(spark.range(count).select(F.col("id").alias("i"), F.lit(mid).alias("mid")), "mid")
+
+
 def label_unsafe(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """unsafe: whether an event lies in the unsafe part of its sequence; a single event is unsafe."""
     by = Window.partitionBy(key)

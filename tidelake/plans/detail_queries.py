@@ -170,11 +170,19 @@ def book_from_bars(spark, sf):
     return v.bars(spark, sf).select("tie", F.round(F.col("close") - half, 6).alias("bid_px"), F.round(F.col("close") + half, 6).alias("ask_px"), F.lit(10.0).alias("size"))
 
 
-@query("q_M12_scenario_labels", "WITH f AS (SELECT unnest(['quote_stuffing', 'spoofing_layering', 'momentum_ignition', 'volatility_feedback']) AS family, unnest([0.25, 0.5, 0.6, 0.4]) AS share) SELECT family, 30 - floor(30 * share)::bigint AS n_unsafe, floor(30 * share)::bigint AS n_safe FROM f")
+_LABELS_SQL = v.with_views("""WITH f AS (SELECT unnest(['quote_stuffing', 'spoofing_layering', 'momentum_ignition', 'volatility_feedback']) AS family, unnest([0.25, 0.5, 0.6, 0.4]) AS share),
+n AS (SELECT coin, count(*) AS n FROM v_bars GROUP BY coin)
+SELECT family, coin, CASE WHEN n = 1 THEN 1 ELSE n - floor(n * share)::bigint END AS n_unsafe, CASE WHEN n = 1 THEN 0 ELSE floor(n * share)::bigint END AS n_safe FROM f, n""")
+
+
+@query("q_M12_scenario_labels", _LABELS_SQL)
 def scenario_labels(spark, sf):
+    """Families' orders over each coin's bars, labelled from the family's share of the sequence on."""
     names = ("quote_stuffing", "spoofing_layering", "momentum_ignition", "volatility_feedback")
-    rows = scenarios.label_unsafe(scenarios.generate_orders(spark, 30, 100.0).filter(F.col("family").isin(*names)), "family", ["at_ms", "i"])
-    return rows.groupBy("family").agg(F.count_if("unsafe").alias("n_unsafe"), F.count_if(~F.col("unsafe")).alias("n_safe"))
+    numbered = v.bars(spark, sf).select("coin", "ts_ms", "tie", (F.col("tie") % 30).alias("i"), "close")
+    orders = scenarios.orders_of(numbered, "close", ["coin", "ts_ms", "tie"]).filter(F.col("family").isin(*names))
+    rows = scenarios.label_unsafe(orders.withColumn("sequence", F.concat_ws(":", "family", "coin")), "sequence", ["ts_ms", "tie"])
+    return rows.groupBy("family", "coin").agg(F.count_if("unsafe").alias("n_unsafe"), F.count_if(~F.col("unsafe")).alias("n_safe"))
 
 
 @query("q_V01_recent_decisions", v.with_views("SELECT doc_id, CASE WHEN p >= 0.6 THEN 'withhold_quote' ELSE 'quote' END AS action FROM v_scores ORDER BY ts_ms DESC, doc_id LIMIT 25"))

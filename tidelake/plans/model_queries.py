@@ -58,15 +58,25 @@ def top_contributions(spark, sf):
 _HOSTILE = "('spoofing_layering', 'quote_stuffing', 'momentum_ignition')"
 
 
-@query("q_J19_template_pairs", f"WITH {_templates_sql()}, t AS (SELECT scenario, n_rules > 0 AS hostile, row_number() OVER (PARTITION BY n_rules > 0 ORDER BY scenario) - 1 AS nth FROM tpl), i AS (SELECT unnest(range(0, 100)) AS idx) SELECT a.scenario, idx, b.scenario AS opposite, a.hostile FROM t a, i, t b WHERE a.hostile <> b.hostile AND idx % 3 = b.nth")
+def _numbers(spark, sf):
+    """A row's number for each of the driver's bars."""
+    return v.bars(spark, sf).select(F.col("tie").alias("idx"))
+
+
+_PAIRS_SQL = v.with_views(f"""WITH {_templates_sql()},
+t AS (SELECT scenario, n_rules > 0 AS hostile, row_number() OVER (PARTITION BY n_rules > 0 ORDER BY scenario) - 1 AS nth FROM tpl)
+SELECT a.scenario, i.tie AS idx, b.scenario AS opposite, a.hostile FROM t a, v_bars i, t b WHERE a.hostile <> b.hostile AND i.tie % 3 = b.nth""")
+
+
+@query("q_J19_template_pairs", _PAIRS_SQL)
 def template_pairs(spark, sf):
-    return replay.synthetic_features(spark, 100).select("scenario", "idx", "opposite", "hostile")
+    return replay.synthetic_features(spark, _numbers(spark, sf)).select("scenario", "idx", "opposite", "hostile")
 
 
-@query("q_M03_synthetic_rows", f"WITH {_templates_sql()}, i AS (SELECT unnest(range(0, 50)) AS idx) SELECT scenario, idx, burst, cancel_rate, drift, price_range FROM tpl, i")
+@query("q_M03_synthetic_rows", v.with_views(f"WITH {_templates_sql()} SELECT scenario, tie AS idx, burst, cancel_rate, drift, price_range FROM tpl, v_bars"))
 def synthetic_rows(spark, sf):
     """Without noise and contamination every row is its scenario's template; the draws are tested on their own."""
-    return replay.synthetic_features(spark, 50, contamination=0.0, noise=0.0).select("scenario", "idx", "burst", "cancel_rate", "drift", "price_range")
+    return replay.synthetic_features(spark, _numbers(spark, sf), contamination=0.0, noise=0.0).select("scenario", "idx", "burst", "cancel_rate", "drift", "price_range")
 
 
 @query("q_M05_holdout", v.with_views("WITH h AS (SELECT * FROM (SELECT *, ntile(100) OVER (ORDER BY ts_ms) AS t FROM v_scores) WHERE t > 80) SELECT count(*) AS n, round(avg((p - y::int) ** 2), 9) AS brier, round(sum(CASE WHEN p < 0.5 THEN markout ELSE 0 END) / count(*), 9) AS policy_markout, round(avg(markout), 9) AS baseline_markout FROM h"))

@@ -120,11 +120,19 @@ def unsafe_labels(spark, sf):
     return scenarios.label_unsafe(v.orders(spark, sf).withColumn("family", families), "scenario_id", ["ts_ms", "sequence"]).select("order_id", "unsafe")
 
 
-@query("q_M11_generated_orders", """WITH i AS (SELECT unnest(generate_series(0, 29)) AS i) SELECT 'quote_stuffing' AS family, i, 5 * i AS at_ms, CASE WHEN i % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, round(65000 * CASE WHEN i % 2 = 0 THEN 0.9999 ELSE 1.0001 END, 6)::double AS price, 0.001::double AS quantity FROM i
-UNION ALL SELECT 'runaway_inventory', i, 70 * i, 'buy', round(65000 * (1 + i * 3e-5), 6), round(0.01 + 0.002 * i, 9)::double FROM i UNION ALL SELECT 'inventory_rebalancer', i, 750 * i, CASE WHEN i % 3 = 0 THEN 'sell' ELSE 'buy' END, 65000.0, 0.004 FROM i
-UNION ALL SELECT 'coordinated_burst', i, CASE WHEN i % 5 = 0 THEN 120 ELSE 12 END * i, CASE WHEN i % 3 = 0 THEN 'buy' ELSE 'sell' END, round(65000 * CASE WHEN i % 3 = 0 THEN 1.0002 ELSE 0.9998 END, 6), 0.04 FROM i
-UNION ALL SELECT 'volatility_feedback', i, 20 * i, CASE WHEN i % 2 = 0 THEN 'buy' ELSE 'sell' END, round(65000 * (1 + CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END * (0.001 + i * 2e-5)), 6), round(0.02 + (i % 4) * 0.01, 9) FROM i""")
+_GENERATED_SQL = v.with_views("""WITH i AS (SELECT tie, tie % 30 AS i, close AS m FROM v_bars)
+SELECT 'quote_stuffing' AS family, tie, 5 * i AS at_ms, CASE WHEN i % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, round(1.3e-8 + m * CASE WHEN i % 2 = 0 THEN 0.9999 ELSE 1.0001 END, 6)::double AS price, 0.001::double AS quantity FROM i
+UNION ALL SELECT 'runaway_inventory', tie, 70 * i, 'buy', round(1.3e-8 + m * (1 + i * 3e-5), 6), round(0.01 + 0.002 * i, 9)::double FROM i
+UNION ALL SELECT 'inventory_rebalancer', tie, 750 * i, CASE WHEN i % 3 = 0 THEN 'sell' ELSE 'buy' END, round(1.3e-8 + m, 6), 0.004 FROM i
+UNION ALL SELECT 'coordinated_burst', tie, CASE WHEN i % 5 = 0 THEN 120 ELSE 12 END * i, CASE WHEN i % 3 = 0 THEN 'buy' ELSE 'sell' END, round(1.3e-8 + m * CASE WHEN i % 3 = 0 THEN 1.0002 ELSE 0.9998 END, 6), 0.04 FROM i
+UNION ALL SELECT 'volatility_feedback', tie, 20 * i, CASE WHEN i % 2 = 0 THEN 'buy' ELSE 'sell' END, round(1.3e-8 + m * (1 + CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END * (0.001 + i * 2e-5)), 6), round(0.02 + (i % 4) * 0.01, 9) FROM i""")
+
+
+@query("q_M11_generated_orders", _GENERATED_SQL)
 def generated_orders(spark, sf):
+    """Of each bar one order of every family around the bar's close."""
     families = ("quote_stuffing", "runaway_inventory", "inventory_rebalancer", "coordinated_burst", "volatility_feedback")
-    rows = scenarios.generate_orders(spark, 30, 65000.0).filter(F.col("family").isin(*families))
-    return rows.select("family", "i", "at_ms", "side", F.round("price", 6).alias("price"), F.round("quantity", 9).alias("quantity"))
+    numbered = v.bars(spark, sf).select("tie", (F.col("tie") % 30).alias("i"), "close")
+    rows = scenarios.orders_of(numbered, "close", ["tie"]).filter(F.col("family").isin(*families))
+    return rows.select("family", "tie", "at_ms", "side", F.round(F.col("price") + 1.3e-8, 6).alias("price"), F.round("quantity", 9).alias("quantity"))
+

@@ -193,10 +193,11 @@ def replay_ticks(spark, sf):
     return rows.select("tie", "scenario", "tick_side", F.round("order_px", 6).alias("order_px"), F.round("trade_px", 6).alias("trade_px"), F.col("depth_bid_px").alias("depth_bid"), "action", "risk_score")
 
 
-@query("q_M13_templates", f"WITH {_templates_sql()} SELECT scenario, action, n_rules FROM tpl")
+@query("q_M13_templates", v.with_views(f"WITH {_templates_sql()} SELECT scenario, coin, action, n_rules, count(*) AS n FROM tpl, v_bars GROUP BY ALL"))
 def scenario_templates(spark, sf):
-    rows = replay.templates(spark).withColumn("matched_rules", policy.matched_rules())
-    return rows.select("scenario", policy.rule_action().alias("action"), F.size("matched_rules").alias("n_rules"))
+    """Each scenario replayed over each coin's bars: what its rules say, and how often."""
+    rows = replay.ticks(v.bars(spark, sf), None, ["ts_ms", "tie"])
+    return rows.groupBy("scenario", "coin", "action", F.size("matched_rules").alias("n_rules")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q_M06_padded_sequences", "WITH t AS (SELECT role, dense_rank() OVER (ORDER BY role) AS token FROM (SELECT DISTINCT role FROM conversations)), s AS (SELECT conv_id, list(token ORDER BY turn, token) AS l FROM conversations JOIN t USING (role) GROUP BY conv_id) SELECT conv_id, array_to_string(list_transform(range(1, 9), lambda i: coalesce(l[i], 0)), ',') AS tokens, least(len(l), 8)::int AS n FROM s")
@@ -233,17 +234,25 @@ def drift_severity(spark, sf):
     return v.scores(spark, sf).select("doc_id", policy.drift_severity(F.col("p")).alias("severity"))
 
 
-@query("q_P31_demo_ticks", "SELECT i, round(100 + 5 * sin(i / 10), 6) AS price, round(least(greatest(0.5 + 0.4 * sin(i / 7), 0), 1), 6) AS risk FROM (SELECT unnest(range(0, 240)) AS i)")
+@query("q_P31_demo_ticks", "SELECT event_id AS i, round(100 + 5 * sin(event_id / 10), 6) AS price, round(least(greatest(0.5 + 0.4 * sin(event_id / 7), 0), 1), 6) AS risk FROM events")
 def demo_ticks(spark, sf):
+    """The demo's wave at the place of every event."""
     i = F.col("i")
-    return spark.range(240).withColumnRenamed("id", "i").select("i", F.round(100 + 5 * F.sin(i / 10), 6).alias("price"), F.round(F.least(F.greatest(0.5 + 0.4 * F.sin(i / 7), F.lit(0.0)), F.lit(1.0)), 6).alias("risk"))
+    risk = F.least(F.greatest(0.5 + 0.4 * F.sin(i / 7), F.lit(0.0)), F.lit(1.0))
+    return v.events(spark, sf).select(F.col("event_id").alias("i")).select("i", F.round(100 + 5 * F.sin(i / 10), 6).alias("price"), F.round(risk, 6).alias("risk"))
 
 
-@query("q_S08_archive_paths", "SELECT day::date AS day, 'data/futures/um/daily/klines/BTCUSDT/1m/BTCUSDT-1m-' || strftime(day, '%Y-%m-%d') || '.zip' AS path FROM (SELECT unnest(generate_series(timestamp '2024-02-27', timestamp '2024-03-02', interval 1 day)) AS day)")
+_PATHS_SQL = v.with_views("""WITH d AS (SELECT DISTINCT make_timestamp(ts_ms * 1000)::date AS day FROM v_bars)
+SELECT day, 'data/futures/um/daily/klines/BTCUSDT/1m/BTCUSDT-1m-' || strftime(day, '%Y-%m-%d') || '.zip' AS path FROM d""")
+
+
+@query("q_S08_archive_paths", _PATHS_SQL)
 def archive_paths(spark, sf):
+    """Where the archive keeps the days that have bars."""
     from tidelake.sources import exchange_csv
 
-    return exchange_csv.archive_paths(exchange_csv.day_grid(spark, "2024-02-27", "2024-03-02"), "klines", "btcusdt", "1m")
+    days = v.bars(spark, sf).select(F.expr("date_add(DATE'1970-01-01', cast(ts_ms div 86400000 as int))").alias("day")).distinct()
+    return exchange_csv.archive_paths(days, "klines", "btcusdt", "1m")
 
 
 @query("q_S18_fill_coercion", v.with_views("SELECT event_id, CASE k % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'A' WHEN 2 THEN 'B' ELSE 'A' END AS side, CASE k % 3 WHEN 0 THEN true WHEN 1 THEN false END AS crossed FROM ev"))
