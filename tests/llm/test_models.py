@@ -158,6 +158,14 @@ def test_sample_is_the_top_k(spark, sf_dir, share):
     assert {r["doc_id"] for r in rows if r["kept"]} == {r["doc_id"] for r in want}
 
 
+def test_key_bits_compare_as_the_keys_do():
+    rng = np.random.default_rng(0)
+    keys = np.concatenate([rng.normal(0, 1e3, 500), rng.normal(0, 1e-300, 100), [0.0, -0.0, 1e12, -1e12, np.nextafter(5.0, 6.0), 5.0, np.inf, -np.inf]])
+    bits = quality_resampling.ordered_bits(keys).view(np.uint64)
+    assert (np.argsort(bits, kind="stable") == np.argsort(keys, kind="stable")).all()
+    assert len(np.unique(bits)) == len(np.unique(keys))
+
+
 def test_resampling_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " "), (4, "good words"), (4, "good words"), (None, "x"), (5, "x" * 100000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as quality", "'a' as words")

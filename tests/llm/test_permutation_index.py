@@ -79,3 +79,11 @@ def test_recall_with_a_third_equal(spark, monkeypatch):
         kind = "copy" if q % 3 == 1 else "near" if q % 60 == 2 else "other"
         hits.setdefault(kind, []).append(len({i for i, _ in found} & set(want)) / 20)
     assert np.mean(hits["copy"]) >= 0.97 and np.mean(hits["near"]) >= 0.9 and np.mean(hits["other"]) >= 0.9, {k: np.mean(x) for k, x in hits.items()}
+
+
+def test_one_id_with_two_vectors_counts_once(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.9, 0.1]), (1, [0.1, 0.9]), (2, [0.2, 0.8]), (2, [0.2, 0.8])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(table, table.filter("vec_id = 20")).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(20, 1, 1), (20, 2, 2)]
+    assert [round(r["score"], 9) for r in got] == [0.9, 0.8]

@@ -14,7 +14,7 @@ drawn by hash). Every distinct vector is indexed. Queries and index meet in bloc
 with a shard, each of bounded size.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without
-vec_id, take no part; of rows alike in id and vector one takes part; vectors of another length than the
+vec_id, take no part; of several vectors under one vec_id the smallest takes part; vectors of another length than the
 commonest take no part; with fewer candidates than asked for, all are returned; equal scores go to
 the smaller vec_id, and so do equal weighted sums where the reranked share ends; further columns are ignored.
 
@@ -46,10 +46,10 @@ _SHARD_SCHEMA = "shard bigint, ids binary, vectors binary, counts binary, posted
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part."""
+    """vec_id and vector (doubles) of the rows that take part; of several vectors under one vec_id the smallest, component by component."""
     vector = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))  # -0 is 0
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
-    return rows.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), vector.alias("vector")).filter(fine).dropDuplicates(["vec_id", "vector"])
+    return rows.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), vector.alias("vector")).filter(fine).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
 def common_width(vectors: DataFrame) -> int:

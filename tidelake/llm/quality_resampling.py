@@ -58,12 +58,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(met), pa.array(raw[met]), pa.array(target[met])], ["feature", "raw", "target"])
 
 
+def ordered_bits(keys: np.ndarray) -> np.ndarray:
+    """64 bits of each number, which compare, read without sign, as the numbers do."""
+    bits = (keys + 0.0).view(np.int64)  # -0 is 0
+    return np.where(bits < 0, ~bits, bits ^ np.iinfo(np.int64).min)
+
+
 def _weighed(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         row, feature = _features(batch.column(1))
         weight = np.bincount(row, ratio[feature], len(batch))
         empty = np.bincount(row, minlength=len(batch)) == 0
-        yield pa.record_batch([batch.column(0), pa.array(weight, mask=empty)], ["doc_id", "log_weight"])
+        key = weight + batch.column(2).to_numpy(zero_copy_only=False)
+        arrays = [batch.column(0), pa.array(weight, mask=empty), pa.array(key, mask=empty), pa.array(np.where(empty, 0, ordered_bits(key)))]
+        yield pa.record_batch(arrays, ["doc_id", "log_weight", "sample_key", "key_bits"])
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
@@ -117,14 +125,10 @@ def _rows_above(keyed: DataFrame, k: int) -> Column:
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 7) -> DataFrame:
     """doc_id, log_weight, sample_key and kept, the sampled documents."""
     ratio = log_ratios(docs, labels)
-    words = docs.select(F.col("doc_id").cast("long"), F.regexp_extract_all(text_of(), F.lit(TOKEN), F.lit(0)).alias("words"))
-    scored = words.mapInArrow(lambda it: _weighed(it, ratio), "doc_id bigint, log_weight double")
-    scored = scored.withColumn("sample_key", F.col("log_weight") + gumbel(seed))
-    # the key to a 2^31st, as a number without sign
-    scaled = F.least(F.greatest(F.col("sample_key"), F.lit(-1e9)), F.lit(1e9))
-    bits = F.when(F.col("sample_key").isNull(), F.lit(0).cast("long")).otherwise(F.floor((scaled + 1e9 + 1) * float(1 << 31)).cast("long"))
+    words = docs.select(F.col("doc_id").cast("long"), F.regexp_extract_all(text_of(), F.lit(TOKEN), F.lit(0)).alias("words"), gumbel(seed).alias("noise"))
+    scored = words.mapInArrow(lambda it: _weighed(it, ratio), "doc_id bigint, log_weight double, sample_key double, key_bits bigint")
     order = F.when(F.col("doc_id").isNull(), F.lit(0).cast("long")).otherwise(F.lit((1 << 62)) - F.col("doc_id"))
-    keyed = materialised(scored.withColumn("key_bits", bits).withColumn("order_bits", order))
+    keyed = materialised(scored.withColumn("order_bits", order))
     n = keyed.count()
     k = round(n * (good_share(docs, labels) if share is None else share))
     return keyed.select("doc_id", "log_weight", "sample_key", _rows_above(keyed, k).alias("kept"))
