@@ -1,6 +1,7 @@
 """Substring dedup and suffix-array dedup against brute force."""
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -133,3 +134,39 @@ def test_shard_of_long_shared_passages():
 def test_rows_without_id_have_keys_of_their_own(spark):
     docs = spark.range(30000).selectExpr("cast(null as bigint) doc_id", "concat('text ', id) text")
     assert superkmer.identified(docs).select("text_key").distinct().count() == 30000
+
+
+def around_one_minimiser(n, seed, copies=0):
+    """Different strings of 184 bytes around one m-mer, and copies of some of their windows in others."""
+    rng = np.random.default_rng(seed)
+    mark = b"</div><div class="[:16]
+    sides = rng.integers(97, 123, (n, 168), np.uint8)
+    for k in range(copies):
+        sides[n - 1 - k, :150] = sides[k, :150]
+    return [x[:84].tobytes() + mark + x[84:].tobytes() for x in sides]
+
+
+def test_a_hot_minimiser_is_cut_by_the_next(monkeypatch):
+    strings = around_one_minimiser(400, 1, copies=60)
+    order = np.arange(len(strings))
+    parcel = superkmer.packed(strings, doc_id=order, text_key=order * 7, start=order * 0, place=order * 0 + 84)
+    whole = suffix_dedup._settle([parcel], 10**9)
+    for most in (4, 1, 0):
+        monkeypatch.setattr(suffix_dedup, "MOST_MINIMISERS", most)
+        monkeypatch.setattr(suffix_dedup, "PARTED_BYTES", 10_000)
+        parted = suffix_dedup._settle([parcel], 5_000)
+        covered = [sorted({(d, i) for d, a, b in zip(f["doc_id"].tolist(), f["start"].tolist(), f["stop"].tolist()) for i in range(a, b)}) for f in (whole, parted)]
+        assert covered[0] == covered[1]
+    assert len({d for d, _ in covered[0]}) == 60
+
+
+def test_time_follows_the_size_of_a_hot_minimiser():
+    took = []
+    for n in (20_000, 60_000):
+        strings = around_one_minimiser(n, 2)
+        order = np.arange(n)
+        parcel = superkmer.packed(strings, 1, doc_id=order, text_key=order, start=order * 0, place=order * 0 + 84)
+        began = time.process_time()
+        suffix_dedup._settle([parcel])
+        took.append(time.process_time() - began)
+    assert took[1] < 5 * took[0] + 1

@@ -32,6 +32,10 @@ from tidelake.llm.superkmer import Block, minimiser_runs, mixed, opened, packed,
 WINDOW, MINIMISER = 100, 16
 #: Text of one suffix array.
 SHARD_BYTES = 3_000_000
+#: Minimisers by which a family of strings is cut, one after the other, before its shards are searched pair by pair.
+MOST_MINIMISERS = 4
+#: Strings that are cut at once.
+PARTED_BYTES = 4_000_000
 #: Bytes that no UTF-8 text has end every string of a shard.
 END = 0xFF
 
@@ -170,18 +174,22 @@ class Shard:
         return string[order], offset[order]
 
 
+def _hashes(b: np.ndarray) -> np.ndarray:
+    """A hash of the MINIMISER bytes from each place on, by doubling."""
+    h, width = mixed(b.astype(np.uint64) + np.uint64(1)), 1
+    while width < MINIMISER:
+        h = h[:-width] * np.uint64(0x9E3779B97F4A7C15 + 2 * width) + h[width:]
+        h ^= h >> np.uint64(29)
+        width *= 2
+    return mixed(h)
+
+
 def _spread(blocks: Iterator[Block], buckets: int) -> Iterator[pa.RecordBatch]:
     for block in blocks:
         b = block.bytes
         if len(b) < WINDOW:
             continue
-        # rolling hash of MINIMISER bytes by doubling
-        h, width = mixed(b.astype(np.uint64) + np.uint64(1)), 1
-        while width < MINIMISER:
-            h = h[:-width] * np.uint64(0x9E3779B97F4A7C15 + 2 * width) + h[width:]
-            h ^= h >> np.uint64(29)
-            width *= 2
-        h = mixed(h)
+        h = _hashes(b)
         sizes = np.diff(block.edges)
         inside = np.zeros(len(b) + 1, np.int8)  # windows that end within their document
         long = sizes >= WINDOW
@@ -216,7 +224,39 @@ def _spread(blocks: Iterator[Block], buckets: int) -> Iterator[pa.RecordBatch]:
 
 def _settle(payloads: list[bytes], shard_bytes: int = SHARD_BYTES) -> dict[str, np.ndarray]:
     column, numbers = opened(payloads, "doc_id", "text_key", "start", "place")
-    ids, keys, start, place = numbers.values()
+    found = list(_repeats(column, *numbers.values(), shard_bytes, ()))
+    return dict(zip(("doc_id", "text_key", "start", "stop"), map(np.concatenate, zip(*found, strict=True)), strict=True))
+
+
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _parted(strings: list[bytes], excluded: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings cut by their windows' least m-mer besides ``excluded``: (string, offset, length, place of the m-mer).
+
+    The cut depends on a window's content alone, so equal windows get equal m-mers and still meet.
+    """
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    b = np.frombuffer(b"".join(strings), np.uint8)
+    h = _hashes(b)
+    first_eight = _eights(b)[: len(h)]
+    for mark in excluded:  # told apart by hash first
+        own = np.frombuffer(mark, np.uint8)
+        alike = np.flatnonzero(first_eight == _eights(own)[0])
+        alike = alike[(b[alike[:, None] + np.arange(MINIMISER)] == own).all(1)]
+        h[alike] = np.iinfo(np.uint64).max
+    begins = np.cumsum(sizes) - sizes
+    inside = np.zeros(len(b) + 1, np.int8)
+    np.add.at(inside, begins, 1)
+    np.add.at(inside, begins + sizes - WINDOW + 1, -1)  # each string holds a window
+    first, windows, place = minimiser_runs(h, WINDOW - MINIMISER + 1, np.cumsum(inside[: len(b) - WINDOW + 1]) > 0)
+    string = np.searchsorted(begins, first, "right") - 1
+    return string, first - begins[string], windows + WINDOW - 1, place - first
+
+
+def _repeats(column: pa.Array, ids: np.ndarray, keys: np.ndarray, start: np.ndarray, place: np.ndarray, shard_bytes: int, excluded: tuple[bytes, ...]) -> Iterator[Spans]:
+    """Spans of repeated windows among strings that come by minimiser. What shares a minimiser and passes
+    ``shard_bytes`` is cut anew by the next m-mer (``excluded``: those used before), up to MOST_MINIMISERS of them."""
     coded = column.dictionary_encode()
     code, distinct = coded.indices.to_numpy(), coded.dictionary
     sizes = pc.binary_length(distinct).to_numpy().astype(np.int64)
@@ -224,14 +264,29 @@ def _settle(payloads: list[bytes], shard_bytes: int = SHARD_BYTES) -> dict[str,
     earliest = order[np.unique(code[order], return_index=True)[1]]
     known = earliest[code]
     later = (ids > ids[known]) | ((ids == ids[known]) & (start > start[known]))
-    found = [(ids[later], keys[later], start[later], start[later] + sizes[code[later]])]
+    found: list[Spans] = [(ids[later], keys[later], start[later], start[later] + sizes[code[later]])]
     # strings whose minimiser another string shares, minimiser by minimiser
     strings = distinct.to_pylist()
     marks = pa.array([s[p : p + MINIMISER] for s, p in zip(strings, place[earliest].tolist(), strict=True)], pa.binary()).dictionary_encode().indices.to_numpy()
     shared = np.bincount(marks)[marks] > 1
+    if len(excluded) < MOST_MINIMISERS:
+        hot = np.bincount(marks, sizes + 1) > shard_bytes
+        for mark in np.flatnonzero(hot & (np.bincount(marks) > 1)).tolist():
+            own = np.flatnonzero(marks == mark)
+            used = (*excluded, strings[own[0]][place[earliest[own[0]]] :][:MINIMISER])
+            parts, items, offsets, inner = [], [], [], []
+            for some in np.split(own, np.flatnonzero(np.diff(np.cumsum(sizes[own]) // PARTED_BYTES)) + 1):
+                string, offset, length, at = _parted([strings[i] for i in some.tolist()], used)
+                parts += [strings[some[k]][o : o + n] for k, o, n in zip(string.tolist(), offset.tolist(), length.tolist(), strict=True)]
+                items.append(earliest[some[string]])
+                offsets.append(offset)
+                inner.append(at)
+            item, offset = np.concatenate(items), np.concatenate(offsets)
+            yield from _repeats(pa.array(parts, pa.large_binary()), ids[item], keys[item], start[item] + offset, np.concatenate(inner), shard_bytes, used)
+        shared &= ~hot[marks]
     at = np.flatnonzero(shared)
     at = at[np.argsort(marks[at], kind="stable")]
-    cut, room, linked = [], 0, []  # shards: (from, to), and whether a minimiser runs over from the one before
+    cut, linked = [], []  # shards: (from, to), and whether a minimiser runs over from the one before
     total = np.cumsum(sizes[at] + 1)
     edges = np.flatnonzero(np.append(True, np.diff(marks[at]) != 0)) if len(at) else at
     lo = 0
@@ -267,7 +322,7 @@ def _settle(payloads: list[bytes], shard_bytes: int = SHARD_BYTES) -> dict[str,
         items = earliest[at[own]]
         family.append((Shard([strings[i] for i in at[own].tolist()], ids[items], start[items]), own))
     flush()
-    return dict(zip(("doc_id", "text_key", "start", "stop"), map(np.concatenate, zip(*found, strict=True)), strict=True))
+    yield from found
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

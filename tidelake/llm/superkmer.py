@@ -28,6 +28,8 @@ from tidelake.llm.common import text_of
 
 #: A block of documents: so many bytes of text, or one longer document.
 BLOCK_BYTES = 5_000_000
+#: Bytes of the table, as Spark estimates them from its files, for each bucket; unpacked, a bucket's strings take several times as much.
+BUCKET_BYTES = 4_000_000
 NO_ID = np.iinfo(np.int64).max
 SHIPPED, SETTLED = 0, 1
 
@@ -174,12 +176,19 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([ids, keys, pa.array([squeeze.compress(x) for x in texts.cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "text_key", "text"])
 
 
+def table_bytes(docs: DataFrame) -> int:
+    """The optimiser's estimate of a table's size; 0 where its source can't tell."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def repeated_spans(docs: DataFrame, spread: Callable, settle: Callable, buckets: int | None = None) -> DataFrame:
     """doc_id, text_key and spans, an array of (start, stop) of what repeats, for the documents that have any.
 
+    Buckets are as many as BUCKET_BYTES of the table's size ask for, four for each shuffle partition at least.
     ``spread(blocks, buckets)`` turns blocks into shipped rows, ``settle(payloads)`` finds the repeats of a bucket.
     """
-    buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), table_bytes(docs) // BUCKET_BYTES)
     sent = identified(docs).mapInArrow(lambda it: spread(blocks(it), buckets), "bucket int, kind int, payload binary")
     met = sent.repartition(max(1, buckets // 4), "bucket").sortWithinPartitions("bucket")
     spans = met.mapInArrow(lambda it: _by_bucket(it, settle), "doc_id bigint, text_key bigint, start bigint, stop bigint")
