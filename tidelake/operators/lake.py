@@ -6,6 +6,8 @@ without touching others. An empty table is refused, as an empty partition would
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def write_table(rows: DataFrame, root: str, name: str) -> str:
     path = table_path(root, name)
     day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.expr("cast(ts_ms div 86400000 as int)")), "yyyyMMdd")
     rows = rows.withColumns({"coin": coin_folder(), "date": day})
-    rows.repartition("coin", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("coin", "date").parquet(path)
+    rows.hint("rebalance", "coin", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("coin", "date").parquet(path)
     return path
 
 
@@ -63,8 +65,8 @@ def silver_candles(candles: DataFrame) -> DataFrame:
 def newest_partition(spark: SparkSession, path: str, date: str | None = None) -> DataFrame:
     """Rows of the partition of ``date``, or of the newest one where that is missing, in order of time."""
     rows = spark.read.parquet(path)
-    dates = rows.select(F.col("date").cast("string").alias("date")).distinct().agg(F.max("date").alias("newest"), F.max(F.when(F.col("date") == date, F.col("date"))).alias("asked")).first()
-    return rows.filter(F.col("date").cast("string") == (dates["asked"] or dates["newest"])).orderBy("ts_ms")
+    there = {m[1] for f in rows.inputFiles() if (m := re.search(r"/date=([^/]+)/", f))}  # from the listing, no data are read
+    return rows.filter(F.col("date").cast("string") == (date if date in there else max(there))).orderBy("ts_ms")
 
 
 def resolve_partitions(spark: SparkSession, path: str, coins: list[str], dates: list[str]) -> DataFrame:
@@ -104,6 +106,23 @@ def write_leaderboard(runs: DataFrame, path: str) -> None:
     runs.select("name", *[F.col("metrics")[k].alias(k) for k in keys]).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def write_json_report(rows: DataFrame, path: str) -> None:
+    """A report's rows as one JSON document, an array of objects with sorted keys. For reports: their rows meet in one line."""
+    each = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+    lines = F.array_join(F.array_sort(F.collect_list(each)), ",\n  ")
+    rows.agg(F.concat(F.lit("[\n  "), lines, F.lit("\n]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_markdown_report(rows: DataFrame, path: str, order: list[str]) -> None:
+    """A report's rows as a table in markdown, in order; a missing value is a dash."""
+    cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("-")) for c in rows.columns]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(rows.columns) + " |"), (1, "|-" * len(rows.columns) + "|")], "nth int, value string")
+    body = rows.select(F.lit(2).alias("nth"), line.alias("value"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
+    both = head.unionByName(body, allowMissingColumns=True).coalesce(1).sortWithinPartitions("nth", *[f"_{i}" for i in range(len(order))])
+    both.select("value").write.mode("overwrite").text(path)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Of every file below ``path`` its sha256 and size. Contents are hashed where they are read, never gathered."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,7 +94,7 @@ def refresh_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def model_health(spark: SparkSession, probability, artifacts: dict[str, str]) -> dict:
-    """Whether a promoted model can score, which artifacts it lacks, its report's metrics, and its score of a row of zeros."""
+    """Whether a promoted model can score, which artifacts it lacks, its report's metrics, its score of a row of zeros and how long that took."""
     found, missing = {}, []
     for name, path in artifacts.items():
         try:
@@ -101,14 +102,16 @@ def model_health(spark: SparkSession, probability, artifacts: dict[str, str]) ->
         except FileNotFoundError:
             missing.append(name)
     if missing:
-        return {"available": False, "message": "artifacts are not complete yet", "missing": missing}
+        return {"available": False, "message": "the model can't score without all of its files", "missing": missing}
     try:
         scorer = scoring.load_scorer(probability, found["calibrator"], found["report"])
     except ValueError as unusable:
         return {"available": False, "message": str(unusable), "missing": []}
+    began = time.perf_counter()
     smoke = scoring.scored(spark.range(1), scorer, fill_missing=0.0).first()
+    latency_ms = (time.perf_counter() - began) * 1000
     metrics = {name: found["report"][name] for name in HEALTH_METRICS if name in found["report"]}
-    return {"available": True, "model_name": scorer.name, "threshold": scorer.threshold, "columns": list(scorer.columns), "metrics": metrics, "smoke_score": smoke["calibrated_score"], "smoke_action": smoke["action"]}
+    return {"available": True, "model_name": scorer.name, "threshold": scorer.threshold, "columns": list(scorer.columns), "metrics": metrics, "smoke_score": smoke["calibrated_score"], "smoke_action": smoke["action"], "latency_ms": latency_ms}
 
 
 def payload_hash(*columns: str) -> Column:

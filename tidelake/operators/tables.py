@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelake.operators import ordered
+
 
 def upsert(known: DataFrame, new: DataFrame, key: list[str], newest: Column) -> DataFrame:
     """Of each key the newest row of both tables; an aggregate, so that hot keys combine before the shuffle."""
@@ -33,15 +35,16 @@ def content_hash(rows: DataFrame, order: list[str], columns: list[str], keys: li
 
 
 def vocabulary(rows: DataFrame, column: str) -> DataFrame:
-    """Tokens of the sorted distinct values from 1; 0 is for padding."""
-    return rows.select(column).distinct().withColumn("token", F.dense_rank().over(Window.orderBy(column)))
+    """Tokens of the sorted distinct values from 1; 0 is for padding. As many rows as values: numbered by parts, to be joined, not broadcast."""
+    return ordered.running(rows.select(column).distinct(), column, {"token": F.lit(1)}).drop("token_all")
 
 
 def padded_sequences(rows: DataFrame, key: str, order: str, value: str, width: int) -> DataFrame:
-    """Per key the first ``width`` values in order, padded with 0, and how many are real."""
-    lists = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
-    real = F.least(F.size("values"), F.lit(width))
-    return lists.select(key, F.slice(F.concat("values", F.array_repeat(F.lit(0), width)), 1, width).alias("tokens"), real.alias("n"))
+    """Per key the first ``width`` values in order, padded with 0, and how many are real. What comes after is never gathered."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(order, value))
+    first = rows.withColumn("_nth", nth).filter(F.col("_nth") <= width)
+    lists = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", value))), lambda x: x[value]).alias("values"))
+    return lists.select(key, F.slice(F.concat("values", F.array_repeat(F.lit(0), width)), 1, width).alias("tokens"), F.size("values").alias("n"))
 
 
 def filtered(rows: DataFrame, among: dict[str, list] | None = None, text: str = "", searched: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelake.operators import ingest
+from tidelake.operators import ingest, lake
 from tidelake.operators.snapshots import Snapshots, Upsert
 from tidelake.plans import adapters as v
 from tidelake.plans.registry import query
@@ -100,3 +100,20 @@ def rolling_state(spark, sf):
         for c, value in before.items():
             spark.conf.set(c, value) if value else spark.conf.unset(c)
     return spark.read.schema(rows.schema).parquet(f"{root}/out").filter("not late").select("order_id", "n", F.round("total", 6).alias("quantity"))
+
+
+_REPORTS_SQL = v.with_views("""WITH r AS (SELECT scenario, count(*) AS n, round(avg(p), 6) AS mean_p, CASE WHEN count(*) % 2 = 0 THEN round(max(markout), 6) END AS best FROM v_scores GROUP BY scenario)
+SELECT scenario, n, mean_p, best, '| ' || scenario || ' | ' || n || ' | ' || mean_p || ' | ' || coalesce(best::varchar, '-') || ' |' AS line FROM r""")
+
+
+@query("q_K15_report_files", _REPORTS_SQL)
+def report_files(spark, sf):
+    """A report as a JSON document and as a table in markdown, both read back."""
+    root, p = new_folder(spark), F.col("p")
+    n = F.count(F.lit(1))
+    rows = v.scores(spark, sf).groupBy("scenario").agg(n.alias("n"), F.round(F.avg(p), 6).alias("mean_p"), F.when(n % 2 == 0, F.round(F.max("markout"), 6)).alias("best"))
+    lake.write_json_report(rows, f"{root}/json")
+    lake.write_markdown_report(rows, f"{root}/markdown", ["scenario"])
+    read = spark.read.schema("scenario string, n bigint, mean_p double, best double").option("multiLine", "true").json(f"{root}/json")
+    lines = spark.read.text(f"{root}/markdown").filter("value like '| __ |%'").select(F.trim(F.split("value", r"\|")[1]).alias("scenario"), F.col("value").alias("line"))
+    return read.join(lines, "scenario")

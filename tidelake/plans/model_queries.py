@@ -205,3 +205,41 @@ def metric_gates(spark, sf):
     runs = v.scores(spark, sf).groupBy("scenario").agg(stats.brier().alias("brier"), F.count(F.lit(1)).alias("n"))
     gates = {"brier": F.col("brier") <= 0.4, "n": F.col("n") >= 100}
     return runs.select("scenario", F.array_join(F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in gates.items()])), ",").alias("failed"))
+
+
+def _turns(spark, sf):
+    """Conversations as event sequences: the role as mark, a second a turn, the text's size as feature; assistant turns stand for unsafe ones."""
+    from tidelake.operators import point_process
+
+    rows = table(spark, sf, "conversations").withColumns({"ts": F.col("turn").cast("long") * 1000, "size": F.coalesce(F.length("text"), F.lit(0)) / 1000})
+    mark = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
+    return point_process.sequences(rows, "conv_id", ["turn"], "ts", mark, ["size"], F.coalesce(F.col("role") == "assistant", F.lit(False)))
+
+
+@query("q_M07_gated_scores")
+def gated_scores(spark, sf):
+    """Every turn's probability by a gated net trained on all conversations; tests/test_point_process.py checks gradients and scores."""
+    from tidelake.operators import point_process
+
+    seqs, model = _turns(spark, sf), point_process.Gated(3, 1)
+    params, _ = point_process.fit(seqs, model, steps=6, rate=0.05)
+    return point_process.scores(seqs, "conv_id", model, params)
+
+
+@query("q_M08_continuous_scores")
+def continuous_scores(spark, sf):
+    """As q_M07_gated_scores, by the model in continuous time."""
+    from tidelake.operators import point_process
+
+    seqs, model = _turns(spark, sf), point_process.Continuous(3, 1)
+    params, _ = point_process.fit(seqs, model, steps=4, rate=0.05)
+    return point_process.scores(seqs, "conv_id", model, params)
+
+
+@query("q_M01_out_of_fold")
+def out_of_fold(spark, sf):
+    """Boosted trees out of fold with calibration on each fold's latest fifth; the fits are drawn, so tests hold them to what must be true of them."""
+    from tidelake.operators import models
+
+    rows = v.scores(spark, sf).withColumns({"id": F.col("doc_id"), "size": F.col("p") * 997})
+    return models.out_of_fold(rows, ["size", "markout"], "y", 2, 5000, 5000, trees=5).select("doc_id", "fold", "raw", "p")

@@ -203,7 +203,7 @@ def scenario_templates(spark, sf):
 @query("q_M06_padded_sequences", "WITH t AS (SELECT role, dense_rank() OVER (ORDER BY role) AS token FROM (SELECT DISTINCT role FROM conversations)), s AS (SELECT conv_id, list(token ORDER BY turn, token) AS l FROM conversations JOIN t USING (role) GROUP BY conv_id) SELECT conv_id, array_to_string(list_transform(range(1, 9), lambda i: coalesce(l[i], 0)), ',') AS tokens, least(len(l), 8)::int AS n FROM s")
 def padded_sequences(spark, sf):
     rows = table(spark, sf, "conversations")
-    coded = rows.join(F.broadcast(tables.vocabulary(rows, "role")), "role")  # as many tokens as roles
+    coded = rows.join(tables.vocabulary(rows, "role"), "role")
     return tables.padded_sequences(coded, "conv_id", "turn", "token", 8).select("conv_id", F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",").alias("tokens"), "n")
 
 
