@@ -74,7 +74,7 @@ def test_feature_store_of_one_hot_key_takes_linear_time(spark):
     windows = {"half": 800_000, "long": 10_000_000}
     feature_store(one_key(spark, 2000), windows).write.format("noop").mode("overwrite").save()
     once, twice = (min(seconds(feature_store(one_key(spark, n), windows)) for _ in range(2)) for n in (16_000, 32_000))
-    assert twice < 2.2 * once + 1
+    assert twice < 2.2 * once + 3  # quadratic frames took four times as long
 
 
 @pytest.mark.parametrize("slice_ms", [None, 40, 333])
