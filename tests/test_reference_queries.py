@@ -35,6 +35,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 5
 
 
+# The numbers in the tests from here on are published ones that results must equal.
 def test_flagship_values(spark):
     """Values published with the blueprint, at sf0.01."""
     got = sorted(tuple(r) for r in plans.QUERIES["q_flagship_markout_by_coin"](spark, "/root/testdata/sf0.01").collect())

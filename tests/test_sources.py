@@ -15,16 +15,16 @@ def lines(spark, *values):
 
 
 def test_exchange_rows(spark):
-    rows = csv.data_rows(lines(spark, "id,price", "", "41,512.25,3.5,7,9,1714521600000,true", "42,512.5,0.25,10,10,1714521600001,False"))
+    rows = csv.data_rows(lines(spark, "id,price", "", "41,512.25,3.5,7,9,1893456000000,true", "42,512.5,0.25,10,10,1893456000001,False"))
     got = csv.agg_trades(rows, "btcusdt").orderBy("sequence").collect()
     assert [(r["agg_trade_id"], r["price"], r["is_buyer_maker"], r["sequence"], r["symbol"]) for r in got] == [(41, 512.25, True, 0, "BTCUSDT"), (42, 512.5, False, 1, "BTCUSDT")]
-    assert csv.trades(csv.data_rows(lines(spark, "77,8.5,2,17,1714521600000,true")), "x").first()["side"] == "sell"
-    tick = csv.book_ticker(csv.data_rows(lines(spark, "300,1,2,3,4,1714521600000", "1714521600000,1,2,3,4")), "x").select(F.unix_millis("timestamp").alias("t")).collect()
-    assert [r["t"] for r in tick] == [1714521600000] * 2
-    bar = csv.klines(csv.data_rows(lines(spark, "open_time,o", "1714521600000,20.5,21,19.75,20.25,7,1714521659999,141.75,9,3,60.75,0")), "x", "1m").first()
+    assert csv.trades(csv.data_rows(lines(spark, "77,8.5,2,17,1893456000000,true")), "x").first()["side"] == "sell"
+    tick = csv.book_ticker(csv.data_rows(lines(spark, "815,1,2,3,4,1893456000000", "1893456000000,1,2,3,4")), "x").select(F.unix_millis("timestamp").alias("t")).collect()
+    assert [r["t"] for r in tick] == [1893456000000] * 2
+    bar = csv.klines(csv.data_rows(lines(spark, "open_time,o", "1893456000000,20.5,21,19.75,20.25,7,1893456059999,141.75,9,3,60.75,0")), "x", "1m").first()
     assert (bar["close"], bar["trade_count"]) == (20.25, 9)
-    depth = csv.book_depth(csv.data_rows(lines(spark, "timestamp,percentage", "2024-05-01 00:00:00,-1,10,20")), "x").select(F.unix_millis("timestamp").alias("t"), "percentage").first()
-    assert tuple(depth) == (1714521600000, -1.0)
+    depth = csv.book_depth(csv.data_rows(lines(spark, "timestamp,percentage", "2030-01-01 00:00:00,-1,10,20")), "x").select(F.unix_millis("timestamp").alias("t"), "percentage").first()
+    assert tuple(depth) == (1893456000000, -1.0)
 
 
 def test_zip_must_hold_one_csv(spark, tmp_path):
@@ -87,7 +87,7 @@ def test_files_of_one_document_or_of_lines(spark):
 
 def test_numbers_run_on_over_blocks(spark, tmp_path):
     """A file that Spark cuts into many blocks is numbered as a whole."""
-    rows = [f"{i},{i}.5,1,1,1,{1714521600000 + i},true" for i in range(3000)]
+    rows = [f"{i},{i}.5,1,1,1,{1893456000000 + i},true" for i in range(3000)]
     (tmp_path / "a.csv").write_text("id,price\r\n" + "\r\n".join(rows) + "\r\n")
     (tmp_path / "b.csv").write_text("\n".join(rows[:10]))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
@@ -105,10 +105,10 @@ def test_numbers_run_on_over_blocks(spark, tmp_path):
 
 def test_contexts(spark, tmp_path):
     (tmp_path / "api.csv").write_text("coin,funding,openInterest,oraclePx,markPx,midPx,premium\nSOL,0.1,5,100,101,,\n")
-    (tmp_path / "archive.csv").write_text("time,coin,funding,open_interest,oracle_px,mark_px,mid_px,premium\n2024-05-01T00:00:00.123456789Z,SOL,0.1,5,100,101,102,0.5\n1714521600000,BTC,0.1,5,100,101,102,0.5\n")
+    (tmp_path / "archive.csv").write_text("time,coin,funding,open_interest,oracle_px,mark_px,mid_px,premium\n2030-01-01T00:00:00.123456789Z,SOL,0.1,5,100,101,102,0.5\n1893456000000,BTC,0.1,5,100,101,102,0.5\n")
     api, archive = venue.asset_contexts(spark, str(tmp_path / "api.csv")).first(), venue.asset_contexts(spark, str(tmp_path / "archive.csv")).collect()
     assert (api["mid_px"], api["premium"], api["ts_ms"]) == (101.0, 0.0, None)
-    assert [r["ts_ms"] for r in archive] == [1714521600123, 1714521600000]
+    assert [r["ts_ms"] for r in archive] == [1893456000123, 1893456000000]
     reply = json.dumps([{"universe": [{"name": "A"}, {"name": "B"}]}, [{"funding": "1", "markPx": "2"}, {"funding": "3", "markPx": "4"}]])
     assert [(r["coin"], r["funding"], r["mark_px"]) for r in venue.universe_contexts(lines(spark, reply)).collect()] == [("A", 1.0, 2.0), ("B", 3.0, 4.0)]
     with pytest.raises(Exception, match="differ in length"):

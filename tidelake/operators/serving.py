@@ -13,6 +13,7 @@ from tidelake.functions import market
 from tidelake.operators import lake, policy, scoring, tables
 
 #: Metrics of a report that a model's health shows.
+# The names of a report's metrics that health shows.
 HEALTH_METRICS = ("n_rows", "pr_auc", "brier", "ece", "markout_lift_bps", "quote_rate", "leakage_safe")
 
 
@@ -48,7 +49,7 @@ def read_artifact(spark: SparkSession, path: str) -> dict:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        raise FileNotFoundError(f"Missing artifact: {path}") from error
+        raise FileNotFoundError(f"{path} is not there") from error
 
 
 def write_calibrator(spark: SparkSession, path: str, knots: tuple[list[float], list[float]] | None, **metadata) -> None:

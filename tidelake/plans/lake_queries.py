@@ -9,7 +9,7 @@ from tidelake.operators.snapshots import Snapshots, Upsert
 from tidelake.plans import adapters as v
 from tidelake.plans.registry import query
 from tidelake.session import new_folder
-from tidelake.sources import archive_objects, venue_json
+from tidelake.sources import archive_objects, exchange_csv, venue_json
 from tidelake.streaming import ordered_stream
 
 H = v.HOUR
@@ -117,3 +117,18 @@ def report_files(spark, sf):
     read = spark.read.schema("scenario string, n bigint, mean_p double, best double").option("multiLine", "true").json(f"{root}/json")
     lines = spark.read.text(f"{root}/markdown").filter("value like '| __ |%'").select(F.trim(F.split("value", r"\|")[1]).alias("scenario"), F.col("value").alias("line"))
     return read.join(lines, "scenario")
+
+
+_ZIPS_SQL = v.with_views("SELECT coin AS symbol_no, tie AS sequence_key, round(open, 6) AS open, round(close, 6) AS close, ts_ms FROM v_bars")
+
+
+@query("q_S07_zip_scan", _ZIPS_SQL)
+def zip_scan(spark, sf):
+    """Each coin's bars as a zipped CSV of the archive, read back by the bars' own parser."""
+    root = new_folder(spark)
+    cells = F.concat_ws(",", F.col("ts_ms") - 59_999, "open", "high", "low", "close", F.abs("volume"), "ts_ms", F.lit(0), "tie")
+    lines = v.bars(spark, sf).select(F.concat(F.lit("bars-"), "coin", F.lit(".zip")).alias("object"), F.col("tie").alias("line_no"), cells.alias("value"))
+    exchange_csv.write_zipped(lines, root).write.format("noop").mode("overwrite").save()
+    rows = exchange_csv.parse(exchange_csv.data_rows(exchange_csv.read_zipped_lines(spark, root)), "klines", "x", "1m", keep=["file"])
+    number = F.regexp_extract("file", r"bars-(\d+)\.zip", 1).cast("long")
+    return rows.select(number.alias("symbol_no"), F.col("trade_count").alias("sequence_key"), F.round("open", 6).alias("open"), F.round("close", 6).alias("close"), F.unix_millis("timestamp").alias("ts_ms"))

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import io
 import itertools
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,31 @@ def read_zipped_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzip, "file string, line_no int, value string")
 
 
+def write_zipped(lines: DataFrame, path: str) -> DataFrame:
+    """Lines (value, in order of line_no) as zips of one CSV below ``path``, one for each ``object``: (object, n_lines) when run.
+
+    ``path`` is of a store that pyarrow can open. A zip is held by its task until it is whole, and then moved into place.
+    """
+    dealt = lines.select("object", F.col("line_no").cast("long"), "value").repartition("object").sortWithinPartitions("object", "line_no")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        store.create_dir(root, recursive=True)
+        rows = (r for batch in batches for r in zip(batch["object"], batch["value"], strict=True))
+        for name, own in itertools.groupby(rows, key=lambda r: r[0]):
+            content, n = io.BytesIO(), 0
+            with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as z, z.open(f"{name.rpartition('.')[0]}.csv", "w") as member:
+                for n, (_, value) in enumerate(own, 1):
+                    member.write(f"{value}\n".encode())
+            staged = f"{root}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(staged, compression=None) as out:
+                out.write(content.getbuffer())
+            store.move(staged, f"{root}/{name}")
+            yield pd.DataFrame({"object": [name], "n_lines": [n]})
+
+    return dealt.mapInPandas(write, "object string, n_lines long")
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over blocks, not rows
     before = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
