@@ -217,7 +217,7 @@ def _spread(blocks: Iterator[Block], buckets: int) -> Iterator[pa.RecordBatch]:
         parcels = []
         for x, y in zip(cuts, cuts[1:], strict=False):
             own = go[x:y]
-            parcel = packed([strings[i] for i in own.tolist()], doc_id=ids[own], text_key=block.keys[doc[own]], start=start[own], place=place[own] - first[own])
+            parcel = packed([strings[i] for i in own.tolist()], 4, doc_id=ids[own], text_key=block.keys[doc[own]], start=start[own], place=place[own] - first[own])
             parcels.append((int(bucket[x]), parcel))
         yield shipped_rows(parcels, settled, int(block.keys[0]) % buckets)
 
