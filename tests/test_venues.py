@@ -30,4 +30,5 @@ def test_both_give_bars_and_depth_alike(spark, tmp_path):
     a, b = venues.venue(spark, "exchange"), venues.venue(spark, "perpetual")
     assert tuple(a.bars(spark, root).first()) == tuple(b.bars(spark, root).first()) == ("ABC", 5000, 1.0, 3.0, 0.5, 2.0, 9.0)
     assert a.depth(spark, root).columns == b.depth(spark, root).columns
-    assert sorted(tuple(r) for r in b.depth(spark, root).collect()) == [("ABC", 5000, -1.0, 2.0, 198.0), ("ABC", 5000, 1.0, 4.0, 404.0)]
+    rows = sorted((r["symbol"], r["ts_ms"], round(r["percentage"], 9), r["depth"], r["notional"]) for r in b.depth(spark, root).collect())
+    assert rows == [("ABC", 5000, -1.0, 2.0, 198.0), ("ABC", 5000, 1.0, 4.0, 404.0)]
