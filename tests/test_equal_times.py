@@ -25,3 +25,8 @@ _TWO_MIDS = [(0, 0, "purchase", 5.0, 0), (3600, 0, "view", 1.0, 6), (3600, 0, "v
 def test_markout_takes_the_first_of_quotes_of_one_time(spark, tmp_path):
     found = same(spark, tmp_path, "q_J04_markout_forward", _TWO_MIDS)
     assert found[0][0] == -325.0  # by the first quote, whose mid is 103.25
+
+
+def test_markouts_of_horizons_take_the_first_of_quotes_of_one_time(spark, tmp_path):
+    found = same(spark, tmp_path, "q_J05_markout_horizons", [*_TWO_MIDS, (6 * 3600, 0, "view", 1.0, 6), (6 * 3600, 0, "view", 1.0, 0)])
+    assert found[0][0] == found[0][2] == -325.0
