@@ -36,3 +36,12 @@ def test_fee_of_fills_without_size(spark, tmp_path):
     quote = (0, 0, "view", 1.0, 0)
     found = same(spark, tmp_path, "q_P04_feature_vector", [quote, (1, 0, "purchase", 0.0, 0), (2, 0, "purchase", None, 0), (3, 0, "purchase", -2.0, 0), (4, 0, "purchase", 2.0, 0)])
     assert found[1][2] != found[1][2] and found[2][2] is None  # not a number, not known
+
+
+#: Orders of one scenario, two of them at one time.
+_PEERS = [(0, 0, "view", 1000.0, 0), (60, 0, "click", 2000.0, 1), (60, 20, "purchase", 4000.0, 2), (3660, 0, "view", 8000.0, 3)]
+
+
+def test_rolling_window_holds_all_orders_of_its_time(spark, tmp_path):
+    found = same(spark, tmp_path, "q_W01_rolling_window", _PEERS)
+    assert found == {0: (1, 1.0), 1: (3, 7.0), 2: (3, 7.0), 3: (3, 14.0)}

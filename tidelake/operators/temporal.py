@@ -76,12 +76,16 @@ def asof_nearest(left: DataFrame, right: DataFrame, key: str, prefix: str, slice
     return _picked(rows.withColumn("_found", found), own, payload, prefix, "left")
 
 
-def prefix_window_sum(value: Column, keys: list[str], window_ms: int, tie: str = "tie") -> Column:
-    """Sum over the closed window [ts_ms - window_ms, ts_ms], of rows at or before the current one in (ts_ms, tie).
+def prefix_window_sum(value: Column, keys: list[str], window_ms: int, tie: str = "tie", peers: bool = False) -> Column:
+    """Sum over the closed window [ts_ms - window_ms, ts_ms], of rows at or before the current one in (ts_ms, tie), or with its ``peers``, all rows of its time.
 
-    A difference of two running sums, since a range frame would also count later rows of equal time.
+    A difference of two running sums, since a range frame would also count later rows of equal time, and one that
+    begins anywhere but at the first row would be read anew for each row.
     """
-    so_far = Window.partitionBy(*keys).orderBy("ts_ms", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if peers:
+        so_far = Window.partitionBy(*keys).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    else:
+        so_far = Window.partitionBy(*keys).orderBy("ts_ms", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gone = Window.partitionBy(*keys).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, -(window_ms + 1))
     return F.sum(value).over(so_far) - F.coalesce(F.sum(value).over(gone), F.lit(0))
 
@@ -101,10 +105,10 @@ def own_rows(rows: DataFrame) -> DataFrame:
     return rows.filter("_own").drop("_own", "_slice")
 
 
-def rolling_sums(rows: DataFrame, key: str, sums: dict[str, Column], windows: dict[str, int], tie: str = "tie", slice_ms: int | None = None) -> DataFrame:
-    """``{sum}_{window}`` over the closed window before each row, per key; of rows at its own time those up to it by ``tie``."""
+def rolling_sums(rows: DataFrame, key: str, sums: dict[str, Column], windows: dict[str, int], tie: str = "tie", slice_ms: int | None = None, peers: bool = False) -> DataFrame:
+    """``{sum}_{window}`` over the closed window before each row, per key; of rows at its own time those up to it by ``tie``, or with ``peers`` all."""
     held = sliced(rows, key, max(windows.values()), slice_ms)
-    added = {f"{name}_{w}": prefix_window_sum(c, [key, "_slice"], ms, tie) for name, c in sums.items() for w, ms in windows.items()}
+    added = {f"{name}_{w}": prefix_window_sum(c, [key, "_slice"], ms, tie, peers) for name, c in sums.items() for w, ms in windows.items()}
     return own_rows(held.withColumns(added))
 
 
