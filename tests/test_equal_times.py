@@ -45,3 +45,8 @@ _PEERS = [(0, 0, "view", 1000.0, 0), (60, 0, "click", 2000.0, 1), (60, 20, "purc
 def test_rolling_window_holds_all_orders_of_its_time(spark, tmp_path):
     found = same(spark, tmp_path, "q_W01_rolling_window", _PEERS)
     assert found == {0: (1, 1.0), 1: (3, 7.0), 2: (3, 7.0), 3: (3, 14.0)}
+
+
+def test_rolling_imbalance_holds_all_quotes_of_its_time(spark, tmp_path):
+    found = same(spark, tmp_path, "q_W04_ofi_rolling", [(0, 0, "view", 1.0, 0), (60, 0, "view", 1.0, 3), (60, 5, "view", 1.0, 5), (3660, 0, "view", 1.0, 1)])
+    assert found[1] == found[2]

@@ -20,9 +20,9 @@ def with_event_ofi(book: DataFrame, key: str = "coin", slice_ms: int = SLICE_MS)
     return with_previous(book, key, quote, slice_ms=slice_ms).withColumn("ofi_event", event).drop("_previous")
 
 
-def with_rolling_ofi(book: DataFrame, windows: dict[str, int], key: str = "coin") -> DataFrame:
-    """Rolling sums of ofi_event; all windows share one sort of each slice."""
-    return rolling_sums(with_event_ofi(book, key), key, {"ofi": F.col("ofi_event")}, windows)
+def with_rolling_ofi(book: DataFrame, windows: dict[str, int], key: str = "coin", peers: bool = False) -> DataFrame:
+    """Rolling sums of ofi_event; all windows share one sort of each slice. ``peers``: quotes of one time count for each other."""
+    return rolling_sums(with_event_ofi(book, key), key, {"ofi": F.col("ofi_event")}, windows, peers=peers)
 
 
 ORDER_FEATURES = ("order_count", "buy_count", "sell_count", "cancel_count", "replace_count", "fill_count", "buy_ratio", "sell_ratio", "cancel_rate", "quantity_sum", "quantity_mean", "quantity_max", "price_mean", "price_min", "price_max", "price_range")
