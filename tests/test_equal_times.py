@@ -50,3 +50,8 @@ def test_rolling_window_holds_all_orders_of_its_time(spark, tmp_path):
 def test_rolling_imbalance_holds_all_quotes_of_its_time(spark, tmp_path):
     found = same(spark, tmp_path, "q_W04_ofi_rolling", [(0, 0, "view", 1.0, 0), (60, 0, "view", 1.0, 3), (60, 5, "view", 1.0, 5), (3660, 0, "view", 1.0, 1)])
     assert found[1] == found[2]
+
+
+def test_rolling_state_holds_all_orders_of_its_time(spark, tmp_path):
+    found = same(spark, tmp_path, "q_X03_rolling_state", [*_PEERS, (9000, 0, "view", 1.0, 0)])
+    assert found == {0: (1, 1.0), 1: (3, 7.0), 2: (3, 7.0), 3: (3, 14.0)}

@@ -91,7 +91,7 @@ def rolling_state(spark, sf):
         spark.conf.set(c, value)
     try:
         stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
-        rows = ordered_stream.rolling_state(stream, "scenario_id", "quantity", H, H)
+        rows = ordered_stream.rolling_state(stream, "scenario_id", "quantity", H, H, peers=True)
         query = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         query.awaitTermination()
         if query.exception():

@@ -34,8 +34,8 @@ class LateRow(ValueError):
 class OrderedRows(StatefulProcessor):
     """Gives each key's rows out in (ts_ms, sequence) order. Columns of the stream come as they are, key included."""
 
-    def __init__(self, schema: StructType, delay_ms: int, strict: bool, window_ms: int | None = None, value: str | None = None):
-        self.schema, self.delay_ms, self.strict, self.window_ms, self.value = schema, delay_ms, strict, window_ms, value
+    def __init__(self, schema: StructType, delay_ms: int, strict: bool, window_ms: int | None = None, value: str | None = None, peers: bool = False):
+        self.schema, self.delay_ms, self.strict, self.window_ms, self.value, self.peers = schema, delay_ms, strict, window_ms, value, peers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.clock = handle.getValueState("clock", _CLOCK)
@@ -82,9 +82,10 @@ class OrderedRows(StatefulProcessor):
         upto = np.append(0.0, np.cumsum(value))
         at = np.arange(len(recent), len(ts))
         first = np.searchsorted(ts, ts[at] - self.window_ms)
+        end = np.searchsorted(ts, ts[at], side="right") if self.peers else at + 1  # rows of one time leave the buffer together
         stays = ts >= ts[-1] - self.window_ms  # later rows see nothing before
         self._keep(self.recent, pd.DataFrame({"ts_ms": ts[stays], "value": value[stays]}), ["ts_ms", "value"])
-        return out.assign(n=at + 1 - first, total=upto[at + 1] - upto[first], held=int(stays.sum()))
+        return out.assign(n=end - first, total=upto[end] - upto[first], held=int(stays.sum()))
 
     def close(self) -> None:
         pass
@@ -100,13 +101,13 @@ def in_order(stream: DataFrame, key: str, delay_ms: int, strict: bool = False) -
     return _transformed(stream, key, OrderedRows(stream.schema, delay_ms, strict), [])
 
 
-def rolling_state(stream: DataFrame, key: str, value: str, window_ms: int, delay_ms: int) -> DataFrame:
+def rolling_state(stream: DataFrame, key: str, value: str, window_ms: int, delay_ms: int, peers: bool = False) -> DataFrame:
     """For each row in order ``n`` and ``total`` (of ``value``) of the closed window before it, and ``held``, the window rows in state afterwards.
 
-    Equal to ``temporal.rolling_sums`` over the same rows. Late rows have nulls.
+    Equal to ``temporal.rolling_sums`` over the same rows, with or without ``peers``. Late rows have nulls.
     """
     more = [StructField("n", LongType()), StructField("total", DoubleType()), StructField("held", LongType())]
-    return _transformed(stream, key, OrderedRows(stream.schema, delay_ms, False, window_ms, value), more)
+    return _transformed(stream, key, OrderedRows(stream.schema, delay_ms, False, window_ms, value, peers), more)
 
 
 def routed(rows: DataFrame, main: str, side: str):
