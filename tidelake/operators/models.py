@@ -38,6 +38,8 @@ def score(model, rows: DataFrame, features: list[str], out: str = "p") -> DataFr
 
 
 _BLOCKS = "part int, lo double, hi double, n bigint, total double"
+#: What a row's value takes, about.
+_VALUE_BYTES = 16
 #: Parts whose blocks meet in one at each level of the tree.
 _FAN = 16
 
@@ -100,18 +102,22 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, folds: int, pu
 
     A fold's model trains on the rows outside [start - purge, end + embargo]; the latest fifth of these only
     calibrates it. ``rows`` has ts_ms and id. One model per fold: the loop is over folds, not over data.
+
+    Rows and their folds are written once, as every tree reads them anew; parts are cut by how many rows there are.
     """
-    folded = stats.with_folds(rows, folds, ["ts_ms", "id"])
+    rows = checkpointed(rows)
+    parts = -(-rows.count() * len(rows.columns) * _VALUE_BYTES // ordered.PART_BYTES) or 1
+    folded = checkpointed(stats.with_folds(rows, folds, ["ts_ms", "id"], parts))
     bounds = folded.groupBy("fold").agg(F.min("ts_ms").alias("start"), F.max("ts_ms").alias("end")).orderBy("fold").collect()
-    parts = []
+    found = []
     for b in bounds:
         train = folded.filter((F.col("ts_ms") < b["start"] - purge_ms) | (F.col("ts_ms") > b["end"] + embargo_ms))
-        cut = ordered.percentiles(train, "ts_ms", {"cut": 1 - calibration}).first()["cut"]
+        cut = ordered.percentiles(train, "ts_ms", {"cut": 1 - calibration}, parts=parts).first()["cut"]
         model = fit_boosted(train.filter(F.col("ts_ms") <= cut), features, label, **settings)
-        knots = fit_isotonic(score(model, train.filter(F.col("ts_ms") > cut), features), "p", label)
+        knots = fit_isotonic(score(model, train.filter(F.col("ts_ms") > cut), features), "p", label, parts)
         scored = score(model, folded.filter(F.col("fold") == b["fold"]), features, "raw")
-        parts.append(scored.withColumn("p", interpolated(F.col("raw"), *knots) if knots else F.col("raw")))
-    return reduce(DataFrame.unionByName, parts)
+        found.append(scored.withColumn("p", interpolated(F.col("raw"), *knots) if knots else F.col("raw")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def family_split(rows: DataFrame, held_out: list[str], family: str = "scenario", share: float = 0.25, seed: int = 42) -> tuple[DataFrame, DataFrame]:

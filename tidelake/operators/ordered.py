@@ -22,8 +22,14 @@ MOST_PARTS = 20_000
 
 
 def parts_for(rows: DataFrame) -> int:
-    """How many parts suit a table, by the optimiser's estimate; where there is none, as many as a shuffle has."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """How many parts suit a table, by the optimiser's estimate; where there is none, as many as a shuffle has.
+
+    A join is put at the product of its sides, so what all inputs hold together is the most that counts.
+    """
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    size, read = (sum(int(str(p.stats().sizeInBytes())) for p in plans) for plans in ([plan], [leaves.apply(i) for i in range(leaves.size())]))
+    size = min(size, read)
     if size <= SMALL_BYTES:
         return 1
     unknown = size >= 1 << 60  # what Spark puts for a source that can't tell, and products of it

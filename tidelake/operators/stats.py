@@ -167,9 +167,9 @@ def block_threshold(rows: DataFrame, per_100k: float, beyond: float = 1.1) -> Da
     return steps.filter(100000 * F.col("blocked") / F.greatest("blocked_all", F.lit(1)) <= per_100k).agg(F.max("p").alias("threshold"))
 
 
-def with_folds(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
+def with_folds(rows: DataFrame, n: int, order: list[str], parts: int | None = None) -> DataFrame:
     """Contiguous folds by time; the first ones are a row longer where rows don't divide evenly."""
-    return ordered.tiles(rows, n, order[0], order[1:]).withColumnRenamed("tile", "fold")
+    return ordered.tiles(rows, n, order[0], order[1:], parts).withColumnRenamed("tile", "fold")
 
 
 def purged_train_sizes(folded: DataFrame, purge_ms: int, embargo_ms: int) -> DataFrame:
