@@ -1,9 +1,21 @@
 """How tables are cut into parts."""
 
-from tidelake.operators import ordered
+from tidelake.operators import orderflow, ordered
 from tidelake.plans import adapters
 
 
 def test_a_join_is_cut_by_what_its_inputs_hold(spark):
     rows = adapters.scores(spark, "/root/testdata/sf0.1")
     assert ordered.parts_for(rows) == 1  # two tables of 16 MB together
+
+
+def test_feature_store_has_tasks_by_its_size_and_a_shuffle_for_each_window(spark, monkeypatch):
+    orders = adapters.orders(spark, "/root/testdata/sf0.001")
+    windows = {"a": 1000, "b": 60_000, "c": 3_600_000}
+    plan = orderflow.feature_store(orders, windows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == len(windows)
+    assert orderflow._parts_for(orders) is None
+    monkeypatch.setattr(orderflow, "_STORE_BYTES", 500)
+    few, many = (orderflow._parts_for(adapters.orders(spark, f"/root/testdata/sf{sf}")) for sf in ("0.001", "0.01"))
+    assert 4 < few < many / 4
+    assert f", {few}" in orderflow.feature_store(orders, windows)._jdf.queryExecution().optimizedPlan().toString()

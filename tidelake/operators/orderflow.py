@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelake.operators.ordered import MOST_PARTS
 from tidelake.operators.temporal import SLICE_MS, own_rows, prefix_window_sum, rolling_sums, sliced, window_firsts_and_extremes, with_previous
 
 
@@ -59,11 +60,22 @@ def feature_snapshot(orders: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, *[c.alias(n) for n, c in _snapshot({c: F.col(c) for c in sums.columns}).items()])
 
 
+#: Bytes of orders, by the optimiser's estimate, that a task of the feature store takes: its sorts together need many times that.
+_STORE_BYTES = 2 << 20
+
+
+def _parts_for(orders: DataFrame) -> int | None:
+    """Tasks of the feature store, where its table asks for more than a shuffle has."""
+    size = int(str(orders._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = min(MOST_PARTS, -(-size // _STORE_BYTES))
+    return parts if parts > int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def feature_store(orders: DataFrame, windows: dict[str, int], key: str = "scenario_id", slice_ms: int | None = None) -> DataFrame:
     """For each order and window ``{name}_`` and the 30 features of the orders in the closed window before it, per ``key``.
 
-    A window holds the rows from its start up to the current one in (ts_ms, sequence) order. Keys are cut into time
-    slices that hold a window's length before them, too, so every frame below is within (key, slice) and runs from
+    A window holds the rows from its start up to the current one in (ts_ms, sequence) order. For each window keys are
+    cut into time slices, by default of its length, that hold a window's length before them, too, so every frame below is within (key, slice) and runs from
     its beginning. Sums are differences of running sums. A distinct count is a difference too: an agent enters with
     an order that follows its last one by more than the window, and leaves a window's length after an order that none
     follows. So is a count of pairs: an order adds those it makes with earlier ones, and takes away, when it leaves,
@@ -72,26 +84,26 @@ def feature_store(orders: DataFrame, windows: dict[str, int], key: str = "scenar
     by = [key, "_slice"]
     step = Window.partitionBy(*by).orderBy("ts_ms", "sequence")
     buy = F.col("side") == "buy"
-    out = sliced(orders, key, max(windows.values()), slice_ms)
-    out = out.withColumns({f"_{name}": F.expr(e) for name, e in _ADDED.items()} | {"_buy": buy.cast("long"), "_sell": (~buy).cast("long")})
-    for of, column in (("agents", "agent_id"), ("orders", "order_id")):
-        own = Window.partitionBy(*by, column).orderBy("ts_ms", "sequence")
-        out = out.withColumns({f"_{of}_since": F.col("ts_ms") - F.lag("ts_ms").over(own), f"_{of}_until": F.lead("ts_ms").over(own) - F.col("ts_ms")})
     extremes = {"quantity_max": (F.max, "quantity"), "price_min": (F.min, "price"), "price_max": (F.max, "price")}
     counted = ("agents", "orders", "self_crosses", "pairs")
-    for name, ms in windows.items():
-        entered, left = {}, {}
-        for of in ("agents", "orders"):
-            entered[of] = (F.coalesce(F.col(f"_{of}_since"), F.lit(ms + 1)) > ms).cast("long")
-            left[of] = (F.coalesce(F.col(f"_{of}_until"), F.lit(ms + 1)) > ms).cast("long")
+    parts = _parts_for(orders)
+    out = orders
+    # Each window has a shuffle of its own, so that a task sorts for one only; what it finds goes on as one column.
+    for name, ms in sorted(windows.items(), key=lambda w: -w[1]):
+        out = sliced(out, key, ms, slice_ms or ms, parts)
+        out = out.withColumns({f"_{added}": F.expr(e) for added, e in _ADDED.items()} | {"_buy": buy.cast("long"), "_sell": (~buy).cast("long")})
         new = {}
+        for of, column in (("agents", "agent_id"), ("orders", "order_id")):
+            own = Window.partitionBy(*by, column).orderBy("ts_ms", "sequence")
+            since, until = F.col("ts_ms") - F.lag("ts_ms").over(own), F.lead("ts_ms").over(own) - F.col("ts_ms")
+            new |= {f"_{of}_{way}": (F.coalesce(far, F.lit(ms + 1)) > ms).cast("long") for way, far in (("in", since), ("out", until))}
         for of, group in (("self_crosses", [*by, "price", "agent_id"]), ("pairs", [*by, "price"])):
             met = {side: prefix_window_sum(F.col(side), group, ms, "sequence") for side in ("_buy", "_sell")}
             until = Window.partitionBy(*group).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, ms)
             so_far = Window.partitionBy(*group).orderBy("ts_ms", "sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
             meets = {side: F.sum(side).over(until) - F.sum(side).over(so_far) for side in ("_buy", "_sell")}
             new |= {f"_{of}_in": F.when(buy, met["_sell"]).otherwise(met["_buy"]), f"_{of}_out": F.when(buy, meets["_sell"]).otherwise(meets["_buy"])}
-        out = out.withColumns(new | {f"_{of}_in": c for of, c in entered.items()} | {f"_{of}_out": c for of, c in left.items()})
+        out = out.withColumns(new)
         out = window_firsts_and_extremes(out, by, ms, "sequence", ["ts_ms", "price"], extremes)
         gone = Window.partitionBy(*by).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, -(ms + 1))
         so_far = step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -99,11 +111,11 @@ def feature_store(orders: DataFrame, windows: dict[str, int], key: str = "scenar
         x |= {c: F.sum(f"_{c}_in").over(so_far) - F.coalesce(F.sum(f"_{c}_out").over(gone), F.lit(0)) for c in counted}
         x |= {c: F.col(f"_{c}") for c in (*extremes, "min_gap")} | {"first_ms": F.col("_first.ts_ms"), "first_price": F.col("_first.price"), "last_ms": F.col("ts_ms"), "last_price": F.col("price")}
         raw = {c: f"_raw_{c}" for c in x}
-        out = out.withColumns({raw[c]: column for c, column in x.items()})
-        out = out.withColumns({f"{name}_{f}": c for f, c in _snapshot({c: F.col(r) for c, r in raw.items()}).items()})
-        out = out.drop(*raw.values(), "_first", *[f"_{c}" for c in (*extremes, "min_gap")], *[f"_{of}_{way}" for of in counted for way in ("in", "out")])
-    out = own_rows(out)
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+        out = own_rows(out.withColumns({raw[c]: column for c, column in x.items()}))
+        found = _snapshot({c: F.col(r) for c, r in raw.items()})
+        out = out.withColumn(f"store_{name}", F.struct(*[c.alias(f) for f, c in found.items()]))
+        out = out.drop(*[c for c in out.columns if c.startswith("_")])
+    return out.select(*orders.columns, *[F.col(f"store_{name}.{f}").alias(f"{name}_{f}") for name in windows for f in SNAPSHOT])
 
 
 def rule_features(store: DataFrame, short: str, middle: str, long: str) -> DataFrame:

@@ -90,15 +90,16 @@ def prefix_window_sum(value: Column, keys: list[str], window_ms: int, tie: str =
     return F.sum(value).over(so_far) - F.coalesce(F.sum(value).over(gone), F.lit(0))
 
 
-def sliced(rows: DataFrame, key: str, reach_ms: int, slice_ms: int | None = None) -> DataFrame:
+def sliced(rows: DataFrame, key: str, reach_ms: int, slice_ms: int | None = None, parts: int | None = None) -> DataFrame:
     """Rows dealt by key and ``_slice``; each also goes to the slices that begin within ``reach_ms`` after it. ``_own``: it is at home there.
 
-    By default a slice is four times the reach, so a quarter of the rows travel twice.
+    By default a slice is four times the reach, so a quarter of the rows travel twice. ``parts``: how many tasks share
+    the slices, where a shuffle's usual number would give each too much.
     """
     width = slice_ms or 4 * reach_ms
     home, last = (F.floor((F.col("ts_ms") + ms) / width) for ms in (0, reach_ms))
     dealt = rows.withColumn("_home", home).withColumn("_slice", F.explode_outer(F.sequence("_home", last)))
-    return dealt.withColumn("_own", F.col("_slice").eqNullSafe(F.col("_home"))).drop("_home").repartition(key, "_slice")
+    return dealt.withColumn("_own", F.col("_slice").eqNullSafe(F.col("_home"))).drop("_home").repartition(*([parts] if parts else []), key, "_slice")
 
 
 def own_rows(rows: DataFrame) -> DataFrame:
