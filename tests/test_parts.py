@@ -1,5 +1,6 @@
 """How tables are cut into parts."""
 
+from tidelake import plans
 from tidelake.operators import orderflow, ordered
 from tidelake.plans import adapters
 
@@ -19,3 +20,8 @@ def test_feature_store_has_tasks_by_its_size_and_a_shuffle_for_each_window(spark
     few, many = (orderflow._parts_for(adapters.orders(spark, f"/root/testdata/sf{sf}")) for sf in ("0.001", "0.01"))
     assert 4 < few < many / 4
     assert f", {few}" in orderflow.feature_store(orders, windows)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_on_the_store_shuffle_for_each_window(spark):
+    plan = plans.QUERIES["q_P11_rules_on_store"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3
