@@ -1,15 +1,16 @@
 """Queries against their SQL on events of equal times and on fills without size, which the small driver tables lack."""
 
 import duckdb
+import pytest
 
 from tidelake import plans
 
 
-def same(spark, folder, name, events):
-    """The query's rows, which must be its SQL's; ``events``: (seconds, user_id, event_type, value, k), numbered as they come."""
-    con = duckdb.connect()
+def same(spark, folder, name, events, numbers=None, settings=None):
+    """The query's rows, which must be its SQL's; ``events``: (seconds, user_id, event_type, value, k), numbered as they come or by ``numbers``."""
+    con = duckdb.connect(config=settings or {})
     con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
-    con.executemany("INSERT INTO events VALUES (?, make_timestamp(?), ?, ?, ?, ?)", [(i, int(s * 1_000_000), user, kind, value, f'{{"k": {k}}}') for i, (s, user, kind, value, k) in enumerate(events)])
+    con.executemany("INSERT INTO events VALUES (?, make_timestamp(?), ?, ?, ?, ?)", [(i, round(s * 1_000_000), user, kind, value, k if k is None else f'{{"k": {k}}}') for i, (s, user, kind, value, k) in zip(numbers or range(len(events)), events, strict=True)])
     con.execute(f"COPY events TO '{folder}/events.parquet'")
     df, want = plans.QUERIES[name](spark, str(folder)), con.sql(plans.ORACLES[name])
     columns, rows = want.columns, want.fetchall()
@@ -32,6 +33,28 @@ def test_markouts_of_horizons_take_the_first_of_quotes_of_one_time(spark, tmp_pa
     assert found[0][0] == found[0][2] == -325.0
 
 
+#: Quotes of one millisecond but not of one time, the later one with the smaller number: before the fill (both), and at each horizon.
+_ONE_MS = [(0, 0, "view", 1.0, 0), (0.0001, 0, "view", 1.0, 6), (0.001, 0, "purchase", 5.0, 0), *[(h * 3600 + s, 0, "view", 1.0, k) for h in (1, 6, 24) for s, k in ((0.001, 6), (0.0015, 0))]]
+_ONE_MS_NUMBERS = [9, 8, 0, 7, 6, 5, 4, 3, 2]
+
+
+@pytest.mark.parametrize("name", ["q_J04_markout_forward", "q_J05_markout_horizons", "q_K08_horizons"])
+def test_markouts_take_the_first_quote_within_a_millisecond(spark, tmp_path, name):
+    found = same(spark, tmp_path, name, _ONE_MS, _ONE_MS_NUMBERS)
+    assert {x for x in found[0] if not isinstance(x, bool)} == {-325.0}
+
+
+@pytest.mark.parametrize("name", ["q_J01_asof_backward", "q_J03_training_rows", "q_J08_top_of_book_matching", "q_P04_feature_vector", "q_P06_markout_bps", "q_V25_rebuilt_training_rows"])
+def test_as_of_joins_take_the_last_quote_within_a_millisecond(spark, tmp_path, name):
+    # as DuckDB joins tables of more than a few rows: by sorting
+    context = [(0, 0, "signup", 1.0, 0), (0.0001, 0, "signup", 2.0, 6)]
+    same(spark, tmp_path, name, context + _ONE_MS, [19, 18, *_ONE_MS_NUMBERS], {"asof_loop_join_threshold": 0})
+
+
+def test_a_fill_whose_quotes_are_all_without_price_is_not_labelled(spark, tmp_path):
+    assert same(spark, tmp_path, "q_J05_markout_horizons", [(0, 0, "purchase", 5.0, 0), (90_000, 0, "view", 1.0, None)]) == {}
+
+
 def test_fee_of_fills_without_size(spark, tmp_path):
     quote = (0, 0, "view", 1.0, 0)
     found = same(spark, tmp_path, "q_P04_feature_vector", [quote, (1, 0, "purchase", 0.0, 0), (2, 0, "purchase", None, 0), (3, 0, "purchase", -2.0, 0), (4, 0, "purchase", 2.0, 0)])

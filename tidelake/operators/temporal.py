@@ -25,8 +25,9 @@ def _stream(left: DataFrame, right: DataFrame, key: str, shift: int, left_first:
     """Both sides in one stream: (key, at, order, tie, left row, right row)."""
     payload, own = [c for c in right.columns if c not in (key, "tie")], left.columns
     tie = F.col("tie") if "tie" in right.columns else F.lit(0)
-    from_left = left.select(F.col(key).alias("_key"), (F.col("ts_ms") + shift).alias("_at"), F.lit(0 if left_first else 1).alias("_order"), F.lit(0).cast("long").alias("_tie"), F.struct(*own).alias("_left"))
-    from_right = right.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col("ts_ms").alias("_at"), F.lit(1 if left_first else 0).alias("_order"), tie.cast("long").alias("_tie"), F.struct(*payload).alias("_right"))
+    no_tie = F.lit(None).cast(right.select(tie.alias("tie")).schema["tie"].dataType)
+    from_left = left.select(F.col(key).alias("_key"), (F.col("ts_ms") + shift).alias("_at"), F.lit(0 if left_first else 1).alias("_order"), no_tie.alias("_tie"), F.struct(*own).alias("_left"))
+    from_right = right.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col("ts_ms").alias("_at"), F.lit(1 if left_first else 0).alias("_order"), tie.alias("_tie"), F.struct(*payload).alias("_right"))
     return from_left.unionByName(from_right, allowMissingColumns=True), own, payload
 
 

@@ -8,6 +8,8 @@ from tidelake.session import table
 
 #: Horizons that suit the density of the driver's events, in milliseconds.
 HOUR = 3_600_000
+#: The order of quotes and contexts of one millisecond in as-of joins: by their exact time, which ts_ms cuts, then by number.
+IN_TIME = "struct(ts, event_id)"
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -17,11 +19,11 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def book(spark: SparkSession, sf: str) -> DataFrame:
+def book(spark: SparkSession, sf: str, tie: str = "event_id") -> DataFrame:
     return (
         events(spark, sf)
         .filter("event_type = 'view'")
-        .selectExpr("user_id % 5 AS coin", "ts_ms", "100 + (k % 7) * 0.5D AS bid_px", "k", "cast(1 + k % 11 as double) AS bid_sz", "cast(1 + k % 13 as double) AS ask_sz", "event_id AS tie")
+        .selectExpr("user_id % 5 AS coin", "ts_ms", "100 + (k % 7) * 0.5D AS bid_px", "k", "cast(1 + k % 11 as double) AS bid_sz", "cast(1 + k % 13 as double) AS ask_sz", f"{tie} AS tie")
         .selectExpr("coin", "ts_ms", "bid_px", "bid_px + 0.5D + (k % 3) * 0.25D AS ask_px", "bid_sz", "ask_sz", "tie")
     )
 
@@ -36,11 +38,11 @@ def fills(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def contexts(spark: SparkSession, sf: str) -> DataFrame:
+def contexts(spark: SparkSession, sf: str, tie: str = "event_id") -> DataFrame:
     return (
         events(spark, sf)
         .filter("event_type = 'signup'")
-        .selectExpr("user_id % 5 AS coin", "ts_ms", "(k - 50) * 1e-6D AS funding", "1000 + value AS open_interest", "cast(100 + k % 5 as double) AS oracle_px", "100 + k % 5 + (k % 4) * 0.1D AS mark_px", "event_id AS tie")
+        .selectExpr("user_id % 5 AS coin", "ts_ms", "(k - 50) * 1e-6D AS funding", "1000 + value AS open_interest", "cast(100 + k % 5 as double) AS oracle_px", "100 + k % 5 + (k % 4) * 0.1D AS mark_px", f"{tie} AS tie")
     )
 
 

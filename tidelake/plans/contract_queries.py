@@ -117,7 +117,7 @@ def horizons(spark, sf):
     fills = v.fills(spark, sf).withColumn("maker_side", market.maker_side())
     found = None
     for h in (1, 6, 24):
-        rows = temporal.asof_forward(fills, v.book(spark, sf), "coin", "b_", h * v.HOUR)
+        rows = temporal.asof_forward(fills, v.book(spark, sf, v.IN_TIME), "coin", "b_", h * v.HOUR)
         mid = market.mid("b_bid_px", "b_ask_px")
         one = rows.select("tid", F.lit(f"{h}h").alias("h"), (F.col("maker_side") * (mid - F.col("px")) / F.col("px") * 10000).alias("bps"))
         found = one if found is None else found.unionByName(one)

@@ -24,7 +24,7 @@ _ACTION_SQL = "CASE severity WHEN 'critical' THEN 'block_simulated_agent' WHEN '
 
 @query("q_P06_markout_bps", v.with_views("SELECT f.tid, round(CASE f.side WHEN 'B' THEN 1 ELSE -1 END * ((b.bid_px + b.ask_px) / 2 - f.px) / f.px * 10000, 6) + 0e0 AS markout FROM v_fills f ASOF JOIN v_book b ON f.coin = b.coin AND f.ts_ms >= b.ts_ms"))
 def markout_bps(spark, sf):
-    rows = temporal.asof_backward(v.fills(spark, sf), v.book(spark, sf), "coin", "b_")
+    rows = temporal.asof_backward(v.fills(spark, sf), v.book(spark, sf, v.IN_TIME), "coin", "b_")
     return rows.select("tid", (F.round(market.markout_bps(market.side_sign(), market.mid("b_bid_px", "b_ask_px"), F.col("px")), 6) + 0.0).alias("markout"))
 
 

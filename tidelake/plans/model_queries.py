@@ -183,7 +183,7 @@ def rebuilt_training_rows(spark, sf):
     """Fills, books and contexts from the lake joined again into gold rows, written, and read."""
     root = new_folder(spark)
     keyed = lambda df: df.withColumn("coin", F.col("coin").cast("string"))
-    for name, rows in (("fills", v.fills(spark, sf)), ("l2_book", v.book(spark, sf)), ("asset_ctxs", v.contexts(spark, sf))):
+    for name, rows in (("fills", v.fills(spark, sf)), ("l2_book", v.book(spark, sf, v.IN_TIME)), ("asset_ctxs", v.contexts(spark, sf, v.IN_TIME))):
         lake.write_table(keyed(rows), root, name)
     fills, book, contexts = (lake.read_table(spark, root, n).drop("date").withColumn("coin", F.col("coin").cast("string")) for n in ("fills", "l2_book", "asset_ctxs"))
     rows = temporal.asof_backward(temporal.asof_backward(fills, book, "coin", "l2_"), contexts, "coin", "asset_", how="left")
