@@ -25,3 +25,15 @@ def test_feature_store_has_tasks_by_its_size_and_a_shuffle_for_each_window(spark
 def test_rules_on_the_store_shuffle_for_each_window(spark):
     plan = plans.QUERIES["q_P11_rules_on_store"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 3
+
+
+def test_rules_on_the_store_sort_only_for_what_they_read(spark):
+    plan = plans.QUERIES["q_P11_rules_on_store"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    by_order = [line for line in plan.splitlines() if "Window [" in line and "[scenario_id#" in line and ", order_id#" in line.rsplit("], [", 1)[0].rsplit("[", 1)[-1]]
+    assert not by_order  # no rule reads how many orders are distinct
+    assert sum("Window [" in line for line in plan.splitlines()) < 30
+
+
+def test_feature_store_of_a_table_of_unknown_size_has_as_many_tasks_as_a_shuffle(spark):
+    rows = spark.sparkContext.parallelize([(1, 2)]).toDF(["scenario_id", "ts_ms"])
+    assert orderflow._parts_for(rows) is None

@@ -21,8 +21,8 @@ SMALL_BYTES, PART_BYTES = 32 << 20, 64 << 20
 MOST_PARTS = 20_000
 
 
-def parts_for(rows: DataFrame) -> int:
-    """How many parts suit a table, by the optimiser's estimate; where there is none, as many as a shuffle has.
+def estimated_bytes(rows: DataFrame) -> int | None:
+    """A table's size by the optimiser's estimate, if there is one.
 
     A join is put at the product of its sides, so what all inputs hold together is the most that counts.
     """
@@ -30,10 +30,15 @@ def parts_for(rows: DataFrame) -> int:
     leaves = plan.collectLeaves()
     size, read = (sum(int(str(p.stats().sizeInBytes())) for p in plans) for plans in ([plan], [leaves.apply(i) for i in range(leaves.size())]))
     size = min(size, read)
-    if size <= SMALL_BYTES:
-        return 1
-    unknown = size >= 1 << 60  # what Spark puts for a source that can't tell, and products of it
-    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if unknown else min(MOST_PARTS, -(-size // PART_BYTES))
+    return size if size < 1 << 60 else None  # what Spark puts for a source that can't tell, and products of it
+
+
+def parts_for(rows: DataFrame) -> int:
+    """How many parts suit a table, by the optimiser's estimate; where there is none, as many as a shuffle has."""
+    size = estimated_bytes(rows)
+    if size is None:
+        return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 if size <= SMALL_BYTES else min(MOST_PARTS, -(-size // PART_BYTES))
 
 
 def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelake.operators.ordered import MOST_PARTS
+from tidelake.operators.ordered import MOST_PARTS, estimated_bytes
 from tidelake.operators.temporal import SLICE_MS, own_rows, prefix_window_sum, rolling_sums, sliced, window_firsts_and_extremes, with_previous
 
 
@@ -31,6 +31,9 @@ MARKET_FEATURES = ("notional_sum", "notional_mean", "aggressive_buy_count", "agg
 AGENTIC_FEATURES = ("unique_agents", "unique_orders", "orders_per_agent", "min_interarrival_ms", "mean_interarrival_ms", "burst_rate_per_second", "self_cross_proxy_count", "opposite_side_same_price_pairs")
 #: The 30 features by their full names.
 SNAPSHOT = (*(f"order_{f}" for f in ORDER_FEATURES), *(f"market_{f}" for f in MARKET_FEATURES), *(f"agentic_{f}" for f in AGENTIC_FEATURES))
+#: The extremes of a window, and which of them, or of its gaps, a feature is made from.
+_EXTREMES = {"quantity_max": (F.max, "quantity"), "price_min": (F.min, "price"), "price_max": (F.max, "price")}
+_FROM_EXTREMES = {"order_quantity_max": ("quantity_max",), "order_price_min": ("price_min",), "order_price_max": ("price_max",), "order_price_range": ("price_min", "price_max"), "agentic_min_interarrival_ms": ("min_gap",)}
 #: What the features are made from: counts and sums of rows.
 _ADDED = {"n": "1L", "buys": "int(side = 'buy')", "cancels": "int(action = 'cancel')", "replaces": "int(action = 'replace')", "fills": "int(action = 'fill')", "quantity": "quantity", "price": "price", "notional": "price * quantity", "bought": "if(side = 'buy', quantity, 0D)"}
 
@@ -60,20 +63,23 @@ def feature_snapshot(orders: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, *[c.alias(n) for n, c in _snapshot({c: F.col(c) for c in sums.columns}).items()])
 
 
-#: Bytes of orders, by the optimiser's estimate, that a task of the feature store takes: its sorts together need many times that.
-_STORE_BYTES = 2 << 20
+#: Bytes of orders, by the optimiser's estimate, that a task of the feature store takes: its sorts together need many times that,
+#: and the slices of a long window are so few and large that several meeting in one task count.
+_STORE_BYTES = 320 << 10
 
 
 def _parts_for(orders: DataFrame) -> int | None:
-    """Tasks of the feature store, where its table asks for more than a shuffle has."""
-    size = int(str(orders._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = min(MOST_PARTS, -(-size // _STORE_BYTES))
+    """Tasks of the feature store, where its table is known to ask for more than a shuffle has."""
+    size = estimated_bytes(orders)
+    parts = min(MOST_PARTS, -(-size // _STORE_BYTES)) if size else 0
     return parts if parts > int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
-def feature_store(orders: DataFrame, windows: dict[str, int], key: str = "scenario_id", slice_ms: int | None = None) -> DataFrame:
+def feature_store(orders: DataFrame, windows: dict[str, int], key: str = "scenario_id", slice_ms: int | None = None, features: set[str] | None = None) -> DataFrame:
     """For each order and window ``{name}_`` and the 30 features of the orders in the closed window before it, per ``key``.
 
+    ``features``: those to make, by their full names, if not all; what only others need is not sorted for.
+
     A window holds the rows from its start up to the current one in (ts_ms, sequence) order. For each window keys are
     cut into time slices, by default of its length, that hold a window's length before them, too, so every frame below is within (key, slice) and runs from
     its beginning. Sums are differences of running sums. A distinct count is a difference too: an agent enters with
@@ -84,12 +90,13 @@ def feature_store(orders: DataFrame, windows: dict[str, int], key: str = "scenar
     by = [key, "_slice"]
     step = Window.partitionBy(*by).orderBy("ts_ms", "sequence")
     buy = F.col("side") == "buy"
-    extremes = {"quantity_max": (F.max, "quantity"), "price_min": (F.min, "price"), "price_max": (F.max, "price")}
     counted = ("agents", "orders", "self_crosses", "pairs")
     parts = _parts_for(orders)
-    out = orders
+    out, made = orders, {name: [f for f in SNAPSHOT if features is None or f"{name}_{f}" in features] for name in windows}
     # Each window has a shuffle of its own, so that a task sorts for one only; what it finds goes on as one column.
-    for name, ms in sorted(windows.items(), key=lambda w: -w[1]):
+    for name, ms in sorted(((n, ms) for n, ms in windows.items() if made[n]), key=lambda w: -w[1]):
+        of_window = {c for f in made[name] for c in _FROM_EXTREMES.get(f, ())}
+        extremes = {c: e for c, e in _EXTREMES.items() if c in of_window}
         out = sliced(out, key, ms, slice_ms or ms, parts)
         out = out.withColumns({f"_{added}": F.expr(e) for added, e in _ADDED.items()} | {"_buy": buy.cast("long"), "_sell": (~buy).cast("long")})
         new = {}
@@ -104,28 +111,32 @@ def feature_store(orders: DataFrame, windows: dict[str, int], key: str = "scenar
             meets = {side: F.sum(side).over(until) - F.sum(side).over(so_far) for side in ("_buy", "_sell")}
             new |= {f"_{of}_in": F.when(buy, met["_sell"]).otherwise(met["_buy"]), f"_{of}_out": F.when(buy, meets["_sell"]).otherwise(meets["_buy"])}
         out = out.withColumns(new)
-        out = window_firsts_and_extremes(out, by, ms, "sequence", ["ts_ms", "price"], extremes)
+        out = window_firsts_and_extremes(out, by, ms, "sequence", ["ts_ms", "price"], extremes, "min_gap" in of_window)
         gone = Window.partitionBy(*by).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, -(ms + 1))
         so_far = step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         x = {c: prefix_window_sum(F.col(f"_{c}"), by, ms, "sequence") for c in _ADDED}
         x |= {c: F.sum(f"_{c}_in").over(so_far) - F.coalesce(F.sum(f"_{c}_out").over(gone), F.lit(0)) for c in counted}
-        x |= {c: F.col(f"_{c}") for c in (*extremes, "min_gap")} | {"first_ms": F.col("_first.ts_ms"), "first_price": F.col("_first.price"), "last_ms": F.col("ts_ms"), "last_price": F.col("price")}
+        x |= {c: F.col(f"_{c}") if c in of_window else F.lit(None) for c in (*_EXTREMES, "min_gap")} | {"first_ms": F.col("_first.ts_ms"), "first_price": F.col("_first.price"), "last_ms": F.col("ts_ms"), "last_price": F.col("price")}
         raw = {c: f"_raw_{c}" for c in x}
         out = own_rows(out.withColumns({raw[c]: column for c, column in x.items()}))
         found = _snapshot({c: F.col(r) for c, r in raw.items()})
-        out = out.withColumn(f"store_{name}", F.struct(*[c.alias(f) for f, c in found.items()]))
+        out = out.withColumn(f"store_{name}", F.struct(*[found[f].alias(f) for f in made[name]]))
         out = out.drop(*[c for c in out.columns if c.startswith("_")])
-    return out.select(*orders.columns, *[F.col(f"store_{name}.{f}").alias(f"{name}_{f}") for name in windows for f in SNAPSHOT])
+    return out.select(*orders.columns, *[F.col(f"store_{name}.{f}").alias(f"{name}_{f}") for name in windows for f in made[name]])
 
 
-def rule_features(store: DataFrame, short: str, middle: str, long: str) -> DataFrame:
-    """The store with the columns that the rules read, from windows of a second, five seconds and a minute or their stand-ins."""
+def rule_sources(short: str, middle: str, long: str) -> dict[str, str]:
+    """The store's feature behind each of the rules' names, from windows of a second, five seconds and a minute or their stand-ins."""
     # The window and feature behind each of the rules' names.
-    source = {
+    return {
         "burst": f"{short}_agentic_burst_rate_per_second", "quantity_sum": f"{middle}_order_quantity_sum", "sell_ratio": f"{middle}_order_sell_ratio", "min_interarrival": f"{short}_agentic_min_interarrival_ms", "drift": f"{long}_market_price_drift", "cancel_rate": f"{short}_order_cancel_rate",
         "self_cross": f"{middle}_agentic_self_cross_proxy_count", "agents": f"{short}_agentic_unique_agents", "price_range": f"{middle}_order_price_range", "quantity_max": f"{middle}_order_quantity_max",
     }
-    return store.withColumns({name: F.col(column) for name, column in source.items()})
+
+
+def rule_features(store: DataFrame, short: str, middle: str, long: str) -> DataFrame:
+    """The store with the columns that the rules read."""
+    return store.withColumns({name: F.col(column) for name, column in rule_sources(short, middle, long).items()})
 
 
 def self_cross_pairs(orders: DataFrame, keys: list[str], same_agent: bool = True) -> DataFrame:

@@ -114,8 +114,8 @@ def rolling_sums(rows: DataFrame, key: str, sums: dict[str, Column], windows: di
     return own_rows(held.withColumns(added))
 
 
-def window_firsts_and_extremes(rows: DataFrame, keys: list[str], window_ms: int, tie: str, first: list[str], extremes: dict[str, tuple[Callable, str]]) -> DataFrame:
-    """``_first``, columns ``first`` of the closed window's first row; ``_{name}``, an extreme of a column over the window; ``_min_gap``, the least time between its neighbours.
+def window_firsts_and_extremes(rows: DataFrame, keys: list[str], window_ms: int, tie: str, first: list[str], extremes: dict[str, tuple[Callable, str]], gaps: bool = True) -> DataFrame:
+    """``_first``, columns ``first`` of the closed window's first row; ``_{name}``, an extreme of a column over the window; ``_min_gap``, the least time between its neighbours, if ``gaps``.
 
     The row before the window's first is the last one that a running frame up to the window's edge has met; it knows
     its successor, and the successor knows the extremes from itself to the end of its block. What the current block
@@ -128,8 +128,8 @@ def window_firsts_and_extremes(rows: DataFrame, keys: list[str], window_ms: int,
     rows = rows.withColumn("_block", F.floor(F.col("ts_ms") / window_ms))
     rows = rows.withColumns({"_after": F.lead("ts_ms").over(step) - F.col("ts_ms")})
     rows = rows.withColumns({"_before": F.when(F.lag("ts_ms").over(block.orderBy("ts_ms", tie)).isNotNull(), F.col("ts_ms") - F.lag("ts_ms").over(block.orderBy("ts_ms", tie)))})
-    so_far = {name: f(c).over(up) for name, (f, c) in extremes.items()} | {"min_gap": gap("_before").over(up)}
-    to_end = {name: f(c).over(down) for name, (f, c) in extremes.items()} | {"min_gap": gap("_after").over(down)}
+    so_far = {name: f(c).over(up) for name, (f, c) in extremes.items()} | ({"min_gap": gap("_before").over(up)} if gaps else {})
+    to_end = {name: f(c).over(down) for name, (f, c) in extremes.items()} | ({"min_gap": gap("_after").over(down)} if gaps else {})
     rows = rows.withColumns({f"_up_{n}": c for n, c in so_far.items()} | {f"_down_{n}": c for n, c in to_end.items()})
     own = F.struct("_block", *first, *[f"_down_{n}" for n in to_end])
     rows = rows.withColumn("_here", own).withColumn("_next", F.lead("_here").over(step))
